@@ -102,3 +102,26 @@ def in_slices(batches: Iterable[pa.RecordBatch], by: str, most: int = 4 << 20) -
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+#: Words of a lower-cased text: digits, a-z and everything beyond ASCII. Text is cut at the rest.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text in lower case; null counts as empty.
+
+    ``lower`` changes letters beyond ASCII too. Word borders are those of lower-casing A-Z alone,
+    since no upper-case letter lies outside a word in either.
+    """
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), "")
+
+
+def rolling_hashes(words: str, k: int) -> Column:
+    """A hash of every k consecutive words in the array column ``words``; its last k - 1 entries reach past the end."""
+    return F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(F.col(words), i + j) for j in range(1, k))))
+
+
+def broadcast_if_small(df: DataFrame, bytes_a_row: int, most: int = 32 << 20) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows fit in ``most`` bytes; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= most else df
