@@ -35,7 +35,7 @@ def export_json(df: DataFrame, path: str) -> None:
 
 def request_and_evidence_rows(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The request log's and the evidence log's rows of answers (query_id, ..., citations, evidence: array of structs with evidence_id)."""
-    request = answers.drop("evidence").withColumn("evidence_count", F.size("evidence"))
+    request = answers.withColumn("evidence_count", F.size("evidence")).drop("evidence")
     rows = answers.select("query_id", "citations", F.posexplode("evidence").alias("p", "e"))
     evidence = rows.select("query_id", "e.*", (F.col("p") + 1).alias("evidence_position"), F.coalesce(F.array_contains("citations", F.col("e.evidence_id")), F.lit(False)).alias("was_cited"))
     return request, evidence
