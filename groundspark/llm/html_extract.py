@@ -294,7 +294,7 @@ def template_lines(rows: DataFrame) -> DataFrame:
 
     found = written(ordered.mapInArrow(run, RESULT), "page-template-lines")
     # At most three rows for each range.
-    ends = found.filter("spot >= 0").orderBy("part", "spot").toPandas().to_dict("records")
+    ends = found.filter("spot >= 0").orderBy("part", "spot").collect()
     parts: list[dict] = []
     for e in ends:
         if not parts or parts[-1]["part"] != e["part"]:
