@@ -15,7 +15,7 @@ STATED = [
     ("q07", "Can Glucophage cause lactic acidosis?", None, None), ("q08", "Does Eliquis cure pneumonia?", None, None), ("q09", "Can Eliquis prevent stroke?", None, None),
     ("q10", "Is Eliquis the same as apixaban and can it prevent stroke?", None, None), ("q11", "Is Glucophage a brand name and what is it used for?", None, None), ("q12", "What is metformn?", None, None),
     ("q13", "What is the generic name of Glucophage?", "Glucophage", None), ("q14", "Is it safe for children?", "apixaban", None), ("q15", "Hello there", None, None),
-    ("q16", "What is the active ingredient in Eliquis?", "unknownium", None), ("q17", "What is the brand name of metformin?", None, None), ("q18", "Do not take too much: dose and interaction", None, None), ("q19", "Größe of the dose?", None, None),
+    ("q16", "What is the active ingredient in Eliquis?", "unknownium", None), ("q17", "What is the brand name of metformin?", None, None), ("q18", "Do not take too much: dose and interaction", None, None), ("q19", "Größe of the dose?", None, None), ("q20", "What about dose and interaction?", None, None),
 ]
 ALIAS_ROWS = [("metformin", "6809", "metformin", None, "IN"), ("Glucophage", "151827", "Glucophage", None, "BN"), ("apixaban", "1364430", "apixaban", None, "IN"), ("Eliquis", "1364435", "Eliquis", None, "BN"), ("omeprazole", "7646", "omeprazole", None, "IN"), ("sertraline", "36437", "sertraline", None, "IN")]
 RELATION_ROWS = [("151827", "6809", "metformin", "IN"), ("1364435", "1364430", "apixaban", "IN"), ("6809", "151827", "Glucophage", "BN"), ("1364430", "1364435", "Eliquis", "BN")]

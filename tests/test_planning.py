@@ -15,7 +15,7 @@ def plans(spark):
     ("q01", "routed_single_family", "indications_and_usage"), ("q02", "routed_single_family", "drug_interactions"), ("q03", "routed_single_family", "adverse_reactions"),
     ("q04", "routed_single_family", "dosage_and_administration"), ("q05", "candidate_family_group_unfiltered", None), ("q06", "not_attempted_explicit_family_present", None),
     ("q07", "candidate_family_group_unfiltered", None), ("q08", "routed_single_family", "indications_and_usage"), ("q09", "routed_single_family", "indications_and_usage"),
-    ("q15", "no_route_detected", None), ("q18", "ambiguous", None),
+    ("q15", "no_route_detected", None), ("q18", "routed_single_family", "contraindications"), ("q20", "ambiguous", None),
 ])
 def test_family_plan(plans, query, status, family):
     assert (plans[query].plan_status, plans[query].plan_family) == (status, family)
