@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus as C
@@ -100,16 +100,19 @@ def log_append(s: SparkSession, d: str) -> DataFrame:
     return sinks.request_and_evidence_rows(answers)[1].select("query_id", "evidence_id", "chunk_id", "evidence_position", "was_cited")
 
 
+def rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def queries() -> dict:
-    n = F.count(F.lit(1))
     q = {"corpus_counts": corpus_counts, "drug_summary": drug_summary, "label_summary": label_summary, "join_retrievable": join_retrievable, "join_optional_filters": join_optional_filters, "upsert_merge": upsert_merge, "log_append": log_append}
-    q["family_summary"] = lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("concepts"), F.countDistinct("o_orderkey").alias("sections"), n.alias("chunks")).orderBy("o_orderpriority")
-    q["filtered_counts"] = lambda s, d: table(s, d, "region").join(table(s, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).join(table(s, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("r_name").agg(n.alias("versions"), F.count_if(F.col("c_acctbal") > 0).alias("with_family"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("unclassified"))
-    q["chunk_join"] = lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "l_returnflag").agg(n.alias("chunks"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    q["family_summary"] = lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("concepts"), F.countDistinct("o_orderkey").alias("sections"), rows().alias("chunks")).orderBy("o_orderpriority")
+    q["filtered_counts"] = lambda s, d: table(s, d, "region").join(table(s, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).join(table(s, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("r_name").agg(rows().alias("versions"), F.count_if(F.col("c_acctbal") > 0).alias("with_family"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("unclassified"))
+    q["chunk_join"] = lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "l_returnflag").agg(rows().alias("chunks"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
     q["anti_orphans"] = lambda s, d: C.orphans(table(s, d, "customer"), table(s, d, "orders"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
     q["semi_cited"] = lambda s, d: table(s, d, "documents").join(table(s, d, "labels").filter("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang", "source")
     q["full_reconcile"] = lambda s, d: C.reconciled(table(s, d, "documents").select("doc_id"), table(s, d, "labels").select("doc_id"), "doc_id")
-    q["index_reconcile"] = lambda s, d: table(s, d, "documents").agg(n.alias("table_rows")).crossJoin(table(s, d, "embeddings").agg(n.alias("index_points"))).select("*", (F.col("table_rows") == F.col("index_points")).alias("equal"))
+    q["index_reconcile"] = lambda s, d: table(s, d, "documents").agg(rows().alias("table_rows")).crossJoin(table(s, d, "embeddings").agg(rows().alias("index_points"))).select("*", (F.col("table_rows") == F.col("index_points")).alias("equal"))
     q["parent_resolution"] = lambda s, d: table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2)).alias("parent")).alias("a").join(table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("parent_name")), F.col("parent") == F.col("k"), "left").select("p_partkey", "parent", "parent_name")
     q["manifest_lookup"] = lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
     q["dedup_last"] = lambda s, d: last_by_key(table(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
@@ -121,12 +124,12 @@ def queries() -> dict:
     q["history_flatten"] = lambda s, d: flatten_history(s.createDataFrame([((("Tablet", "s1"), [(4, "Jan 1, 2024"), (3, "Jan 1, 2023")]),)], "data struct<spl:struct<title:string,setid:string>,history:array<struct<spl_version:int,published_date:string>>>")).join(locked(seeds(s, SEEDS)), "set_id").select("set_id", "title", "history_spl_version", "published_date", (F.col("history_spl_version") == F.col("locked_spl_version").cast("string")).alias("is_locked_version"))
     q["largest_member"] = lambda s, d: table(s, d, "documents").groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"), F.max("n_chars").alias("n_chars"))
     q["set_rollup"] = lambda s, d: C.set_rollup(table(s, d, "part"), "p_brand", ["p_type", "p_size"])
-    q["top_reasons"] = lambda s, d: table(s, d, "part").groupBy("p_name").agg(n.alias("n")).orderBy(F.desc("n"), "p_name").limit(20)
+    q["top_reasons"] = lambda s, d: table(s, d, "part").groupBy("p_name").agg(rows().alias("n")).orderBy(F.desc("n"), "p_name").limit(20)
     q["chunk_stats"] = lambda s, d: table(s, d, "documents").agg(F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.round(F.avg("n_chars"), 2).alias("mean"), F.countDistinct("source").alias("sources"))
     q["outlier_probe"] = lambda s, d: table(s, d, "documents").filter("n_chars > 5000").orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", "source", "n_chars")
     q["ordered_union"] = lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("a")).select("lang", F.array_join(F.array_union(F.array(F.lit("src3"), F.lit("none")), "a"), ",").alias("matches"))
     q["latest_build"] = lambda s, d: table(s, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1).select("o_orderkey", "o_totalprice")
-    q["build_snapshot"] = lambda s, d: corpus_counts(s, d).crossJoin(table(s, d, "embeddings").agg(n.alias("index_points")))
+    q["build_snapshot"] = lambda s, d: corpus_counts(s, d).crossJoin(table(s, d, "embeddings").agg(rows().alias("index_points")))
     q["list_export"] = lambda s, d: sinks.joined_lists(table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("nations")))
     q["hierarchy_rollup"] = lambda s, d: C.rollup_without_fan_out(table(s, d, "region").select(F.col("r_regionkey").alias("k"), "r_name"), "k", {"nations": table(s, d, "nation").select(F.col("n_regionkey").alias("k")), "suppliers": table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("k"))}).select("r_name", "nations", "suppliers")
     return q
