@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,27 +127,31 @@ def retrieval_metrics(cases: DataFrame, judged: DataFrame, k: int = TOP_K) -> Da
 #: English stop words of the lexical analysis, fixed values.
 STOP = frozenset("a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split())
 
+#: A word of one short syllable.
+SHORT = re.compile(r"[^aeiouy]*[aeiouy][^aeiouywx]")
+
 
 def stem(word: str) -> str:
-    """A light English stemmer: plural, -ing, -ed, -ly and silent -e forms fall together."""
+    """A light English stemmer: plural, -ing, -ed, -ly and silent -e forms fall together; a word of one short syllable keeps its -e."""
+    cut = False
     for end, new, least in (("sses", "ss", 2), ("ies", "i", 2), ("ingly", "", 3), ("edly", "", 3), ("ing", "", 3), ("ed", "", 3), ("ly", "", 3)):
         if word.endswith(end) and len(word) - len(end) >= least and any(c in "aeiouy" for c in word[: len(word) - len(end)]):
-            word = word[: len(word) - len(end)] + new
+            word, cut = word[: len(word) - len(end)] + new, end in ("ing", "ed", "ingly", "edly")
             break
     else:
         if word.endswith("s") and not word.endswith(("ss", "us")) and len(word) > 3:
             word = word[:-1]
     if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "aeiouylsz":
         word = word[:-1]
+    elif cut and SHORT.fullmatch(word):
+        word += "e"
     if word.endswith("y") and len(word) > 2 and word[-2] not in "aeiouy":
         word = word[:-1] + "i"
-    return word[:-1] if word.endswith("e") and len(word) > 3 else word
+    return word[:-1] if word.endswith("e") and len(word) > 3 and not SHORT.fullmatch(word[:-1]) else word
 
 
 def parse_web_query(text: str) -> list[list[list[str]]]:
     """Alternatives of required phrases, as lists of stems; a word is a phrase of one. ``or`` separates alternatives, quotes make phrases; excluded words begin with "-" in the first place of their phrase."""
-    import re
-
     alternatives: list[list[list[str]]] = [[]]
     for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', text):
         raw = m[2] if m[3] is None else m[3]
@@ -177,7 +182,6 @@ def cover_density(positions: list[list[int]]) -> float:
 
 def web_search(pairs: DataFrame) -> DataFrame:
     """query_id, doc_id, score of pairs (query_id, query, doc_id, text) whose text matches the query; the analysis is Python's, so candidates should be joined on terms before."""
-    import re
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed: dict[str, list] = {}
