@@ -134,13 +134,17 @@ SHORT = re.compile(r"[^aeiouy]*[aeiouy][^aeiouywx]")
 def stem(word: str) -> str:
     """A light English stemmer: plural, -ing, -ed, -ly and silent -e forms fall together; a word of one short syllable keeps its -e."""
     cut = False
-    for end, new, least in (("sses", "ss", 2), ("ies", "i", 2), ("ingly", "", 3), ("edly", "", 3), ("ing", "", 3), ("ed", "", 3), ("ly", "", 3)):
-        if word.endswith(end) and len(word) - len(end) >= least and any(c in "aeiouy" for c in word[: len(word) - len(end)]):
-            word, cut = word[: len(word) - len(end)] + new, end in ("ing", "ed", "ingly", "edly")
+    if word.endswith("sses"):
+        word = word[:-2]
+    elif word.endswith("ies") and len(word) > 4:
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith(("ss", "us")) and len(word) > 3:
+        word = word[:-1]
+    for end in ("ingly", "edly", "ing", "ed", "ly"):
+        rest = word.removesuffix(end)
+        if rest != word and len(rest) >= 3 and any(c in "aeiouy" for c in rest):
+            word, cut = rest, end != "ly"
             break
-    else:
-        if word.endswith("s") and not word.endswith(("ss", "us")) and len(word) > 3:
-            word = word[:-1]
     if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "aeiouylsz":
         word = word[:-1]
     elif cut and SHORT.fullmatch(word):

@@ -31,6 +31,8 @@ def test_cap_is_not_filled_up(spark):
 def test_web_query_and_cover_density():
     assert R.parse_web_query('"liver warning" or -dose') == [[["liver", "warn"]], [["-", "dose"]]]
     assert R.parse_web_query("the of") == []
+    for forms in ("warn warns warning warnings warned", "dose doses dosing dosed", "therapy therapies", "hope hopes hoping hoped"):
+        assert len({R.stem(w) for w in forms.split()}) == 1
     assert R.cover_density([[1], [2]]) > R.cover_density([[1], [9]]) > 0
 
 
