@@ -381,3 +381,22 @@ def test_pipeline_equals_brute_force(spark, documents):
     rows = got.collect()
     assert {r.doc_id for r in rows} == expected and len(rows) == len(expected)
     assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+
+
+# --- queries with SQL
+
+
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op5_decontaminate", "op8_chat_format"])
+def test_equals_duckdb(spark, name):
+    import duckdb
+
+    from groundspark.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    said = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in said.description]
+    got = registry.queries()[name](spark, DATA)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(repr([r[c] for c in names]) for r in got.collect()) == sorted(repr(list(r)) for r in said.fetchall())
