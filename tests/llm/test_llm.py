@@ -346,6 +346,18 @@ def test_pii_base(spark, documents):
         assert got[d].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) <= set(got[d].spans.split(","))
 
 
+def test_pii_patterns_read_long_runs_once():
+    rng = random.Random(6)
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    for _ in range(20000):
+        text = "".join(rng.choice("a+é@@..-1 ") for _ in range(rng.randrange(24)))
+        text += ".".join(str(rng.randrange(300)) for _ in range(rng.randrange(10)))
+        spans = pii.base_spans(text)
+        for kind, p in plain.items():
+            assert [(s, e) for s, e, k in spans if k == kind] == [m.span() for m in re.finditer(p, text) if pii.base_valid(kind, m[0])], text
+    assert pii.base_spans("x" * 1_000_000 + " a@b.co " + "1" * 1_000_000) == [(1_000_001, 1_000_007, "email")]
+
+
 def test_pii_odd(odd, none):
     got = pii.find(odd).collect()
     by = {r.doc_id: r for r in got}
