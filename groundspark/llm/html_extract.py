@@ -1,20 +1,23 @@
 """Main text of web pages by nearest-URL page differencing, helped by the pages' own marks.
 
 Each page is cut into text lines (the text of a block). Pages stand in order of host, URL path and
-page_id; a page's partner is the page before it in its host, or the page after it for a host's first.
-Lines of page and partner are aligned by longest common subsequence. A line that both share is a
+page_id. Pages that follow each other and agree almost wholly (mirrors, repeats) are a run; a page's
+partner is the last page of the run before its own in its host, or, in a host's first run, the first page
+of the run after. Lines of page and partner are aligned by longest common subsequence, unless these two
+agree almost wholly as well: then nothing is deleted. A line that both share is a
 template's and is deleted, unless the page marks it as the article's own prose (a heading, paragraph,
 list item, quotation, table cell or preformatted text inside <article> or <main>): mirrored articles
 share those. Menus and adverts that differ from page to page share nothing with a neighbour, so blocks
 that are marked as such (nav, header, footer, aside, form, script ..., or a class or id that says so)
 are deleted too, and what lies outside the article where a page has one.
 
-Order and alignment work on line hashes, never on texts. The order is dealt in ranges; a range's first
-and last page find their neighbours in the next range, so the result doesn't depend on the ranges.
+Order and alignment work on line hashes and lengths, never on texts. The order is dealt in ranges; runs
+that reach a range's ends find their partners in other ranges, so the result doesn't depend on the ranges.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own, without
-a path; pages with equal URLs are ordered by page_id, then content; repeated rows are each reported; an
-empty table gives an empty table; further columns are ignored; unclosed and stray tags are closed where
+a path; pages with equal URLs are ordered by page_id, then content; repeated rows are paired as one page and
+each reported; pages of a host that has one run keep all that isn't marked, while equal stubs of
+under LEAST_SAME characters delete each other's text; an empty table gives an empty table; further columns are ignored; unclosed and stray tags are closed where
 the next block or the end requires it; texts of any length are read whole.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -55,6 +59,10 @@ MARK_WORDS = frozenset(
     "search complementary contentinfo".split()
 )
 HEADS = frozenset({"header", "masthead"})
+#: Share of the longer page's characters, marked blocks aside, from which two pages agree almost wholly.
+SAME_PAGE = 0.9
+#: Characters that two pages must share to agree: less is a stub ("Not found") that a template repeats, no mirrored text.
+LEAST_SAME = 60
 
 
 def marked(tag: str, attributes: str) -> bool:
@@ -221,35 +229,55 @@ def page_key() -> Column:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """key, page_id, host, path and the line hashes of each page; ``open``: places of lines that a partner may delete."""
+    """key, page_id, host, path, line hashes and line lengths (0 in marked blocks); ``open``: places of lines that a partner may delete.
+
+    A task gives each of its repeated rows once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in in_slices(batches, "html", 8 << 20):
-            hosts, paths, hashes, unsure = [], [], [], []
+            new = [k for k, key in enumerate(batch.column("key").to_pylist()) if not (key in seen or seen.add(key))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            hosts, paths, hashes, sizes, unsure = [], [], [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 texts, kinds = lines_of(page or "")
                 host, path = place(url)
                 hosts.append(host)
                 paths.append(path)
                 hashes.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts])
+                sizes.append([len(t) if kind != MARKED else 0 for t, kind in zip(texts, kinds, strict=True)])
                 unsure.append([k for k, kind in enumerate(kinds) if kind != PROSE])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("page_id"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(unsure, pa.list_(pa.int32()))],
-                ["key", "page_id", "host", "path", "lines", "open"],
-            )
+            columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(unsure, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("page_id"), *columns], ["key", "page_id", "host", "path", "lines", "sizes", "open"])
 
     rows = pages.select(page_key().alias("key"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "key long, page_id long, host string, path string, lines array<long>, open array<int>")
+    return rows.mapInArrow(run, "key long, page_id long, host string, path string, lines array<long>, sizes array<int>, open array<int>")
+
+
+def agree(a: dict, b: dict) -> bool:
+    """Whether two pages are almost wholly the same, in whatever order."""
+    most = max(sum(a["sizes"]), sum(b["sizes"]))
+    rest = Counter(b["lines"])
+    both = 0
+    for line, size in zip(a["lines"], a["sizes"], strict=True):
+        if size and rest[line] > 0:
+            rest[line] -= 1
+            both += size
+    return both >= max(LEAST_SAME, SAME_PAGE * most)
 
 
 def deleted(page: dict, partner: dict | None) -> list[int]:
     """Places of the page's lines that it shares with its partner and that aren't the article's prose."""
-    if partner is None or not page["open"]:
+    if partner is None or not page["open"] or agree(page, partner):
         return []
     return sorted(set(common_places(page["lines"], partner["lines"])) & set(page["open"]))
 
 
-RESULT = "key long, gone array<int>, part int, spot int, host string, lines array<long>, open array<int>"
+#: Rows of the pass over the ranges: a settled page; a page whose partner isn't known yet; the first page of the
+#: run after ``run``, which had no run of its host before it; a range's first and last page; and the partner of its last run.
+SETTLED, OPEN, AHEAD, FIRST, LAST, BACK = range(6)
+RESULT = "spot int, part int, run int, key long, gone array<int>, host string, lines array<long>, sizes array<int>, open array<int>"
 
 
 def template_lines(rows: DataFrame) -> DataFrame:
@@ -257,61 +285,86 @@ def template_lines(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(fan_out(spark), *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id())
     names = [x.split()[0] for x in RESULT.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    whole, places = pa.list_(pa.int64()), pa.list_(pa.int32())
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), places, pa.string(), whole, places, places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Settled pages have spot -1. Pages at a range's ends also come with what settles them: first 0, second 1, last 2."""
-        before = None
-        seen = 0
-        first = None
+        last = back = None
+        number = 0
         for batch in batches:
             out = []
             for page in batch.to_pylist():
-                same = before is not None and before["host"] == page["host"]
-                if seen == 0:
-                    first = page
-                    out.append(edge(page, 0))
-                elif seen == 1:
-                    out.append(edge(page, 1))
-                if same:
-                    out.append(settled(page, before))
-                if same and not before["done"] and before is not first:  # a host's first page
-                    out.append(settled(before, page))
-                page["done"] = same
-                before = page
-                seen += 1
+                if last is None:
+                    out.append(whole_row(FIRST, page, 0))
+                elif page["key"] == last["key"]:  # a repeated row
+                    continue
+                elif page["host"] != last["host"]:
+                    number, back = number + 1, None
+                elif not agree(last, page):
+                    if back is None:
+                        out.append(whole_row(AHEAD, page, number))
+                    number, back = number + 1, last
+                if back is None:
+                    out.append(whole_row(OPEN, page, number))
+                elif gone := deleted(page, back):
+                    out.append((SETTLED, page["part"], number, page["key"], gone, None, None, None, None))
+                last = page
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-        if before is not None:
-            last = edge(before, 2, settled_already=bool(before.get("done")))
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names)
+                yield batch_of(out)
+        if last is not None:
+            yield batch_of([whole_row(LAST, last, number)] + ([whole_row(BACK, {**back, "part": last["part"]}, number)] if back is not None else []))
 
-    def settled(page: dict, partner: dict) -> tuple:
-        return (page["key"], deleted(page, partner), page["part"], -1, None, None, None)
+    def whole_row(spot: int, page: dict, number: int) -> tuple:
+        return (spot, page["part"], number, page["key"], None, page["host"], page["lines"], page["sizes"], page["open"])
 
-    def edge(page: dict, spot: int, settled_already: bool = False) -> tuple:
-        return (page["key"], [1] if settled_already else [], page["part"], spot, page["host"], page["lines"], page["open"])
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     found = written(ordered.mapInArrow(run, RESULT), "page-template-lines")
-    # At most three rows for each range.
-    ends = found.filter("spot >= 0").orderBy("part", "spot").collect()
-    parts: list[dict] = []
+    # At most four rows for each range.
+    ends = found.filter(F.col("spot").isin(FIRST, LAST, BACK) | ((F.col("spot") == AHEAD) & (F.col("run") == 0))).collect()
+    partner = partners_across(ends)
+    across = spark.createDataFrame([(part, number, list(p["lines"]), list(p["sizes"])) for (part, number), p in partner.items()], "part int, run int, partner array<long>, partner_sizes array<int>")
+    inside = found.filter((F.col("spot") == AHEAD) & (F.col("run") > 0)).select("part", "run", F.col("lines").alias("partner"), F.col("sizes").alias("partner_sizes"))
+    partners = written(inside.unionByName(across), "page-partners")
+    left = found.filter((F.col("spot") == OPEN) & (F.size("open") > 0)).select("part", "run", "key", "lines", "sizes", "open")
+    left = left.join(broadcast_if_small(partners, 4096), ["part", "run"]).select("key", "lines", "sizes", "open", "partner", "partner_sizes")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [deleted(page, {"lines": page["partner"], "sizes": page["partner_sizes"]}) for page in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gone, places)], ["key", "gone"])
+
+    late = left.mapInArrow(settle, "key long, gone array<int>").filter(F.size("gone") > 0)
+    return found.filter(F.col("spot") == SETTLED).select("key", "gone").unionByName(late)
+
+
+def partners_across(ends: list) -> dict[tuple[int, int], dict]:
+    """The partner of each run (part, run) that has none inside its range, or that a range before may have one for."""
+    parts: dict[int, dict] = {}
     for e in ends:
-        if not parts or parts[-1]["part"] != e["part"]:
-            parts.append({"part": e["part"]})
-        parts[-1][e["spot"]] = e
-    gone = []
-    for k, part in enumerate(parts):
-        before, after = (parts[k - 1][2] if k else None), (parts[k + 1][0] if k + 1 < len(parts) else None)
-        single = 1 not in part
-        own = part[0]
-        partner = next((p for p in (before, after if single else part[1]) if p is not None and p["host"] == own["host"]), None)
-        gone.append((own["key"], deleted(own, partner)))
-        own = part[2]
-        if not single and not len(own["gone"]) and after is not None and after["host"] == own["host"]:
-            gone.append((own["key"], deleted(own, after)))
-    edges = spark.createDataFrame([(int(k), [int(x) for x in g]) for k, g in gone if g], "key long, gone array<int>")
-    return found.filter("spot < 0 AND size(gone) > 0").select("key", "gone").unionByName(edges).dropDuplicates(["key"])
+        parts.setdefault(e["part"], {})[e["spot"]] = e
+    partner: dict[tuple[int, int], dict] = {}
+    last = back = None  # the last page so far, and the partner of its run
+    waiting: list[tuple[int, int]] = []  # the parts of the last run, if no run of its host is before it
+    for part, own in sorted(parts.items()):
+        first = own[FIRST]
+        if last is None or last["host"] != first["host"]:
+            waiting, back = [], None
+        elif not agree(last, first):
+            partner.update(dict.fromkeys(waiting, first))
+            waiting, back = [], last
+        if back is None:
+            waiting.append((part, 0))
+        else:
+            partner[part, 0] = back
+        if (number := own[LAST]["run"]) > 0:
+            if AHEAD in own:
+                partner.update(dict.fromkeys(waiting, own[AHEAD]))
+            back = own.get(BACK)
+            waiting = [(part, number)] if back is None else []
+        last = own[LAST]
+    return partner
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -117,6 +117,25 @@ def test_page_marks(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_mirrored_and_repeated_pages_keep_their_text(spark):
+    """Pages without article markup: in groups of mirrors and repeats only what the template shares with other pages goes."""
+    page = lambda body: "".join(f"<div>{x}</div>" for x in ("Our site", *body, "Imprint of the site"))
+    bodies = [[f"{w} body {k}" + " of some length" * 9 for k in range(4)] for w in ("alpha", "beta", "gamma")]
+    rows = [(n, f"http://m.x/{g}/{n:02}", page(body)) for g, body in enumerate(bodies) for n in range(g * 20, g * 20 + 12)]
+    rows += [rows[0]] * 5 + [rows[20]] * 5 + [(90, "http://one.x/a", page(bodies[0]))] * 3 + [(91, "http://one.x/b", page(bodies[0]))]
+    rows += [(92, "http://in.x/a", "<article><div>Menu</div><div>first text</div></article>")] * 2 + [(93, "http://in.x/b", "<article><div>Menu</div><div>second text</div></article>")]  # short: folded as equal rows
+    own = {n: "\n".join(body) for g, body in enumerate(bodies) for n in range(g * 20, g * 20 + 12)}
+    own |= {n: "\n".join(["Our site", *bodies[0], "Imprint of the site"]) for n in (90, 91)} | {92: "first text", 93: "second text"}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 30):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+            assert sorted((r.page_id, r.text) for r in got) == sorted((r[0], own[r[0]]) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # --- 3
 
 
