@@ -1,8 +1,9 @@
 """Chat formatting: layouts are told apart by a fingerprint of their nested field paths.
 
 A mapping says, for a set of field paths, where the turns of a conversation stand. Its fingerprint is
-a hash of those paths. A table's schema, or each JSON record's own layout, is hashed in the same way
-and selects the mapping that brings it to canonical turns (role, text). Formatted, a turn is
+a hash of those paths. What a table's schema, or each JSON record, has of a mapping's paths is hashed in
+the same way; the mapping with the most paths whose fingerprint this equals brings it to canonical turns
+(role, text). Formatted, a turn is
 ``<turn>role``, a line break, the text, ``</turn>`` and a line break. Inside roles and texts a
 backslash becomes ``\\b`` and ``<`` becomes ``\\l`` (in a role a line break becomes ``\\n``), so no
 marker can occur in them and reading back is exact. The loss mask names, for each assistant turn, the
@@ -10,7 +11,8 @@ span of its escaped text. Only DataFrame functions run here.
 
 Defined results: null texts and roles count as empty; rows of a conversation go by turn, then role,
 then text, null turns first; repeated rows are turns of their own; a record of an unknown layout has
-layout null and no turns; an empty table gives an empty table; columns beyond a mapping's are ignored.
+layout null and no turns; an empty table gives an empty table; columns beyond a mapping's are ignored,
+as are a record's further keys.
 """
 
 from __future__ import annotations
@@ -65,6 +67,20 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
+def by_size() -> list[Mapping]:
+    """The mappings, those with the most paths first."""
+    return sorted(MAPPINGS, key=lambda m: -len(m.paths()))
+
+
+def selected(paths: Column, among: list[Mapping]) -> Column:
+    """Place in ``among`` of the first mapping whose fingerprint is that of its own paths among ``paths``; null if there is none."""
+    at = F.lit(None).cast("int")
+    for k, m in reversed(list(enumerate(among))):
+        own = F.array(*(F.lit(p) for p in m.paths()))
+        at = F.when(fingerprint(F.array_intersect(paths, own)) == fingerprint(own), F.lit(k)).otherwise(at)
+    return at
+
+
 def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     """Nested field paths of a schema, the elements of an array as []."""
     if isinstance(schema, T.StructType):
@@ -74,22 +90,25 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def mapping_of(schema: T.StructType) -> Mapping | None:
-    """The mapping with the most paths whose hash equals that of the same-named paths of the schema."""
-    paths = set(schema_paths(schema))
-    fits = [m for m in MAPPINGS if sorted(paths & set(m.paths())) == m.paths()]
-    return max(fits, key=lambda m: len(m.paths()), default=None)
+def mapping_of(spark: SparkSession, schema: T.StructType) -> Mapping | None:
+    """The mapping with the most paths whose fingerprint is that of the same-named paths of the schema."""
+    among = by_size()
+    paths = F.array(*(F.lit(p) for p in schema_paths(schema))).cast("array<string>")
+    at = spark.range(1).select(selected(paths, among).alias("at")).head()["at"]
+    return None if at is None else among[at]
 
 
 def record_paths(record: Column) -> Column:
-    """Field paths of each JSON record: its keys, and for an array of objects the keys of its first element as name[].key."""
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """Field paths of each JSON record: its keys, and for an array of objects the keys of all its elements as name[].key."""
+    fields = F.coalesce(F.from_json(record, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
-    def below(key: Column) -> Column:
-        own = F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("'][0]"))))
-        return F.when(own.isNull(), F.array(key)).otherwise(F.transform(own, lambda k: F.concat(key, F.lit("[]."), k)))
+    def below(key: Column, value: Column) -> Column:
+        first = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("'][0]")))  # null for a string that holds JSON
+        elements = F.from_json(F.when(first.isNotNull(), value), "array<string>")
+        own = F.array_distinct(F.flatten(F.transform(elements, lambda e: F.coalesce(F.json_object_keys(e), F.array().cast("array<string>")))))
+        return F.when(F.coalesce(F.size(own), F.lit(0)) < 1, F.array(key)).otherwise(F.transform(own, lambda k: F.concat(key, F.lit("[]."), k)))
 
-    return F.flatten(F.transform(keys, below))
+    return F.array_distinct(F.flatten(F.transform(F.map_entries(fields), lambda e: below(e["key"], e["value"]))))
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -105,11 +124,10 @@ def unescaped(text: Column, role: bool = False) -> Column:
 
 def turns_of_records(df: DataFrame, record: str = "record") -> DataFrame:
     """``df`` with layout and turns of each JSON record in the string column ``record``."""
-    hashed = df.withColumn("_layout_hash", fingerprint(record_paths(F.col(record))))
+    among = [m for m in by_size() if not m.rows]
+    chosen = df.withColumn("_paths", record_paths(F.col(record))).withColumn("_mapping", selected(F.col("_paths"), among))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for m in MAPPINGS:
-        if m.rows:
-            continue
+    for k, m in enumerate(among):
         if m.listed:
             of, role, text = m.listed
             listed = F.from_json(F.get_json_object(record, f"$.{of}"), f"array<struct<`{role}`:string,`{text}`:string>>")
@@ -117,9 +135,9 @@ def turns_of_records(df: DataFrame, record: str = "record") -> DataFrame:
         else:
             own = F.array(*(F.struct(F.lit(role).alias("role"), F.get_json_object(record, f"$.{path}").alias("text")) for role, path in m.fixed))
             own = F.filter(own, lambda x: F.coalesce(x["text"], F.lit("")) != "")
-        this = F.col("_layout_hash") == fingerprint(F.array(*(F.lit(p) for p in m.paths())))
+        this = F.col("_mapping") == k
         layout, turns = F.when(this, F.lit(m.name)).otherwise(layout), F.when(this, own).otherwise(turns)
-    return hashed.select(*(c for c in df.columns if c not in ("layout", "turns")), layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
+    return chosen.select(*(c for c in df.columns if c not in ("layout", "turns")), layout.alias("layout"), F.coalesce(turns, F.array().cast(TURNS)).alias("turns"))
 
 
 def as_turn(role: str, text: str):
@@ -134,7 +152,7 @@ def canonical(role: Column) -> Column:
 
 def turns_of_rows(df: DataFrame) -> DataFrame:
     """conv_id and turns of each conversation in a table with one turn a row; the schema's fingerprint selects the columns."""
-    m = mapping_of(df.schema)
+    m = mapping_of(df.sparkSession, df.schema)
     if m is None or m.rows is None:
         raise ValueError(f"no mapping has turn rows with the fields {sorted(schema_paths(df.schema))}")
     conversation, order, role, text = (F.col(c) for c in m.rows)

@@ -347,6 +347,27 @@ def test_chat_layouts(spark):
     assert [[(t.role, t.text) for t in r.turns] for r in got[:4]] == [[("user", "a"), ("assistant", "b")], [("user", "hi"), ("assistant", "yo")], [("user", "q"), ("assistant", "r")], [("user", "do"), ("assistant", "done")]]
 
 
+def test_chat_layouts_with_further_keys(spark):
+    records = [
+        ('{"id":1,"messages":[{"role":"user","content":"hi","name":"n"},{"role":"assistant","content":"yo"}]}', "messages", [("user", "hi"), ("assistant", "yo")]),
+        ('{"messages":[{"role":"system"},{"role":"user","content":"q"}],"meta":{"a":[1]}}', "messages", [("system", None), ("user", "q")]),
+        ('{"source":"s","completion":"b","prompt":"[{\\"x\\":1}]"}', "prompt", [("user", '[{"x":1}]'), ("assistant", "b")]),
+        ('{"instruction":"do","output":"done","tag":null}', "instruction", [("user", "do"), ("assistant", "done")]),
+        ('{"instruction":"do","input":"it","output":"done","n":1}', "instruction with input", [("user", "do"), ("user", "it"), ("assistant", "done")]),
+        ('{"messages":[{"role":"user"}],"id":2}', None, []), ('{"prompt":[{"a":1}],"completion":"b"}', None, []), ("[]", None, []), ('{"id":1,"id":2,"prompt":"a","completion":"b"}', "prompt", [("user", "a"), ("assistant", "b")]),
+    ]
+    got = chat_format.turns_of_records(spark.createDataFrame([(i, r[0]) for i, r in enumerate(records)], "n int, record string")).orderBy("n").collect()
+    assert [(r.layout, [(t.role, t.text) for t in r.turns]) for r in got] == [x[1:] for x in records]
+
+
+def test_rows_are_selected_by_fingerprint(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "t", "more")], "conv_id long, turn long, role string, text string, further string")
+    assert chat_format.mapping_of(spark, rows.schema).name == "turn rows" and chat_format.mapping_of(spark, rows.drop("role").schema) is None
+    monkeypatch.setattr(chat_format, "fingerprint", lambda paths: F.xxhash64(F.rand()))
+    with pytest.raises(ValueError):
+        chat_format.turns_of_rows(rows)
+
+
 # --- 10
 
 
