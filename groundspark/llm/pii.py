@@ -39,11 +39,12 @@ BASE = {
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+AT = re.compile(r"\[at\]|\(at\)")
+LOOSE_DOMAIN = re.compile(r" ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]+)+")
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{1,63})+"),
     "phone": re.compile(r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "secret": re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,512})"),
+    "secret": re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{12,}(?:\.[A-Za-z0-9+/_=-]+)*)"),
 }
 DIGIT = re.compile("[0-9]")
 #: Gazetteers and context words of each kind.
@@ -107,10 +108,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def loose_emails(text: str) -> list[tuple[int, int, str]]:
+    """Emails with (at) or [at], read as ``emails`` reads those with @."""
+    found, done = [], 0
+    for at in AT.finditer(text):
+        end = at.start()
+        if end > done and text[end - 1] == " ":
+            end -= 1
+        start = end
+        while start > done and text[start - 1] in MAILBOX:
+            start -= 1
+        if start < end and (m := LOOSE_DOMAIN.match(text, at.end())):
+            found.append((start, m.end(), "email"))
+            done = m.end()
+    return found
+
+
 def loose_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "(at)" in text or "[at]" in text:
-        found += [(m.start(), m.end(), "email") for m in LOOSE["email"].finditer(text)]
+        found += loose_emails(text)
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret") for m in LOOSE["secret"].finditer(text)]
     if "-" in text or "(" in text or "." in text:
@@ -143,13 +160,13 @@ def votes(text: str, start: int, end: int, kind: str, base: bool) -> list[int]:
         known = 2 if span.startswith("+") or "555" in digits else 0
     elif kind == "secret":
         check = 2 if entropy(span) > 3 and DIGIT.search(span) else 1
-        known = 2 if re.fullmatch(r"[0-9a-f]{32,}|[A-Za-z0-9+/=_-]{20,}", span) else 1
+        known = 2 if re.fullmatch(r"[0-9a-f]{32,}|[A-Za-z0-9+/=_.-]{20,}", span) else 1
     else:
         check = 1 if digits.startswith(("000", "666", "9")) or digits[3:5] == "00" or digits[5:] == "0000" else 2
         known = 0
     cue = 2 if any(c in before for c in CUES[kind]) else 0
     beside = 1 if left.isalnum() or right.isalnum() or (left in "./-_" and left and kind in ("ip", "card", "ssn")) else 2
-    typical = {"email": (8, 80), "ip": (7, 15), "card": (14, 23), "phone": (10, 22), "secret": (16, 256), "ssn": (11, 11)}[kind]
+    typical = {"email": (8, 80), "ip": (7, 15), "card": (14, 23), "phone": (10, 22), "secret": (16, math.inf), "ssn": (11, 11)}[kind]
     shape = 2 if typical[0] <= len(span) <= typical[1] else 1
     return [strict, check, known, cue, beside, shape]
 

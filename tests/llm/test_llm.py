@@ -386,6 +386,24 @@ def test_pii_base(spark, documents):
         assert got[d].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and set(text.split(",")) <= set(got[d].spans.split(","))
 
 
+def test_pii_loose_spans_are_whole():
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(n))
+    for value, kind, form in [
+        (draw(3000), "secret", "api_key = '{}' ok"), (f"{draw(36)}.{draw(400)}.{draw(43)}", "secret", "token: {}. Next"), (f"{draw(100)}(at){draw(70)}.org", "email", "to {} ok"),
+        ("a.b [at] c-d [dot] com", "email", "x {} y"), (draw(200000), "secret", "token={}"),
+    ]:
+        text = form.format(value)
+        start = text.index(value)
+        assert (start, start + len(value), kind) in pii.loose_spans(text), text[:80]
+        if kind == "secret":
+            assert pii.votes(text, start, start + len(value), kind, False) == [2, 2, 2, 2, 2, 2]
+    plain = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]+)+")
+    for _ in range(20000):
+        text = "".join(rng.choice(["a", "b", ".", " ", "(at)", "[at]", "(dot)", "-"]) for _ in range(rng.randrange(16)))
+        assert pii.loose_emails(text) == [(m.start(), m.end(), "email") for m in plain.finditer(text)], text
+
+
 def test_pii_patterns_read_long_runs_once():
     rng = random.Random(6)
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
