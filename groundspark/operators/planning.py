@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalise_first, collapse, contains_any, phrase, question, word_grams
@@ -20,6 +20,8 @@ FAMILY_SIGNALS = {
     ("overdosage", "overdose"): {"overdose": 5, "too much": 4, "excess amount": 4},
     ("how_supplied_storage_and_handling", "storage"): {"store": 5, "storage": 5, "room temperature": 4, "refrigerate": 4},
 }
+#: Approximate names: edits, characters of a term, and concepts of a term that are kept.
+MOST_EDITS, LEAST_NEAR, MOST_NEAR = 2, 5, 5
 SAFETY = ("warning", "warnings", "risk", "dangerous", "serious", "fatal", "harm", "can cause", "could cause")
 POPULATION = ("pregnant", "pregnancy", "breastfeeding", "nursing", "children", "child", "pediatric", "elderly", "geriatric", "unborn baby")
 MODAL_CAUSE = r"\b(?:can|could|does|do|may|might|will|would)\s+(?:[a-z0-9]+\s+){0,4}cause\b"
@@ -121,20 +123,42 @@ def candidate_spans(questions: DataFrame) -> DataFrame:
     return per.select("query_id", F.posexplode("s").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("place"), "x.span", "x.normal")
 
 
+def near_names(terms: DataFrame, named: DataFrame) -> DataFrame:
+    """term, rxcui, name, tty, other, edits: the names (``named.normal``) within MOST_EDITS of each term of at least LEAST_NEAR characters.
+
+    Of a name cut into MOST_EDITS + 1 pieces, one is left whole by as many edits and stands in the term at most MOST_EDITS places off; pairs that share such a piece are compared.
+    """
+    pieces, off = range(MOST_EDITS + 1), range(-MOST_EDITS, MOST_EDITS + 1)
+
+    def piece(text: Column, n: Column, k: int, shift: int) -> Column:
+        start = F.floor(n * k / len(pieces)).cast("int")
+        at, width = start + shift, F.floor(n * (k + 1) / len(pieces)).cast("int") - start
+        return F.when((width > 0) & (at >= 0) & (at + width <= F.length(text)), F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(text, at + 1, width).alias("piece")))
+
+    def dealt(df: DataFrame, found: list[Column]) -> DataFrame:
+        return df.select(*df.columns, F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("p")).select(*df.columns, "p.n", "p.k", "p.piece")
+
+    own, other, size = F.col("normal"), F.col("other"), F.length("normal")
+    asked = dealt(terms.filter(size >= LEAST_NEAR), [piece(own, size + d, k, shift) for d in off for k in pieces for shift in off])
+    known = dealt(named.withColumnRenamed("normal", "other"), [piece(other, F.length(other), k, 0) for k in pieces])
+    pairs = asked.join(known, ["n", "k", "piece"]).select("term", "normal", "rxcui", "name", "tty", "other").distinct()
+    return pairs.withColumn("edits", F.levenshtein("normal", "other")).filter(F.col("edits") <= MOST_EDITS).drop("normal")
+
+
 def resolve_terms(terms: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
     """term, match_method, rxcui, tty, concept, corpus_matches, resolution. Exact names or synonyms first; only terms without one are matched approximately
-    (at most two edits, among aliases with the same first letter); ingredients lead to the corpus."""
+    (at most two edits, the best MOST_NEAR distinct concepts); ingredients of all of them lead to the corpus."""
     t = terms.select("term").distinct().withColumn("normal", phrase(F.col("term")))
     named = aliases.select("rxcui", "name", "tty", F.explode(F.array_distinct(F.array(*(phrase(F.col(c)) for c in ("alias", "name", "synonym"))))).alias("normal")).filter("normal <> ''").distinct()
-    exact = t.join(named, "normal").select("term", "rxcui", "name", "tty", F.lit("exact").alias("match_method"))
-    rest = t.join(exact.select("term"), "term", "left_anti").withColumn("block", F.substring("normal", 1, 1))
-    near = rest.join(named.withColumnRenamed("normal", "other").withColumn("block", F.substring("other", 1, 1)), "block").withColumn("edits", F.levenshtein("normal", "other")).filter((F.col("edits") <= 2) & (F.length("normal") >= 5))
-    near = near.groupBy("term").agg(F.min_by(F.struct("rxcui", "name", "tty"), F.struct("edits", "other", "rxcui")).alias("c")).select("term", "c.*", F.lit("approximate").alias("match_method"))
+    exact = t.join(named, "normal").select("term", "rxcui", "name", "tty", F.lit("exact").alias("match_method"), F.lit(0).alias("edits"), F.lit("").alias("other"))
+    near = near_names(t.join(exact.select("term"), "term", "left_anti"), named).groupBy("term", "rxcui").agg(F.min(F.struct("edits", "other", "name", "tty")).alias("c")).select("term", "rxcui", "c.*")
+    rank = F.row_number().over(Window.partitionBy("term").orderBy("edits", "other", "rxcui"))
+    near = near.withColumn("rank", rank).filter(F.col("rank") <= MOST_NEAR).select("term", "rxcui", "name", "tty", F.lit("approximate").alias("match_method"), "edits", "other")
     found = exact.unionByName(near)
     related = found.join(relations.filter("related_tty IN ('IN', 'PIN')"), "rxcui").select("term", F.col("related_name").alias("n"))
     names = found.select("term", F.col("name").alias("n")).unionByName(related).withColumn("normal", phrase(F.col("n")))
     matches = names.join(corpus.select("concept_name", phrase(F.col("concept_name")).alias("normal")), "normal").groupBy("term").agg(F.array_sort(F.collect_set("concept_name")).alias("corpus_matches"))
-    best = found.groupBy("term").agg(F.min_by(F.struct("match_method", "rxcui", "name", "tty"), F.struct("rxcui", "name")).alias("c"), F.countDistinct("rxcui").alias("candidates"))
+    best = found.groupBy("term").agg(F.min_by(F.struct("match_method", "rxcui", "name", "tty"), F.struct("edits", "other", "rxcui", "name")).alias("c"), F.countDistinct("rxcui").alias("candidates"))
     out = t.join(best, "term", "left").join(matches, "term", "left").select("term", F.col("c.match_method"), F.col("c.rxcui"), F.col("c.name").alias("concept"), F.col("c.tty"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("corpus_matches", F.array().cast("array<string>")).alias("corpus_matches"))
     n = F.size("corpus_matches")
     return out.withColumn("resolution", F.when(F.col("rxcui").isNull(), "not_found").when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("not_in_corpus"))

@@ -58,3 +58,32 @@ def test_decomposition(spark):
     assert got["1"] == ("composed_answered", "Is Eliquis the same as apixaban?", "Can apixaban prevent stroke?")
     assert got["2"] == ("composed_answered", "Is Glucophage a brand name?", "What is metformin used for?")
     assert got["3"] == ("unsupported_decomposition", None, None)
+
+
+def test_approximate_names(spark):
+    """Near names decide together, errors in the first letter are found, and all pairs within two edits are compared."""
+    import random
+
+    from groundspark.schemas import ALIASES, CONCEPT_RELATIONS
+
+    rows = [("hydroxyzine", "1", "hydroxyzine", None, "IN"), ("hydroxyzide", "2", "hydroxyzide", None, "IN"), ("metformin", "3", "metformin", None, "IN"), *((f"abcdefg{x}", f"x{x}", f"abcdefg{x}", None, "IN") for x in "hijklmn")]
+    corpus = spark.createDataFrame([("hydroxyzine",), ("hydroxyzide",), ("metformin",)], "concept_name string")
+    terms = spark.createDataFrame([("hydroxyzi e",), ("netformin",), ("etformin",), ("abcdefgz",)], "term string")
+    got = {r.term: r for r in P.resolve_terms(terms, spark.createDataFrame(rows, ALIASES), spark.createDataFrame([], CONCEPT_RELATIONS), corpus).collect()}
+    assert (got["hydroxyzi e"].resolution, got["hydroxyzi e"].corpus_matches) == ("ambiguous", ["hydroxyzide", "hydroxyzine"])
+    assert {(got[t].resolution, got[t].rxcui) for t in ("netformin", "etformin")} == {("resolved", "3")}
+    assert (got["abcdefgz"].candidates, got["abcdefgz"].rxcui) == (5, "xh")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 10))) for _ in range(150)})
+    named = spark.createDataFrame([(w, w, "IN", w) for w in words], "rxcui string, name string, tty string, normal string")
+    near = P.near_names(spark.createDataFrame([(w, w) for w in words], "term string, normal string"), named).collect()
+    assert sorted((r.term, r.other) for r in near) == sorted((a, b) for a in words if len(a) >= 5 for b in words if edits(a, b) <= 2)
