@@ -7,12 +7,12 @@ two classes; a row has unit length. The hinge loss is minimised by dual coordina
 al. 2008), the weights are drawn towards their mean size (Wang and Manning 2012), and a logistic curve,
 fitted on rows that the weights have not seen, turns margins into scores.
 
-The model is fitted on a sample of about FIT_ROWS labelled rows, picked by a hash of doc_id; rows of the
-held-out fold (crc32 of doc_id as text divisible by 5) are never in it. Every document is scored by its
+The model is fitted on a sample of about FIT_ROWS labelled documents, picked by a hash of doc_id, of at most
+FIT_CELLS cells each; those of the held-out fold (crc32 of doc_id as text divisible by 5) are never in it. Every document is scored by its
 whole text; nothing but the text enters a score.
 
 Defined results: null and empty texts have no n-grams and get the score of a zero margin; rows without a
-doc_id or a label are not fitted on; equal rows get equal scores; where labels lack one of the classes,
+doc_id or a label are not fitted on; of rows that share a doc_id one is fitted on; equal rows get equal scores; where labels lack one of the classes,
 each score is 0.5; a null doc_id counts as held out; an empty table gives an empty table; other columns of
 the input are kept, a column named score is replaced.
 """
@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from ._common import in_slices, mix64, table, utf8
 
 BITS = 18
-FIT_ROWS = 10_000
+#: The fit sample's bound: documents, and cells of a document (a longer one is not fitted on).
+FIT_ROWS, FIT_CELLS = 10_000, 1 << 14
 FOLDS = 5
 KEPT_FROM = 0.3
 COST, ROUNDS, SMOOTHING, BLEND, SEED = 1.0, 12, 1.0, 0.25, 7
@@ -50,56 +51,136 @@ def _byte_kinds() -> np.ndarray:
 
 
 KINDS = _byte_kinds()
-BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes whose tokens are read at once: what a task holds beside its batch doesn't grow with a text.
+PIECE = 1 << 17
+with np.errstate(over="ignore"):
+    POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full(PIECE - 1, BASE))))
 
 
-def ngram_cells(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells of each text, as rows and cells side by side, rows ascending. ``raw``, ``at``: bytes and offsets as from utf8()."""
-    rows = len(at) - 1
-    if not len(raw):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    kind = KINDS[raw]
-    new = np.ones(len(raw), bool)
+@dataclass
+class Tokens:
+    """Words and runs of digits or punctuation in order: the row, a hash of the bytes and the shape of each."""
+
+    row: np.ndarray
+    word: np.ndarray
+    shape: np.ndarray
+    letters: np.uint64 | None  # the last word's hash
+
+    def tail(self) -> Tokens:
+        return Tokens(self.row[-2:], self.word[-2:], self.shape[-2:], self.letters)
+
+    def then(self, more: Tokens) -> Tokens:
+        return Tokens(*(np.concatenate([getattr(t, c) for t in (self, more)]) for c in ("row", "word", "shape")), more.letters)
+
+
+def tokens(raw: np.ndarray, at: np.ndarray, before: np.uint64 | None = None) -> Tokens:
+    """Of at most PIECE bytes, or of one token of any length. ``before``: the word before, if the first row goes on from there."""
+    kind = KINDS[raw[:1]] if len(raw) > PIECE else KINDS[raw]
+    new = np.ones(len(kind), bool)
     new[1:] = kind[1:] != kind[:-1]
-    new[at[:-1][at[:-1] < len(raw)]] = True
+    new[at[:-1][at[:-1] < len(kind)]] = True
     begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(raw))
-    kinds = kind[begin]
-    word = kinds != SPACE
-    begin, end, kinds = begin[word], end[word], kinds[word]
-    if not len(begin):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    row = np.searchsorted(at, begin, "right") - 1
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), BASE))))
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
-        back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(raw), INVERSE))))
-        word = mix64((sums[end] - sums[begin]) * back[begin])
-        upper = np.concatenate(([0], np.cumsum((raw >= 65) & (raw <= 90))))
-        lower = np.concatenate(([0], np.cumsum((raw >= 97) & (raw <= 122))))
-        ups, lows = upper[end] - upper[begin], lower[end] - lower[begin]
-        letters = np.flatnonzero(kinds == LETTER)
-        same = np.zeros(len(word), bool)
-        same[letters[1:]] = (word[letters[1:]] == word[letters[:-1]]) & (row[letters[1:]] == row[letters[:-1]])
-        case = np.where((ups > 1) & (lows == 0), 3, np.where(ups > 0, 2, 1)) + 4 * same
-        shape = np.where(kinds == LETTER, case, np.where(kinds == DIGIT, 9, 0)).astype(np.uint64)
-        shape = np.where(kinds == PUNCTUATION, word | np.uint64(16), shape)
-        two = row[1:] == row[:-1]
-        three = two[1:] & two[:-1]
-        mixed = mix64(shape + np.uint64(11))
-        grams = [
-            (row, word),
-            (row[1:][two], mix64(word[:-1] * np.uint64(3) + word[1:] + np.uint64(1))[two]),
-            (row, mixed),
-            (row[1:][two], mix64(mixed[:-1] * np.uint64(5) + mixed[1:] + np.uint64(2))[two]),
-            (row[2:][three], mix64(mixed[:-2] * np.uint64(25) + mixed[1:-1] * np.uint64(5) + mixed[2:] + np.uint64(3))[three]),
-        ]
+    if len(raw) > PIECE:
+        word, upper, lower = (np.array([x]) for x in long_token(raw))
+    else:
+        place = np.arange(len(raw)) - np.repeat(begin, np.diff(np.append(begin, len(raw))))
+        word = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * POWERS[place], begin)
+        upper, lower = (np.add.reduceat(((raw >= least) & (raw <= most)).astype(np.int32), begin) for least, most in ((65, 90), (97, 122)))
+    seen = kind[begin] != SPACE
+    kind, word, row = kind[begin][seen], mix64(word[seen]), np.searchsorted(at, begin[seen], "right") - 1
+    upper, lower = upper[seen], lower[seen]
+    letters = np.flatnonzero(kind == LETTER)
+    same = np.zeros(len(word), bool)
+    same[letters[1:]] = (word[letters[1:]] == word[letters[:-1]]) & (row[letters[1:]] == row[letters[:-1]])
+    if before is not None and len(letters) and row[letters[0]] == 0:
+        same[letters[0]] = word[letters[0]] == before
+    case = np.where((upper > 1) & (lower == 0), 3, np.where(upper > 0, 2, 1)) + 4 * same
+    shape = np.where(kind == LETTER, case, np.where(kind == DIGIT, 9, 0)).astype(np.uint64)
+    shape = np.where(kind == PUNCTUATION, word | np.uint64(16), shape)
+    return Tokens(row, word, shape, word[letters[-1]] if len(letters) else before)
+
+
+def long_token(raw: np.ndarray) -> tuple[np.uint64, int, int]:
+    """The hash of a token over PIECE bytes, and how many upper and lower case letters it has."""
+    word, upper, lower, power = np.zeros(1, np.uint64), 0, 0, np.ones(1, np.uint64)
+    for k in range(0, len(raw), len(POWERS)):
+        part = raw[k : k + len(POWERS)]
+        word += ((part.astype(np.uint64) + np.uint64(1)) * POWERS[: len(part)]).sum(keepdims=True) * power
+        power = power * POWERS[-1:] * BASE
+        upper += int(((part >= 65) & (part <= 90)).sum())
+        lower += int(((part >= 97) & (part <= 122)).sum())
+    return word[0], upper, lower
+
+
+def gram_cells(t: Tokens, seen: int = 0) -> np.ndarray:
+    """Distinct cells of each row's grams, packed with the row, ascending; of the grams that end after the first ``seen`` tokens."""
+    row, word, shape = t.row, t.word, t.shape
+    two = row[1:] == row[:-1]
+    three = two[1:] & two[:-1]
+    two[: max(seen - 1, 0)] = three[: max(seen - 2, 0)] = False
+    mixed = mix64(shape + np.uint64(11))
+    grams = [
+        (row[seen:], word[seen:]),
+        (row[1:][two], mix64(word[:-1] * np.uint64(3) + word[1:] + np.uint64(1))[two]),
+        (row[seen:], mixed[seen:]),
+        (row[1:][two], mix64(mixed[:-1] * np.uint64(5) + mixed[1:] + np.uint64(2))[two]),
+        (row[2:][three], mix64(mixed[:-2] * np.uint64(25) + mixed[1:-1] * np.uint64(5) + mixed[2:] + np.uint64(3))[three]),
+    ]
     both = np.concatenate([(r << BITS) | (h >> np.uint64(64 - BITS)).astype(np.int64) for r, h in grams])
     both.sort()
-    both = both[np.concatenate(([True], both[1:] != both[:-1]))]
-    assert rows <= 1 << 40
-    return both >> BITS, both & ((1 << BITS) - 1)
+    return both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+
+
+def long_text_cells(raw: np.ndarray) -> np.ndarray:
+    """Distinct cells of one text, piece by piece. Pieces end between tokens; the two tokens before a piece lead its first grams."""
+    found = np.zeros(1 << BITS, bool)
+    last: Tokens | None = None
+    begin = 0
+    while begin < len(raw):
+        kind = KINDS[raw[begin : begin + PIECE]]
+        borders = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        if begin + PIECE >= len(raw):
+            end = len(raw)
+        elif len(borders):
+            end = begin + int(borders[-1])
+        else:
+            end = token_end(raw, begin)
+        own = tokens(raw[begin:end], np.array([0, end - begin]), last.letters if last else None)
+        if len(own.row):
+            whole = last.then(own) if last else own
+            found[gram_cells(whole, len(whole.row) - len(own.row))] = True
+            last = whole.tail()
+        begin = end
+    return np.flatnonzero(found)
+
+
+def token_end(raw: np.ndarray, begin: int) -> int:
+    at = begin + 1
+    while at < len(raw):
+        other = KINDS[raw[at : at + PIECE]] != KINDS[raw[begin]]
+        if other.any():
+            return at + int(other.argmax())
+        at += len(other)
+    return at
+
+
+def ngram_cells(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of each text, as rows and cells side by side, rows ascending. ``raw``, ``at``: bytes and offsets as from utf8()."""
+    rows, cells, begin = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while begin < len(at) - 1:
+        end = int(np.searchsorted(at, at[begin] + PIECE, "right")) - 1
+        if end <= begin:
+            end = begin + 1
+            found = long_text_cells(raw[at[begin] : at[end]])
+        elif at[end] > at[begin]:
+            found = gram_cells(tokens(raw[at[begin] : at[end]], at[begin : end + 1] - at[begin]))
+        else:
+            found = cells[0]
+        rows.append((found >> BITS) + begin)
+        cells.append(found & ((1 << BITS) - 1))
+        begin = end
+    return np.concatenate(rows), np.concatenate(cells)
 
 
 @dataclass
@@ -218,15 +299,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     sample = docs.select(F.col("doc_id"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "text"):
+        for batch in in_slices(batches, "text", 1 << 20):
             row, cell = ngram_cells(*utf8(batch.column("text")))
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(cell.astype(np.int32)))], ["doc_id", "quality", "cells"])
 
-    got = sample.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality long, cells array<int>").toArrow().combine_chunks()
+    rows = sample.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality long, cells array<int>").filter(F.size("cells") <= FIT_CELLS)
+    # One row of each doc_id, so the driver gets no more than FIT_ROWS rows (to a sampling error) of FIT_CELLS cells.
+    got = rows.groupBy("doc_id").agg(F.min(F.struct(F.size("cells").alias("n"), "cells", "quality")).alias("r")).select("doc_id", "r.quality", "r.cells").toArrow().combine_chunks()
     if not got.num_rows:
         return Classifier(Model(None), None)
-    got = got.take(pa.array(np.lexsort((np.array([len(x) for x in got["cells"]]), got["doc_id"].to_numpy()))))
+    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy())))
     cells = got["cells"].combine_chunks()
     sizes = np.diff(cells.offsets.to_numpy())
     return train(np.repeat(np.arange(got.num_rows), sizes), cells.flatten().to_numpy().astype(np.int64), got["quality"].to_numpy() == 1)
@@ -239,7 +322,7 @@ def score(df: DataFrame, classifier: Classifier, text: str = "text") -> DataFram
     schema = schema.add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, text):
+        for batch in in_slices(batches, text, 1 << 20):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(classifier.scores(*utf8(batch.column(text))))], [*kept, "score"])
 
     return df.mapInArrow(run, schema)
