@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Local runs may go without it and get one of their own; a cluster may not."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.groundspark.shared.dir", None)
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="groundspark-")
         spark.conf.set("spark.groundspark.shared.dir", found)
     return found.rstrip("/")
@@ -104,6 +107,20 @@ def in_slices(batches: Iterable[pa.RecordBatch], by: str, most: int = 4 << 20) -
             begin = end
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are a row of ``kept`` (the same keys in order, and n, how many rows have them); one of those that have them all in common."""
+    names = [f"_{k}_{uuid.uuid4().hex}" for k in range(len(keys))]
+    keyed = docs.withColumns(dict(zip(names, keys, strict=True)))
+    theirs = [f"{x}_kept" for x in names]
+    kept = kept.toDF(*theirs, "n")
+    same = reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, theirs, strict=True)))
+    found = keyed.join(kept.filter("n = 1"), same, "left_semi")
+    repeated = kept.filter("n > 1")
+    if not repeated.isEmpty():  # a task passes on one row of each, however many there are
+        found = found.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(names))
+    return found.drop(*names)
+
+
 #: Words of a lower-cased text: digits, a-z and everything beyond ASCII. Text is cut at the rest.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -122,6 +139,7 @@ def rolling_hashes(words: str, k: int) -> Column:
     return F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(F.col(words), i + j) for j in range(1, k))))
 
 
-def broadcast_if_small(df: DataFrame, bytes_a_row: int, most: int = 32 << 20) -> DataFrame:
-    """``df``, a written table, marked for broadcast if its rows fit in ``most`` bytes; else joined as Spark sees fit."""
-    return F.broadcast(df) if df.count() * bytes_a_row <= most else df
+def broadcast_if_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows measure at most ``most`` bytes (as JSON); else joined as Spark sees fit."""
+    measured = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0]
+    return F.broadcast(df) if (measured or 0) <= most else df
