@@ -4,12 +4,15 @@ Each page is cut into text lines (the text of a block). Pages stand in order of
 page_id. Pages that follow each other and agree almost wholly (mirrors, repeats) are a run; a page's
 partner is the last page of the run before its own in its host, or, in a host's first run, the first page
 of the run after. Lines of page and partner are aligned by longest common subsequence, unless these two
-agree almost wholly as well: then nothing is deleted. A line that both share is a
-template's and is deleted, unless the page marks it as the article's own prose (a heading, paragraph,
-list item, quotation, table cell or preformatted text inside <article> or <main>): mirrored articles
-share those. Menus and adverts that differ from page to page share nothing with a neighbour, so blocks
-that are marked as such (nav, header, footer, aside, form, script ..., or a class or id that says so)
-are deleted too, and what lies outside the article where a page has one.
+agree almost wholly as well: then nothing is deleted. A line that both share is a template's and is
+deleted. Articles quote and copy each other, so one shared line of the article's own prose (a heading,
+paragraph, list item, quotation, table cell or preformatted text inside <article> or <main>) proves
+nothing: it is deleted where the host's other pairs share it too, at least TEMPLATE_SHARE of them and no
+fewer than TEMPLATE_PAIRS. Menus and adverts that differ from page to page share nothing with a neighbour, so
+what is marked as such (nav, header, footer, aside, form, script ..., or a class or id that says so)
+is deleted too, and what lies outside the article where a page has one. Marks are judged for each part of
+a block's text: an advert inside a sentence goes, the sentence stays. On the article's prose, words that
+also name its topics (WEAK_WORDS) are a hint only: such a line is deleted if the partner has it.
 
 Order and alignment work on line hashes and lengths, never on texts. The order is dealt in ranges; runs
 that reach a range's ends find their partners in other ranges, so the result doesn't depend on the ranges.
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, fan_out, in_slices, table, written
+from ._common import broadcast_if_small, fan_out, in_slices, small_batches, table, written
 
 #: Kinds of lines: of a marked block; the article's prose; other text in the article; other text of the page.
 MARKED, PROSE, INSIDE, UNSURE = 0, 1, 2, 3
@@ -59,53 +62,62 @@ MARK_WORDS = frozenset(
     "search complementary contentinfo".split()
 )
 HEADS = frozenset({"header", "masthead"})
+#: Of these, the words that on a paragraph, heading or list item of an article may as well name its topic.
+WEAK_WORDS = frozenset("search menu follow related recommended recommendations social share sharing header alert widget reply replies banner promotion".split())
 #: Share of the longer page's characters, marked blocks aside, from which two pages agree almost wholly.
 SAME_PAGE = 0.9
 #: Characters that two pages must share to agree: less is a stub ("Not found") that a template repeats, no mirrored text.
 LEAST_SAME = 60
+#: An article's line is a template's if it is shared in this share of a host's pairs of pages, and in so many.
+TEMPLATE_SHARE, TEMPLATE_PAIRS = 0.5, 2
 
 
-def marked(tag: str, attributes: str) -> bool:
+NOT_MARKED, IS_MARKED, HINT = range(3)
+
+
+def marked(tag: str, attributes: str, prose: bool) -> int:
+    """Whether an element is marked. ``prose``: it is of the article's prose, where some words are a hint only."""
     if tag in MARKS:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes or "=" not in attributes:
-        return False
+        return IS_MARKED
+    if tag in ("html", "body", "article", "main") or not attributes:
+        return NOT_MARKED
+    found = NOT_MARKED
     for m in NAMED.finditer(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())
-        if not MARK_WORDS.isdisjoint(words) or not HEADS.isdisjoint(words):
-            return True
-    return bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true", attributes))
+        words = {*re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())} & (MARK_WORDS | HEADS)
+        if words and not (prose and words <= WEAK_WORDS):
+            return IS_MARKED
+        found = HINT if words else found
+    return IS_MARKED if re.search(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true", attributes) else found
 
 
 def lines_of(page: str) -> tuple[list[str], list[int]]:
-    """The text lines of a page, one for each block with text, and the kind of each."""
+    """The text lines of a page, one for each block with text, and the kind of each. Marked parts of a block that has others are left out."""
     texts: list[str] = []
     kinds: list[int] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are marked
-    held: list[str] = []
-    deep = articles = 0  # marked and article elements that are open
-    now = MARKED
+    stack: list[tuple[str, int]] = []  # open elements, and whether they are marked
+    held: list[tuple[int, str]] = []
+    deep = hints = articles = 0  # marked, hinted and article elements that are open
 
     def close_block() -> None:
         if held:
-            text = SPACES.sub(" ", html_lib.unescape("".join(held))).strip()
+            own = [x for x in held if x[0] != MARKED and x[1].strip()]
+            for kind, parts in ((own[0][0] if own else MARKED, [x for k, x in held if k != MARKED]), (MARKED, [x for _, x in held])):
+                if text := SPACES.sub(" ", html_lib.unescape("".join(parts))).strip():
+                    texts.append(text)
+                    kinds.append(kind)
+                    break
             held.clear()
-            if text:
-                texts.append(text)
-                kinds.append(now)
 
     def pop() -> None:
-        nonlocal deep, articles
+        nonlocal deep, hints, articles
         tag, own = stack.pop()
-        deep -= own
+        deep -= own == IS_MARKED
+        hints -= own == HINT
         articles -= tag in ("article", "main")
 
     def text(part: str) -> None:
-        nonlocal now
         if part:
-            if not held or (now == UNSURE and not "".join(held).strip()):
-                now = MARKED if deep else INSIDE if articles and not any(t in PROSE_TAGS for t, _ in stack) else PROSE if articles else UNSURE
-            held.append(part)
+            held.append((MARKED if deep else UNSURE if not articles else PROSE if not hints and any(t in PROSE_TAGS for t, _ in stack) else INSIDE, part))
 
     at, n = 0, len(page)
     while at < n:
@@ -160,9 +172,10 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        own = marked(tag, m[3])
+        own = marked(tag, m[3], articles > 0 and tag in PROSE_TAGS)
         stack.append((tag, own))
-        deep += own
+        deep += own == IS_MARKED
+        hints += own == HINT
         articles += tag in ("article", "main")
     close_block()
     return texts, kinds
@@ -267,26 +280,46 @@ def agree(a: dict, b: dict) -> bool:
     return both >= max(LEAST_SAME, SAME_PAGE * most)
 
 
-def deleted(page: dict, partner: dict | None) -> list[int]:
-    """Places of the page's lines that it shares with its partner and that aren't the article's prose."""
-    if partner is None or not page["open"] or agree(page, partner):
-        return []
-    return sorted(set(common_places(page["lines"], partner["lines"])) & set(page["open"]))
+def shared(page: dict, partner: dict) -> tuple[list[int], list[int]]:
+    """Places of the page's lines that it shares with its partner: of those that one partner may delete, and of the article's prose."""
+    if agree(page, partner):
+        return [], []
+    both, open_ = set(common_places(page["lines"], partner["lines"])), set(page["open"])
+    return sorted(both & open_), sorted(both - open_)
+
+
+#: Rows of the pass over the ranges: a page and what it shares with its partner; a page whose partner isn't known yet; a run's
+#: first page that has a partner; the first page of the run after ``run``, which had no run of its host before it; a range's
+#: first and last page; and the partner of its last run.
+SHARED, OPEN, PAIR, AHEAD, FIRST, LAST, BACK = range(7)
+#: ``back``: the partner, where it is of the run before; ``prose``: places of prose lines.
+RESULT = "spot int, part int, run int, key long, host string, back long, gone array<int>, prose array<int>, prose_lines array<long>, lines array<long>, sizes array<int>, open array<int>"
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
+ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+KINDS = [ARROW[x.split()[1]] for x in RESULT.split(", ")]
+
+
+def row_of(spot: int, page: dict, number: int, **more) -> dict:
+    return {"spot": spot, "part": page["part"], "run": number, "key": page["key"], "host": page["host"]} | more
 
 
-#: Rows of the pass over the ranges: a settled page; a page whose partner isn't known yet; the first page of the
-#: run after ``run``, which had no run of its host before it; a range's first and last page; and the partner of its last run.
-SETTLED, OPEN, AHEAD, FIRST, LAST, BACK = range(6)
-RESULT = "spot int, part int, run int, key long, gone array<int>, host string, lines array<long>, sizes array<int>, open array<int>"
+def whole_row(spot: int, page: dict, number: int) -> dict:
+    return row_of(spot, page, number, **{c: page[c] for c in ("lines", "sizes", "open")})
+
+
+def shared_row(page: dict, number: int, partner: dict, back: int | None) -> dict | None:
+    gone, prose = shared(page, partner)
+    return row_of(SHARED, page, number, back=back, gone=gone, prose=prose, prose_lines=[page["lines"][k] for k in prose]) if gone or prose else None
+
+
+def batch_of(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in zip(NAMES, KINDS, strict=True)], NAMES)
 
 
 def template_lines(rows: DataFrame) -> DataFrame:
     """key, gone (places of template lines) of each page with any. ``rows``: from page_lines, written."""
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(fan_out(spark), *ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id())
-    names = [x.split()[0] for x in RESULT.split(", ")]
-    whole, places = pa.list_(pa.int64()), pa.list_(pa.int32())
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), places, pa.string(), whole, places, places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = back = None
@@ -304,47 +337,54 @@ def template_lines(rows: DataFrame) -> DataFrame:
                     if back is None:
                         out.append(whole_row(AHEAD, page, number))
                     number, back = number + 1, last
+                    out.append(row_of(PAIR, page, number, back=back["key"]))
                 if back is None:
                     out.append(whole_row(OPEN, page, number))
-                elif gone := deleted(page, back):
-                    out.append((SETTLED, page["part"], number, page["key"], gone, None, None, None, None))
+                elif found := shared_row(page, number, back, back["key"]):
+                    out.append(found)
                 last = page
             if out:
                 yield batch_of(out)
         if last is not None:
             yield batch_of([whole_row(LAST, last, number)] + ([whole_row(BACK, {**back, "part": last["part"]}, number)] if back is not None else []))
 
-    def whole_row(spot: int, page: dict, number: int) -> tuple:
-        return (spot, page["part"], number, page["key"], None, page["host"], page["lines"], page["sizes"], page["open"])
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    found = written(ordered.mapInArrow(run, RESULT), "page-template-lines")
+    found = written(ordered.mapInArrow(run, RESULT), "page-pairs")
     # At most four rows for each range.
     ends = found.filter(F.col("spot").isin(FIRST, LAST, BACK) | ((F.col("spot") == AHEAD) & (F.col("run") == 0))).collect()
-    partner = partners_across(ends)
-    across = spark.createDataFrame([(part, number, list(p["lines"]), list(p["sizes"])) for (part, number), p in partner.items()], "part int, run int, partner array<long>, partner_sizes array<int>")
-    inside = found.filter((F.col("spot") == AHEAD) & (F.col("run") > 0)).select("part", "run", F.col("lines").alias("partner"), F.col("sizes").alias("partner_sizes"))
+    across = [(part, number, page["host"], page["key"] if is_back else None, list(page["lines"]), list(page["sizes"])) for (part, number), (page, is_back) in partners_across(ends).items()]
+    across = spark.createDataFrame(across, "part int, run int, host string, partner_back long, partner array<long>, partner_sizes array<int>")
+    inside = found.filter((F.col("spot") == AHEAD) & (F.col("run") > 0)).select("part", "run", "host", F.lit(None).cast("long").alias("partner_back"), F.col("lines").alias("partner"), F.col("sizes").alias("partner_sizes"))
     partners = written(inside.unionByName(across), "page-partners")
-    left = found.filter((F.col("spot") == OPEN) & (F.size("open") > 0)).select("part", "run", "key", "lines", "sizes", "open")
-    left = left.join(broadcast_if_small(partners, 4096), ["part", "run"]).select("key", "lines", "sizes", "open", "partner", "partner_sizes")
+    left = found.filter(F.col("spot") == OPEN).join(broadcast_if_small(partners.drop("host")), ["part", "run"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = [deleted(page, {"lines": page["partner"], "sizes": page["partner_sizes"]}) for page in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gone, places)], ["key", "gone"])
+            out = [shared_row(page, page["run"], {"lines": page["partner"], "sizes": page["partner_sizes"]}, page["partner_back"]) for page in batch.to_pylist()]
+            yield batch_of([x for x in out if x])
+
+    late = left.select(*NAMES, "partner_back", "partner", "partner_sizes").mapInArrow(settle, RESULT)
+    columns = ["key", "host", "back", "gone", "prose", "prose_lines"]
+    both = written(found.filter(F.col("spot") == SHARED).unionByName(late).select(*columns), "page-shared")
+    pairs = found.filter(F.col("spot") == PAIR).select("host", "back").unionByName(partners.filter("partner_back IS NOT NULL").select("host", F.col("partner_back").alias("back")))
+    prose = both.select("key", "host", "back", F.inline(F.arrays_zip(F.col("prose").alias("place"), F.col("prose_lines").alias("line"))))
+    templates = host_templates(prose, pairs)
+    more = prose.join(templates, ["host", "line"]).groupBy("key").agg(F.collect_list("place").alias("gone"))
+    return both.filter(F.size("gone") > 0).select("key", "gone").unionByName(more).groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+
 
-    late = left.mapInArrow(settle, "key long, gone array<int>").filter(F.size("gone") > 0)
-    return found.filter(F.col("spot") == SETTLED).select("key", "gone").unionByName(late)
+def host_templates(prose: DataFrame, pairs: DataFrame) -> DataFrame:
+    """host, line of the article's prose lines that enough of the host's pairs share. ``pairs``: host, back of every pair."""
+    known = pairs.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pairs"))
+    support = prose.filter("back IS NOT NULL").select("host", "line", "back").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= TEMPLATE_PAIRS)
+    return support.join(known, "host").filter(F.col("n") >= TEMPLATE_SHARE * F.col("pairs")).select("host", "line")
 
 
-def partners_across(ends: list) -> dict[tuple[int, int], dict]:
-    """The partner of each run (part, run) that has none inside its range, or that a range before may have one for."""
+def partners_across(ends: list) -> dict[tuple[int, int], tuple[dict, bool]]:
+    """The partner of each run (part, run) that has none inside its range, or that a range before may have one for, and whether it is of the run before."""
     parts: dict[int, dict] = {}
     for e in ends:
         parts.setdefault(e["part"], {})[e["spot"]] = e
-    partner: dict[tuple[int, int], dict] = {}
+    partner: dict[tuple[int, int], tuple[dict, bool]] = {}
     last = back = None  # the last page so far, and the partner of its run
     waiting: list[tuple[int, int]] = []  # the parts of the last run, if no run of its host is before it
     for part, own in sorted(parts.items()):
@@ -352,15 +392,15 @@ def partners_across(ends: list) -> dict[tuple[int, int], dict]:
         if last is None or last["host"] != first["host"]:
             waiting, back = [], None
         elif not agree(last, first):
-            partner.update(dict.fromkeys(waiting, first))
+            partner.update(dict.fromkeys(waiting, (first, False)))
             waiting, back = [], last
         if back is None:
             waiting.append((part, 0))
         else:
-            partner[part, 0] = back
+            partner[part, 0] = back, True
         if (number := own[LAST]["run"]) > 0:
             if AHEAD in own:
-                partner.update(dict.fromkeys(waiting, own[AHEAD]))
+                partner.update(dict.fromkeys(waiting, (own[AHEAD], False)))
             back = own.get(BACK)
             waiting = [(part, number)] if back is None else []
         last = own[LAST]
@@ -369,9 +409,10 @@ def partners_across(ends: list) -> dict[tuple[int, int], dict]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of (page_id, url, html)."""
+    small_batches(pages.sparkSession)
     gone = written(template_lines(written(page_lines(pages), "page-lines")), "page-gone")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), page_key().alias("key"))
-    rows = rows.join(broadcast_if_small(gone, 256), "key", "left").select("page_id", "url", "html", "gone")
+    rows = rows.join(broadcast_if_small(gone), "key", "left").select("page_id", "url", "html", "gone")
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
