@@ -52,7 +52,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r.k for r in items.select("k").distinct().collect())  # five values at most
     sketch = written(sketches(items), "benchmark-sketches")
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    small = broadcast_if_small(sketch, 64)
+    small = broadcast_if_small(sketch)
     found = []
     for k in lengths or [SHINGLE_WORDS]:
         grams = words.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(rolling_hashes("w", k)).alias("p", "h")).filter(F.col("p") <= F.col("n_words") - k)
@@ -62,10 +62,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for more in found[1:]:
         candidates = candidates.unionByName(more)
     candidates = written(candidates, "leak-candidates")
-    own = broadcast_if_small(candidates.select(F.col("doc_id").alias("_d"), "text_key", F.col("item_id").alias("_i")), 64)
+    own = broadcast_if_small(candidates.select(F.col("doc_id").alias("_d"), "text_key", F.col("item_id").alias("_i")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(own, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("_d")))
     texts = texts.select("doc_id", "_i", words_of(F.col("text")).alias("w"))
-    pairs = texts.join(broadcast_if_small(items, 4096), F.col("_i").eqNullSafe(F.col("item_id")))
+    pairs = texts.join(broadcast_if_small(items), F.col("_i").eqNullSafe(F.col("item_id")))
     pairs = pairs.select("doc_id", "item_id", "n", F.size(F.array_intersect(shingles("w", F.col("k")), "shingles")).alias("shared"))
     pairs = pairs.filter(F.col("shared") >= THRESHOLD * F.col("n") - 1e-9)
     # Equal ids with different texts: the best of them.
@@ -75,8 +75,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaks, with all their columns."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaking")
-    return docs.join(broadcast_if_small(found, 64), docs["doc_id"].eqNullSafe(F.col("_leak")), "left_anti")
+    found = broadcast_if_small(written(leaks(docs, benchmark).select("doc_id").distinct(), "leaking"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

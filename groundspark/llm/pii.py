@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import in_slices, table, written
+from ._common import in_slices, small_batches, table, written
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -136,6 +137,19 @@ def loose_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def apart_from(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of ``others``, which are ordered by start."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for begin, end, _ in others:
+        if ends and begin <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            begins.append(begin)
+            ends.append(end)
+    return [s for s in spans if (k := bisect_right(ends, s[0])) == len(ends) or begins[k] >= s[1]]
+
+
 def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in (text.count(c) for c in set(text)))
 
@@ -157,7 +171,7 @@ def votes(text: str, start: int, end: int, kind: str, base: bool) -> list[int]:
         known = 2 if digits[0] in "3456" else 1
     elif kind == "phone":
         check = 2 if 10 <= len(digits) <= 15 else 1
-        known = 2 if span.startswith("+") or "555" in digits else 0
+        known = 2 if span.startswith("+") or (digits[0] > "1" and digits[3] > "1") else 1  # numbering plan: area and exchange begin with 2 to 9
     elif kind == "secret":
         check = 2 if entropy(span) > 3 and DIGIT.search(span) else 1
         known = 2 if re.fullmatch(r"[0-9a-f]{32,}|[A-Za-z0-9+/=_.-]{20,}", span) else 1
@@ -185,7 +199,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                 found: list[dict] = []
                 if text:
                     own = base_spans(text)
-                    free = [s for s in loose_spans(text) if not any(s[0] < e and b < s[1] for b, e, _ in own)]
+                    free = apart_from(loose_spans(text), own)
                     for base, spans in ((True, own), (False, free)):
                         for start, end, kind in spans:
                             packed = sum(v * 3**k for k, v in enumerate(votes(text, start, end, kind, base)))
@@ -256,6 +270,7 @@ def learn(counts: pd.DataFrame) -> dict[tuple[int, int], float]:
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and found, the spans as structs."""
+    small_batches(docs.sparkSession)
     rows = written(candidates(docs), "pii-candidates")
     accepted = {key for key, p in learn(vote_counts(rows)).items() if p >= ACCEPT}
     counted = ", ".join(f"n_{k} long" for k in BASE_KINDS)

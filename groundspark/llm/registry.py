@@ -17,8 +17,8 @@ sized AS (SELECT item_id, w, least(len(w), 5) AS k FROM item_words WHERE len(w)
 item_grams AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
 sizes AS (SELECT item_id, count(*) AS n FROM item_grams GROUP BY item_id),
 doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-doc_grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words WHERE len(w) >= 5)),
-hits AS (SELECT doc_id, item_id, count(*) AS shared FROM doc_grams JOIN item_grams USING (g) WHERE k = 5 GROUP BY doc_id, item_id)
+doc_grams AS (SELECT DISTINCT doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k)),
+hits AS (SELECT doc_id, item_id, count(*) AS shared FROM doc_grams JOIN item_grams USING (k, g) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, shared, n AS n_shingles, shared / n AS containment FROM hits JOIN sizes USING (item_id) WHERE shared >= 0.8 * n - 1e-9
 """
 
