@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalise_first, collapse, contains_any, phrase, question, word_grams
-from .retrieval import tokens
+from ..sources.sinks import materialised
+from ..sources.tables import numbered
+from .retrieval import STOP, TOP_K, tokens
 
 # Weighted phrases of families and identity intents, phrases of unfiltered groups.
 FAMILY_SIGNALS = {
@@ -34,6 +36,7 @@ IDENTITY_SIGNALS = {
     "drug_identity_definition": {"what is": 2},
 }
 LABEL_PLANS = ("routed_single_family", "candidate_family_group_unfiltered")
+# Words of which a span of a question must not consist.
 SPAN_STOPS = tuple("a an and are as at be before can cause causes caused could do does drug for from have help if in is it may medication medicine of or should the this to treat treats use used using what when will with".split())
 MOST_SPANS, SPAN_WORDS, LEAST_SPAN = 18, 3, 4
 
@@ -148,13 +151,13 @@ def near_names(terms: DataFrame, named: DataFrame) -> DataFrame:
 def resolve_terms(terms: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
     """term, match_method, rxcui, tty, concept, corpus_matches, resolution. Exact names or synonyms first; only terms without one are matched approximately
     (at most two edits, the best MOST_NEAR distinct concepts); ingredients of all of them lead to the corpus."""
-    t = terms.select("term").distinct().withColumn("normal", phrase(F.col("term")))
+    t = materialised(terms.select("term").distinct().withColumn("normal", phrase(F.col("term"))))
     named = aliases.select("rxcui", "name", "tty", F.explode(F.array_distinct(F.array(*(phrase(F.col(c)) for c in ("alias", "name", "synonym"))))).alias("normal")).filter("normal <> ''").distinct()
     exact = t.join(named, "normal").select("term", "rxcui", "name", "tty", F.lit("exact").alias("match_method"), F.lit(0).alias("edits"), F.lit("").alias("other"))
     near = near_names(t.join(exact.select("term"), "term", "left_anti"), named).groupBy("term", "rxcui").agg(F.min(F.struct("edits", "other", "name", "tty")).alias("c")).select("term", "rxcui", "c.*")
     rank = F.row_number().over(Window.partitionBy("term").orderBy("edits", "other", "rxcui"))
     near = near.withColumn("rank", rank).filter(F.col("rank") <= MOST_NEAR).select("term", "rxcui", "name", "tty", F.lit("approximate").alias("match_method"), "edits", "other")
-    found = exact.unionByName(near)
+    found = materialised(exact.unionByName(near))
     related = found.join(relations.filter("related_tty IN ('IN', 'PIN')"), "rxcui").select("term", F.col("related_name").alias("n"))
     names = found.select("term", F.col("name").alias("n")).unionByName(related).withColumn("normal", phrase(F.col("n")))
     matches = names.join(corpus.select("concept_name", phrase(F.col("concept_name")).alias("normal")), "normal").groupBy("term").agg(F.array_sort(F.collect_set("concept_name")).alias("corpus_matches"))
@@ -170,7 +173,7 @@ def mentions(questions: DataFrame, aliases: DataFrame, relations: DataFrame, cor
     runs = questions.select("query_id", F.explode(word_grams(phrase(F.col("query")), MOST_WORDS)).alias("phrase"))
     direct = runs.join(names, "phrase").groupBy("query_id").agg(F.array_sort(F.collect_set("concept_name")).alias("direct"))
     open_ = questions.join(direct, "query_id", "left_anti")
-    spans = candidate_spans(open_)
+    spans = materialised(candidate_spans(open_))
     resolved = spans.join(resolve_terms(spans.select(F.col("span").alias("term")), aliases, relations, corpus).withColumnRenamed("term", "span"), "span")
     good = resolved.filter("resolution = 'resolved'").groupBy("query_id").agg(F.array_sort(F.collect_set(F.get("corpus_matches", F.lit(0)))).alias("drugs"), F.min_by("span", "place").alias("span"))
     unsure = resolved.filter("resolution = 'ambiguous'").select("query_id", F.lit(True).alias("unsure")).distinct()
@@ -193,10 +196,20 @@ def filter_resolution(questions: DataFrame, aliases: DataFrame, relations: DataF
 
 
 # Forms of identity questions; the groups are the terms.
-EQUIVALENCE = [rf"(?i)^\s*(?:is|are)\s+(.+?)\s+{x}\s+(.+?)\s*[?!.]*\s*$" for x in (r"(?:the\s+)?same\s+as", r"equivalent\s+to", r"another\s+name\s+for")]
+EQUIVALENCE = [
+    r"(?i)^\s*(?:is|are)\s+(.+?)\s+(?:the\s+)?same\s+as\s+(.+?)\s*[?!.]*\s*$",
+    r"(?i)^\s*(?:is|are)\s+(.+?)\s+equivalent\s+to\s+(.+?)\s*[?!.]*\s*$",
+    r"(?i)^\s*(?:is|are)\s+(.+?)\s+another\s+name\s+for\s+(.+?)\s*[?!.]*\s*$",
+]
 ONE_TERM = {
-    "generic_name_lookup": [rf"(?i)^\s*(?:what\s+is|what's)\s+(?:the\s+)?generic\s+{x}\s+(.+?)\s*[?!.]*\s*$" for x in (r"name\s+of", "for")],
-    "ingredient_identity": [r"(?i)^\s*(?:what\s+is|what's)\s+(?:the\s+)?active\s+ingredient\s+(?:in|of)\s+(.+?)\s*[?!.]*\s*$", r"(?i)^\s*(?:what\s+)?ingredient\s+(?:is\s+)?(?:in|of)\s+(.+?)\s*[?!.]*\s*$"],
+    "generic_name_lookup": [
+        r"(?i)^\s*(?:what\s+is|what's)\s+(?:the\s+)?generic\s+name\s+of\s+(.+?)\s*[?!.]*\s*$",
+        r"(?i)^\s*(?:what\s+is|what's)\s+(?:the\s+)?generic\s+for\s+(.+?)\s*[?!.]*\s*$",
+    ],
+    "ingredient_identity": [
+        r"(?i)^\s*(?:what\s+is|what's)\s+(?:the\s+)?active\s+ingredient\s+(?:in|of)\s+(.+?)\s*[?!.]*\s*$",
+        r"(?i)^\s*(?:what\s+)?ingredient\s+(?:is\s+)?(?:in|of)\s+(.+?)\s*[?!.]*\s*$",
+    ],
     "brand_name_of": [r"(?i)^\s*(?:what\s+is|what's)\s+(?:the\s+)?brand\s+name\s+of\s+(.+?)\s*[?!.]*\s*$"],
     "is_brand_name": [r"(?i)^\s*(?:is|are)\s+(.+?)\s+(?:a\s+)?brand\s+name\s*[?!.]*\s*$"],
     "drug_identity_definition": [r"(?i)^\s*(?:what\s+is|what's)\s+(.+?)\s*[?!.]*\s*$"],
@@ -284,8 +297,14 @@ def mixed_status(drug: Column, intent: Column, composition: Column, identity_ans
 GUARANTEE = ("guarantee", "guarantees", "guaranteed")
 THERAPEUTIC = ("treat", "treats", "treated", "cure", "cures", "used for", "help with", "help treat")
 NEGATIVE_EVIDENCE = ("does not", "do not", "is not", "are not", "not used", "not indicated", "not for", "cannot", "can't")
-NEGATIVE_ANSWER = ("no,", "no.", "doesn't", *NEGATIVE_EVIDENCE)
-TARGETS = [rf"\b(?:does|do|can|could|will|would|is|are)\s+.+?\s+{x}\s+(.+)$" for x in ("treat", "cure", "help treat", "help with")] + [r"\b(?:is|are)\s+.+?\s+used for\s+(.+)$"]
+NEGATIVE_ANSWER = ("no,", "no.", "does not", "do not", "doesn't", "is not", "are not", "not used", "not indicated", "not for", "cannot", "can't")
+TARGETS = [
+    r"\b(?:does|do|can|could|will|would|is|are)\s+.+?\s+treat\s+(.+)$",
+    r"\b(?:does|do|can|could|will|would|is|are)\s+.+?\s+cure\s+(.+)$",
+    r"\b(?:does|do|can|could|will|would|is|are)\s+.+?\s+help treat\s+(.+)$",
+    r"\b(?:does|do|can|could|will|would|is|are)\s+.+?\s+help with\s+(.+)$",
+    r"\b(?:is|are)\s+.+?\s+used for\s+(.+)$",
+]
 TARGET_STOPS = ("a", "an", "the", "of", "for", "to", "with", "in", "on", "from")
 
 
@@ -322,6 +341,11 @@ def foreign_citations(citations: Column, evidence_ids: Column) -> Column:
     return F.array_except(citations, evidence_ids)
 
 
+def prefixes_pass(citations: Column, prefixes: Column) -> Column:
+    """Whether every citation begins with one of the prefixes; no prefixes allow all."""
+    return (F.size(prefixes) == 0) | F.forall(citations, lambda c: F.exists(prefixes, lambda p: F.startswith(c, p)))
+
+
 def cited_text(evidence: Column, citations: Column) -> Column:
     """The texts of the evidence that is cited; unknown citations are passed over."""
     return F.array_join(F.transform(F.filter(evidence, lambda e: F.array_contains(citations, e["evidence_id"])), lambda e: e["text"]), "\n")
@@ -348,7 +372,7 @@ def answer_gates(answers: DataFrame) -> DataFrame:
 
 
 def workflow(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Each question's filter, plan, mention, route and branch. An explicit drug that can't be resolved ends as insufficient, whatever the branch."""
+    """``questions`` with each one's filter, plan, mention, route and branch. An explicit drug that can't be resolved ends as insufficient, whatever the branch."""
     filters = filter_resolution(questions, aliases, relations, corpus)
     found = mentions(questions.filter(F.trim(F.coalesce("drug", F.lit(""))) == ""), aliases, relations, corpus)
     q = family_plan(questions).join(filters, "query_id").join(found, "query_id", "left")
@@ -356,4 +380,55 @@ def workflow(questions: DataFrame, aliases: DataFrame, relations: DataFrame, cor
     routed = source_route(q.withColumn("has_drug", F.col("drug_found").isNotNull()))
     closed = F.col("filter_status").isin("ambiguous", "resolved_not_in_corpus", "unresolved")
     branch = F.when(closed, "insufficient_evidence").when(F.col("planned_source") == "multi_source_composed", "mixed").when(F.col("planned_source") == "rxnorm_identity", "identity").otherwise("label")
-    return routed.select("query_id", "filter_status", "plan_status", "plan_family", "mention_status", "drug_found", "route_status", "planned_source", "identity_intent", branch.alias("branch"))
+    effective = F.coalesce(F.nullif(F.trim("family"), F.lit("")), "plan_family")
+    return routed.select("query_id", "query", "filter_status", "plan_status", "plan_family", "mention_status", "drug_found", "route_status", "planned_source", "identity_intent", branch.alias("branch"), effective.alias("effective_family"))
+
+
+def label_evidence(questions: DataFrame, sections: DataFrame, k: int = TOP_K) -> DataFrame:
+    """query_id and evidence (evidence_id, text) of (query_id, query, drug, family): the k sections of the drug (any, if null) and family (any, if null) with most of the question's terms, the drug's name aside.
+
+    Joined on drug and term, so a question meets only sections that share a term with it. ``sections``: section_id, concept_name, family, text.
+    """
+    words = F.array_except(tokens(F.col("query")), F.concat(tokens(F.col("drug")), F.array(*(F.lit(w) for w in sorted(STOP)))))
+    asked = questions.select("query_id", F.lower("drug").alias("concept"), F.col("family").alias("asked_family"), F.explode(words).alias("term"))
+    held = sections.select("section_id", F.lower("concept_name").alias("concept"), "family", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    named = asked.filter("concept IS NOT NULL").join(held, ["concept", "term"])
+    free = asked.filter("concept IS NULL").drop("concept").join(held, "term")
+    hits = named.unionByName(free).filter(F.col("asked_family").isNull() | (F.col("asked_family") == F.col("family")))
+    best = numbered(hits.groupBy("query_id", "section_id").agg(F.count(F.lit(1)).alias("score")), ["query_id"], [F.desc("score"), F.asc("section_id")], "rank").filter(F.col("rank") <= k)
+    rows = best.join(sections.select("section_id", "text"), "section_id")
+    per = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("e"))  # at most k
+    evidence = F.transform("e", lambda x: F.struct(F.concat(F.lit("E"), x["rank"].cast("string")).alias("evidence_id"), x["text"].alias("text")))
+    none = F.array().cast("array<struct<evidence_id:string,text:string>>")
+    return questions.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce(evidence, none).alias("evidence"))
+
+
+def label_answers(questions: DataFrame, sections: DataFrame) -> DataFrame:
+    """query_id, gate, answered, answer, citations. The stand-in for a language model quotes the first evidence; its output passes every gate that a model's would."""
+    q = questions.join(label_evidence(questions, sections), "query_id")
+    said = F.struct(F.lit("answered").alias("status"), F.get("evidence", F.lit(0))["text"].alias("answer"), F.array(F.lit("E1")).alias("citations"))
+    raw = materialised(q.withColumn("raw", F.to_json(said)))
+    gates = answer_gates(raw).withColumn("answered", F.col("final_status") == "answered")
+    out = raw.select("query_id", parsed_answer(F.col("raw")).alias("a")).join(gates, "query_id")
+    given = lambda c, other: F.when(F.col("answered"), F.col(c)).otherwise(other)
+    return out.select("query_id", "gate", "answered", given("a.answer", F.lit(None)).alias("answer"), given("a.citations", F.array().cast("array<string>")).alias("citations"))
+
+
+def answers(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame, sections: DataFrame) -> DataFrame:
+    """Every question through its branch: query_id, branch, composition_status, final_status, answer, citations (R* of identities, then E* of labels)."""
+    flow = materialised(workflow(questions, aliases, relations, corpus))
+    mixed = materialised(decomposed(flow.filter("branch = 'mixed'").withColumnRenamed("drug_found", "retrieval_drug")))
+    asked = flow.filter("branch = 'identity'").select("query_id", "query", "identity_intent").unionByName(mixed.select("query_id", F.col("identity_query").alias("query"), "identity_intent"))
+    identity = identity_answers(identity_terms(asked), aliases, relations).select("query_id", F.col("answered").alias("i_ok"), F.col("answer").alias("i_answer"), F.col("citations").alias("i_cites"))
+    clinical = mixed.select("query_id", F.col("clinical_query").alias("query"), F.col("retrieval_drug").alias("drug"), F.col("effective_family").alias("family"))
+    label = flow.filter("branch = 'label'").select("query_id", "query", F.col("drug_found").alias("drug"), F.col("effective_family").alias("family")).unionByName(clinical)
+    label = label_answers(label, sections).select("query_id", F.col("answered").alias("l_ok"), F.col("answer").alias("l_answer"), F.col("citations").alias("l_cites"))
+    q = flow.join(mixed.select("query_id", "composition"), "query_id", "left").join(identity, "query_id", "left").join(label, "query_id", "left")
+    is_mixed = F.col("branch") == "mixed"
+    q = q.withColumn("composition_status", F.when(is_mixed, mixed_status(F.col("drug_found"), F.col("identity_intent"), F.col("composition"), F.col("i_ok"), F.col("l_ok"))))
+    ok = F.when(is_mixed, F.col("composition_status") == "composed_answered").when(F.col("branch") == "identity", F.col("i_ok")).when(F.col("branch") == "label", F.col("l_ok")).otherwise(F.lit(False))
+    text = F.when(is_mixed, F.concat_ws("\n\n", "i_answer", "l_answer")).otherwise(F.coalesce("i_answer", "l_answer"))
+    none = F.array().cast("array<string>")
+    cites = F.concat(F.coalesce("i_cites", none), F.coalesce("l_cites", none))
+    q = q.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    return q.select("query_id", "branch", "composition_status", F.when(F.col("ok"), "answered").otherwise("insufficient_evidence").alias("final_status"), F.when(F.col("ok"), text).alias("answer"), F.when(F.col("ok"), cites).otherwise(none).alias("citations"))

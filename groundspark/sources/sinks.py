@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for results that several branches read: a table in the shared folder that ``spark.checkpoint.dir`` names, or kept by the executors where a session has none."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        return df.persist()
+    path = f"{shared.rstrip('/')}/groundspark/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rebuild(df: DataFrame, path: str) -> None:
     """Delete and write anew."""
     df.write.mode("overwrite").parquet(path)

@@ -22,7 +22,7 @@ def test_family_plan(plans, query, status, family):
 
 
 def test_routes(spark):
-    got = {r.query_id: r for r in planning.queries()["source_route"](spark, "").collect()}
+    got = {r.query_id: r for r in planning.queries()["source_route"](spark, "/root/testdata/sf0.001").collect()}
     assert got["q10"].planned_source == "multi_source_composed" and got["q10"].route_status == "ambiguous_mixed_source"
     assert got["q01"].planned_source == "dailymed_label"
     assert got["q13"].planned_source == "rxnorm_identity"
@@ -30,7 +30,7 @@ def test_routes(spark):
 
 
 def test_mentions(spark):
-    got = {r.query_id: (r.mention_status, r.retrieval_drug) for r in planning.queries()["mention_detect"](spark, "").collect()}
+    got = {r.query_id: (r.mention_status, r.retrieval_drug) for r in planning.queries()["mention_detect"](spark, "/root/testdata/sf0.001").collect()}
     assert got["q02"] == ("direct_corpus_mention", "apixaban")
     assert got["q11"] == ("rxnorm_resolved_query_mention", "metformin")
     assert got["q12"] == ("rxnorm_resolved_query_mention", "metformin")
@@ -38,7 +38,7 @@ def test_mentions(spark):
 
 
 def test_filters_fail_closed(spark):
-    got = {r.query_id: (r.filter_status, r.filter_drug) for r in planning.queries()["filter_resolution"](spark, "").collect()}
+    got = {r.query_id: (r.filter_status, r.filter_drug) for r in planning.queries()["filter_resolution"](spark, "/root/testdata/sf0.001").collect()}
     assert got["q13"] == ("rxnorm_resolved", "metformin") and got["q14"] == ("direct_corpus_match", "apixaban")
     assert got["q16"] == ("unresolved", None) and got["q01"] == ("not_requested", None)
 
@@ -87,3 +87,17 @@ def test_approximate_names(spark):
     named = spark.createDataFrame([(w, w, "IN", w) for w in words], "rxcui string, name string, tty string, normal string")
     near = P.near_names(spark.createDataFrame([(w, w) for w in words], "term string, normal string"), named).collect()
     assert sorted((r.term, r.other) for r in near) == sorted((a, b) for a in words if len(a) >= 5 for b in words if edits(a, b) <= 2)
+
+
+def test_every_branch_answers(spark):
+    got = {r.query_id: r for r in planning.queries()["workflow_answers"](spark, "/root/testdata/sf0.001").collect()}
+    assert {r.branch for r in got.values()} == {"label", "identity", "mixed", "insufficient_evidence"}
+    assert (got["q16"].branch, got["q16"].final_status) == ("insufficient_evidence", "insufficient_evidence")
+    assert got["q13"].branch == "identity" and got["q13"].answer == "The generic name of Glucophage is metformin." and got["q13"].citations == "R1"
+    assert got["q10"].composition_status == "composed_answered" and got["q10"].citations == "R1,R2,E1" and "\n\n" in got["q10"].answer
+    assert got["q01"].branch == "label" and got["q01"].citations == "E1"
+
+
+def test_citation_prefixes(spark):
+    rows = spark.createDataFrame([(["R1", "E1"], ["R", "E"]), (["R1", "E1"], ["E"]), (["X"], []), ([], ["E"])], "c array<string>, p array<string>")
+    assert [r[0] for r in rows.select(P.prefixes_pass(rows.c, rows.p)).collect()] == [True, False, True, True]
