@@ -28,11 +28,26 @@ def labels(s: SparkSession, d: str) -> DataFrame:
         "n_nationkey", "n_name", "n_name", "n_name",
     )
     inside = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", section.alias("x")))), lambda r: r["x"]), "").alias("body"))
-    product = '<component><section><subject><manufacturedProduct><manufacturedProduct><name>Pill</name><code code="c1"/><formCode displayName="TABLET"/><ingredient classCode="ACTIB"><quantity><numerator value="5" unit="mg"/><denominator value="1" unit="1"/></quantity><ingredientSubstance><code code="U1"/><name>stuff</name></ingredientSubstance></ingredient></manufacturedProduct></manufacturedProduct></subject></section></component>'
+    product = '<component><section><subject><manufacturedProduct><manufacturedProduct><name>Pill</name><code code="c1"/><formCode displayName="TABLET"/><ingredient classCode="ACTIB"><quantity><numerator value="5" unit="mg"/><denominator value="1" unit="1"/></quantity><ingredientSubstance><code code="U1"/><name>stuff</name></ingredientSubstance></ingredient></manufacturedProduct><consumedIn><substanceAdministration><routeCode displayName="ORAL"/></substanceAdministration></consumedIn></manufacturedProduct></subject></section></component>'
     xml = F.concat(F.format_string('<document xmlns="urn:hl7-org:v3"><id root="d%d"/><setId root="set%d"/><versionNumber value="3"/><title> A  label </title><component><structuredBody>', "n_regionkey", "n_regionkey"), F.lit(product), F.col("body"), F.lit("</structuredBody></component></document>"))
     return inside.select(F.col("n_regionkey").cast("string").alias("label_id"), xml.alias("xml"))
 
 
+def broken(tree: DataFrame) -> DataFrame:
+    """The tree with some rows made wrong: a parent that isn't there, a root below depth 0, a depth that skips one, a path that lacks a heading."""
+    at, root = F.col("order_index"), F.col("parent_section_uid").isNull()
+    return tree.withColumns({
+        "parent_section_uid": F.when(~root & (at % 7 == 0), "nowhere").otherwise(F.col("parent_section_uid")), "depth": F.when(root & (at % 8 == 2), 1).when(~root & (at % 9 == 0), 3).otherwise(F.col("depth")),
+        "heading_path": F.when(~root & (at % 11 == 0), F.slice("heading_path", 1, 1)).otherwise(F.col("heading_path")),
+    })
+
+
+def bad(s: SparkSession, d: str) -> DataFrame:
+    """Labels that don't parse have a row each and fail nothing else."""
+    cut = labels(s, d).withColumn("xml", F.when(F.col("label_id").cast("int") % 2 == 1, F.substring("xml", 1, 200)).otherwise(F.col("xml")))
+    return S.bad_labels(cut, S.section_tree(cut)).withColumn("status", F.lit("not parsed"))
+
+
 def filldown(s: SparkSession, d: str) -> DataFrame:
     rows = S.mapped(titled(s, d)).withColumn("family", F.when(S.is_family(F.col("canonical_section_name")), F.col("canonical_section_name")))
     return S.filled_down(rows, "p_partkey", "parent", "family")
@@ -46,7 +61,12 @@ def queries() -> dict:
     q["section_tree"] = lambda s, d: S.section_tree(labels(s, d)).select("label_id", "section_uid", "parent_section_uid", "order_index", "depth", "canonical_section_name", "nearest_canonical_section_name", "retrieval_family", "direct_text", F.array_join("heading_path", " > ").alias("heading"))
     q["document_fields"] = lambda s, d: S.document_fields(labels(s, d)).select("label_id", "set_id", "version_number", "title")
     q["label_products"] = lambda s, d: S.products(labels(s, d))
-    q["hierarchy_check"] = lambda s, d: S.hierarchy_violations(S.section_tree(labels(s, d)))
+    q["hierarchy_check"] = lambda s, d: S.hierarchy_violations(broken(S.section_tree(labels(s, d))))
+    q["label_measures"] = lambda s, d: S.label_measures(S.section_tree(labels(s, d)), labels(s, d))
+    q["section_facts"] = lambda s, d: S.section_tree(labels(s, d)).select("label_id", "section_uid", "mapping_method", "is_unclassified", "direct_text_sha256", "direct_char_count", "child_count", "retrieval_family_source_section_uid")
+    q["label_lists"] = lambda s, d: S.document_fields(labels(s, d)).select("label_id", *(F.array_join(c, "|").alias(c) for c in ("routes", "active_moieties", "labeler_names")))
+    q["structure_inspection"] = lambda s, d: S.structure(labels(s, d))
+    q["bad_labels"] = bad
     q["page_titles"] = lambda s, d: table(s, d, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)), F.lit("")).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<h1>"), F.lit(0))).cast("long").alias("headings"))
     return q
 
@@ -62,6 +82,11 @@ _MAPPED = f"""{_TITLED}, codes(c, v) AS (VALUES {_PAIRS(S.CODES)}), titles(c, v)
 m AS (SELECT n.*, coalesce(codes.v, titles.v) AS canonical_section_name, CASE WHEN codes.v IS NOT NULL THEN 'loinc' WHEN titles.v IS NOT NULL THEN 'title' ELSE 'unmapped' END AS mapping_method FROM n LEFT JOIN codes ON codes.c = loinc_code LEFT JOIN titles ON titles.c = normalized_title)"""
 
 
+#: The sections that ``labels`` holds: label, uid, parent, place, depth, canonical name, the section of its family, text, children, length of the path.
+_TREE = """WITH s AS (SELECT n_regionkey::VARCHAR AS label_id, n_name, 'n' || n_nationkey AS uid, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
+            t AS (SELECT DISTINCT label_id, 'synthetic_section_1' AS uid, NULL AS parent, 1 AS o, 0 AS dep, NULL AS canon, NULL AS fam, NULL AS txt, 0 AS kids, 1 AS plen FROM s UNION ALL SELECT label_id, uid, NULL, (2 * r)::INT, 0, 'adverse_reactions', uid, 'About ' || n_name || ' & more', 1, 1 FROM s UNION ALL SELECT label_id, 'synthetic_section_' || (2 * r + 1), uid, (2 * r + 1)::INT, 1, NULL, uid, 'inner', 0, 2 FROM s)"""
+
+
 def oracle_sql() -> dict[str, str]:
     families = ", ".join(f"'{f}'" for f in sorted(S.FAMILIES))
     return {
@@ -70,7 +95,14 @@ def oracle_sql() -> dict[str, str]:
         "unmapped_reason": f"WITH {_MAPPED} SELECT CASE WHEN loinc_code = '42229-5' THEN CASE WHEN normalized_title IS NOT NULL THEN 'unclassified_with_title' ELSE 'unclassified_no_title' END WHEN loinc_code IS NOT NULL THEN CASE WHEN normalized_title IS NOT NULL THEN 'coded_but_not_in_mapper' ELSE 'coded_no_title_not_in_mapper' END WHEN normalized_title IS NOT NULL THEN 'title_only_not_in_mapper' ELSE 'no_code_no_title' END AS reason, count(*) AS n FROM m WHERE mapping_method = 'unmapped' GROUP BY 1",
         "family_filldown": f"WITH RECURSIVE {_MAPPED}, f AS (SELECT p_partkey, parent, CASE WHEN canonical_section_name IN ({families}) THEN canonical_section_name END AS family FROM m), w AS (SELECT p_partkey, family AS nearest, parent AS up FROM f UNION ALL SELECT w.p_partkey, f.family, f.parent FROM w JOIN f ON w.up = f.p_partkey WHERE w.nearest IS NULL) SELECT p_partkey, max(nearest) AS nearest FROM w GROUP BY 1",
         "document_fields": "SELECT n_regionkey::VARCHAR AS label_id, 'set' || n_regionkey AS set_id, '3' AS version_number, 'A  label' AS title FROM nation GROUP BY n_regionkey",
-        "hierarchy_check": "SELECT NULL::VARCHAR AS label_id, NULL::VARCHAR AS section_uid, NULL::VARCHAR AS problem WHERE false",
+        "hierarchy_check": f"""{_TREE}, b AS (SELECT label_id, uid, CASE WHEN parent IS NOT NULL AND o % 7 = 0 THEN 'nowhere' ELSE parent END AS parent, CASE WHEN parent IS NULL AND o % 8 = 2 THEN 1 WHEN parent IS NOT NULL AND o % 9 = 0 THEN 3 ELSE dep END AS dep, CASE WHEN parent IS NOT NULL AND o % 11 = 0 THEN 1 ELSE plen END AS plen FROM t),
+            j AS (SELECT b.*, u.dep AS up FROM b LEFT JOIN b u ON u.label_id = b.label_id AND u.uid = b.parent), v AS (SELECT label_id, uid AS section_uid, CASE WHEN parent IS NOT NULL AND up IS NULL THEN 'missing parent' WHEN parent IS NULL AND dep <> 0 THEN 'root not at depth 0' WHEN dep <> up + 1 THEN 'depth' WHEN plen <> dep + 1 THEN 'path length' END AS problem FROM j) SELECT * FROM v WHERE problem IS NOT NULL""",
+        "label_measures": f"""{_TREE} SELECT label_id, 'set' || label_id AS set_id, '3' AS version_number, 'A  label' AS title, 1::BIGINT AS route_count, count(*) AS section_count, count(canon) AS direct_mapped_section_count, count(*) - count(canon) AS direct_unmapped_section_count, count(fam) AS retrieval_family_covered_section_count, count(*) - count(fam) AS retrieval_family_missing_section_count,
+            0::BIGINT AS unclassified_section_count, max(dep)::BIGINT AS max_section_depth, 1::BIGINT AS product_count, 1::BIGINT AS ingredient_count FROM t GROUP BY label_id""",
+        "section_facts": f"{_TREE} SELECT label_id, uid AS section_uid, CASE WHEN canon IS NULL THEN 'unmapped' ELSE 'loinc' END AS mapping_method, false AS is_unclassified, sha256(txt) AS direct_text_sha256, coalesce(length(txt), 0)::INT AS direct_char_count, kids AS child_count, fam AS retrieval_family_source_section_uid FROM t",
+        "label_lists": "SELECT n_regionkey::VARCHAR AS label_id, 'ORAL' AS routes, '' AS active_moieties, '' AS labeler_names FROM nation GROUP BY n_regionkey",
+        "structure_inspection": f"{_TREE} SELECT label_id, o AS section_index, dep AS depth, CASE WHEN canon IS NOT NULL THEN '34084-4' END AS code, (txt IS NOT NULL)::INT AS text_node_count, kids AS direct_subsection_count, coalesce(length(txt), 0)::INT AS char_count_direct_text FROM t",
+        "bad_labels": "SELECT n_regionkey::VARCHAR AS label_id, 'not parsed' AS status FROM nation WHERE n_regionkey % 2 = 1 GROUP BY n_regionkey",
         "section_tree": """WITH s AS (SELECT n_regionkey::VARCHAR AS label_id, n_name, 'n' || n_nationkey AS uid, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)
             SELECT label_id, 'synthetic_section_1' AS section_uid, NULL AS parent_section_uid, 1 AS order_index, 0 AS depth, NULL AS canonical_section_name, NULL AS nearest_canonical_section_name, NULL AS retrieval_family, NULL AS direct_text, 'synthetic_section_1' AS heading FROM (SELECT DISTINCT label_id FROM s)
             UNION ALL SELECT label_id, uid, NULL, (2 * r)::INT, 0, 'adverse_reactions', 'adverse_reactions', 'adverse_reactions', 'About ' || n_name || ' & more', '6.1 ' || n_name FROM s
