@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE, collapse
-from ..sources.tables import numbered
+from ..sources.tables import broadcast_if_small, numbered
 
 CHUNK_WORDS, CHUNK_OVERLAP = 220, 40
 RRF_K, POOL, TOP_K, PER_SECTION = 60, 30, 5, 1
@@ -42,16 +43,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """term, key, tf: one row for each distinct term of a document."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+def query_terms(query: Column) -> Column:
+    """The distinct tokens of a query that aren't stop words."""
+    return F.array_except(tokens(query), F.array(*(F.lit(w) for w in sorted(STOP))))
 
 
-def lexical_matches(docs: DataFrame, queries: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """query_id, key, score of the documents that hold all terms of a query; the score is the sum of 1 + ln(tf). Joined on terms, so no query meets a document that shares none."""
-    terms = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("t")).filter(F.size("t") > 0)
-    asked = terms.select("query_id", F.size("t").alias("need"), F.explode("t").alias("term"))
-    hits = asked.join(postings(docs, key, text), "term")
+def lexical_matches(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", filtered: str | None = None) -> DataFrame:
+    """query_id, key, score of the documents that hold all terms of a query; the score is the sum of 1 + ln(tf). ``filtered``: a column of both sides that must be equal, null in the query for any.
+
+    Of the corpus only the terms that a query asks for are counted, so what is shuffled grows with the matches, not with the texts.
+    """
+    asked = queries.select("query_id", *([F.col(filtered).alias("q_filter")] if filtered else []), query_terms(F.col("query")).alias("t"))
+    asked = asked.filter(F.size("t") > 0).select(*(c for c in asked.columns if c != "t"), F.size("t").alias("need"), F.explode("t").alias("term"))
+    wanted = broadcast_if_small(asked.select("term").distinct())
+    own = [filtered] if filtered else []
+    held = docs.select(key, *own, F.explode(tokens(F.col(text))).alias("term")).join(wanted, "term", "left_semi").groupBy("term", key, *own).agg(F.count(F.lit(1)).alias("tf"))
+    hits = broadcast_if_small(asked).join(held, "term")
+    if filtered:
+        hits = hits.filter(F.col("q_filter").isNull() | (F.col("q_filter") == F.col(filtered)))
     found = hits.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("need"), F.round(F.sum(1 + F.log("tf")), 6).alias("score"))
     return found.filter("have = need").select("query_id", key, "score")
 
@@ -61,19 +70,36 @@ def top_k(scored: DataFrame, key: str, k: int, rank: str = "rank") -> DataFrame:
     return numbered(scored, ["query_id"], [F.desc("score"), F.asc(key)], rank).filter(F.col(rank) <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Vectors and queries of a block: what a task multiplies at once.
+BLOCK_VECTORS, BLOCK_QUERIES = 8192, 1024
 
 
-def cosine_matches(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", filtered: str | None = None) -> DataFrame:
-    """query_id, key, score of unit vectors. ``filtered``: a column of both sides that must be equal (exactly), null in the query for any.
+def cosine_top(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding", filtered: str | None = None) -> DataFrame:
+    """query_id, key, score, rank: the best k unit vectors of each query, ties by key. ``filtered``: a column of both sides that must be equal (exactly), null in the query for any.
 
-    A set of queries against all rows: queries are a small set that the caller states, and stream by in blocks.
+    A stated set of queries against all rows, in blocks: each block of vectors meets each block of queries in one matrix product, of which the best k of a query go on.
     """
-    on = F.lit(True) if filtered is None else F.col(f"q_{filtered}").isNull() | (F.col(f"q_{filtered}") == F.col(filtered))
-    asked = queries.select("query_id", F.col("vector").alias("q_vector"), *([F.col(filtered).alias(f"q_{filtered}")] if filtered else []))
-    pairs = vectors.join(asked, on)
-    return pairs.select("query_id", key, F.round(dot(F.col(vector), F.col("q_vector")), 6).alias("score"))
+    label = F.col(filtered).cast("string") if filtered else F.lit(None).cast("string")
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n, m = blocks(vectors, BLOCK_VECTORS), blocks(queries, BLOCK_QUERIES)
+    own = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), label.alias("label"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("b"))
+    asked = queries.select("query_id", F.col("vector").alias("v"), label.alias("label"), F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            score = np.round(np.stack(right["v"]).astype(np.float64) @ np.stack(left["v"]).astype(np.float64).T, 6)
+            if filtered:
+                asks = right["label"].notna().to_numpy()
+                score[asks[:, None] & (right["label"].to_numpy()[:, None] != left["label"].to_numpy()[None, :])] = np.nan
+            ids = left["id"].to_numpy()
+            for q, row in zip(right["query_id"], score, strict=True):
+                best = np.lexsort((ids, -row))[:k]  # NaN comes last
+                out.append(pd.DataFrame({"query_id": q, "id": ids[best], "score": row[best]}).dropna())
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    found = own.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInPandas(run, "query_id string, id long, score double")
+    return top_k(found.withColumnRenamed("id", key), key, k)
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, key: str, k: int = RRF_K) -> DataFrame:
@@ -184,8 +210,26 @@ def cover_density(positions: list[list[int]]) -> float:
     return score
 
 
+def web_candidates(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, query, doc_id, text of the pairs that may match: the document has a word with the stem of a required term of one of the query's alternatives."""
+    ask = F.udf(lambda q: sorted({ph[0] for a in parse_web_query(q or "") for ph in a[:] if ph[0] != "-"}), "array<string>")
+    asked = broadcast_if_small(queries.select("query_id", F.explode(ask("query")).alias("term")))
+
+    def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            rows = [(d, known.setdefault(w, stem(w))) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for w in {*re.findall(r"[^\W_]+", (t or "").lower())} - STOP]
+            if len(known) > 1_000_000:
+                known.clear()
+            yield pd.DataFrame(rows, columns=["doc_id", "term"])
+
+    held = docs.select("doc_id", "text").mapInPandas(stems, "doc_id long, term string")
+    pairs = held.join(asked, "term").select("query_id", "doc_id").distinct()
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(broadcast_if_small(queries), "query_id")
+
+
 def web_search(pairs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of pairs (query_id, query, doc_id, text) whose text matches the query; the analysis is Python's, so candidates should be joined on terms before."""
+    """query_id, doc_id, score of pairs (query_id, query, doc_id, text), as from ``web_candidates``, whose text matches the query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed: dict[str, list] = {}

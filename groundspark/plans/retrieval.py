@@ -10,9 +10,9 @@ from ..sources.tables import table
 
 
 def lexical_queries(s: SparkSession, d: str) -> DataFrame:
-    """The first two words of three letters or more of each benchmark item: short questions that documents can match whole."""
-    words = F.slice(F.array_distinct(F.filter(R.tokens(F.col("text")), lambda w: F.length(w) >= 3)), 1, 2)
-    return table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """Each whole benchmark item as a question; every third one asks for a language."""
+    lang = F.when(F.col("item_id") % 3 == 0, "en")
+    return table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), lang.alias("lang"))
 
 
 def dense_queries(s: SparkSession, d: str) -> DataFrame:
@@ -22,15 +22,15 @@ def dense_queries(s: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_top(s: SparkSession, d: str, k: int = R.POOL) -> DataFrame:
-    return R.top_k(R.lexical_matches(table(s, d, "documents"), lexical_queries(s, d), "doc_id"), "doc_id", k)
+    return R.top_k(R.lexical_matches(table(s, d, "documents"), lexical_queries(s, d), "doc_id", filtered="lang"), "doc_id", k)
 
 
 def dense_top(s: SparkSession, d: str, k: int = R.POOL, filtered: str | None = None) -> DataFrame:
-    return R.top_k(R.cosine_matches(table(s, d, "embeddings"), dense_queries(s, d), "vec_id", filtered=filtered), "vec_id", k)
+    return R.cosine_top(table(s, d, "embeddings"), dense_queries(s, d), "vec_id", k, filtered=filtered)
 
 
 def hybrid(s: SparkSession, d: str) -> DataFrame:
-    return R.fuse(lexical_top(s, d), dense_top(s, d).withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    return R.fuse(lexical_top(s, d), dense_top(s, d, filtered="label").withColumnRenamed("vec_id", "doc_id"), "doc_id")
 
 
 def evidence(s: SparkSession, d: str) -> DataFrame:
@@ -45,9 +45,13 @@ def judged(s: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "rank", R.relevant(languages, F.col("lang"), F.array(F.lit("the"), F.lit("de")), F.col("text")).alias("relevant"))
 
 
-def web_pairs(s: SparkSession, d: str) -> DataFrame:
-    ask = s.createDataFrame([("1", "reports of things"), ("2", '"of the" thing'), ("3", "house or the or nd"), ("4", "er -the")], "query_id string, query string")
-    return table(s, d, "documents").select("doc_id", "text").join(F.broadcast(ask), F.lit(True))  # four stated questions
+def web_questions(s: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item's first sentence part as a search, in turn with an excluded word, a phrase and an alternative."""
+    words = F.split(F.regexp_replace("text", r'["\-]+', " "), r"\s+")
+    some = lambda n, k: F.array_join(F.slice(words, n, k), " ")
+    form = F.col("item_id") % 3
+    query = F.when(form == 0, some(1, 2)).when(form == 1, F.concat(F.lit('"'), some(1, 2), F.lit('"'))).otherwise(F.concat(some(1, 1), F.lit(" or "), some(3, 1), F.lit(" -zzz")))
+    return table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), query.alias("query"))
 
 
 def queries() -> dict:
@@ -57,30 +61,31 @@ def queries() -> dict:
     q["chunk_coverage"] = lambda s, d: R.word_chunks(docs(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("end_word").alias("words"), F.max("token_count").alias("largest")).filter((F.col("largest") > R.CHUNK_WORDS) | (F.col("chunks") != F.greatest(F.ceil((F.col("words") - R.CHUNK_WORDS) / 180), F.lit(0)) + 1))
     q["chunk_records"] = lambda s, d: R.word_chunks(docs(s, d)).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"), F.sum("char_count").alias("chars"))
     q["embedding_text"] = lambda s, d: docs(s, d).select("doc_id", F.md5(R.embedding_text([("Drug", F.nullif("source", F.lit("src0")), "Unknown"), ("Family", F.col("lang"), "unknown"), ("Section", F.col("doc_id"), "unknown")], F.col("text"))).alias("text_md5"))
-    q["lexical_match"] = lambda s, d: R.lexical_matches(table(s, d, "documents"), lexical_queries(s, d), "doc_id")
+    q["lexical_match"] = lambda s, d: R.lexical_matches(table(s, d, "documents"), lexical_queries(s, d), "doc_id", filtered="lang")
     q["lexical_topk"] = lambda s, d: lexical_top(s, d, 10)
     q["cosine_topk"] = lambda s, d: dense_top(s, d, 10)
     q["cosine_topk_filtered"] = lambda s, d: dense_top(s, d, 10, "label")
     q["rrf_fusion"] = lambda s, d: hybrid(s, d).select("query_id", "doc_id", "score", "lexical_rank", "dense_rank", "rank")
     q["evidence_pack"] = lambda s, d: evidence(s, d).select("query_id", "evidence_id", "doc_id", "source", "rank", "score")
     q["evidence_prompt"] = lambda s, d: R.prompt_blocks(evidence(s, d), F.col("source"), F.col("text")).select("query_id", F.md5("prompt").alias("prompt_md5"))
-    q["rerank"] = lambda s, d: R.reranked(hybrid(s, d).join(lexical_queries(s, d), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "query", "text").select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
+    q["rerank"] = lambda s, d: R.reranked(hybrid(s, d).join(lexical_queries(s, d).drop("lang"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "query", "text").select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
     q["hit_mrr"] = lambda s, d: R.retrieval_metrics(lexical_queries(s, d), judged(s, d))
     q["first_relevant_rank"] = lambda s, d: judged(s, d).filter("relevant").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     q["pass_rates"] = lambda s, d: table(s, d, "labels").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.col("quality") == 1).cast("double")), 6).alias("status_rate"), F.count_if(F.col("toxic").isNotNull() & (F.col("quality") == 0)).alias("with_expectation"), F.round(F.coalesce(F.try_divide(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)), F.count_if(F.col("quality") == 0)), F.lit(0.0)), 6).alias("family_rate"))
-    q["web_search"] = lambda s, d: R.top_k(R.web_search(web_pairs(s, d)), "doc_id", 10)
+    q["web_search"] = lambda s, d: R.top_k(R.web_search(R.web_candidates(table(s, d, "documents"), web_questions(s, d))), "doc_id", 10)
     return q
 
 
 _TOK = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 _CHUNKS = f"WITH w AS (SELECT doc_id, source, {_W} AS w FROM documents), c AS (SELECT doc_id, source, w, unnest(range(0, greatest(ceil((len(w) - 220) / 180), 0)::BIGINT + 1)) AS i FROM w WHERE len(w) > 0), k AS (SELECT doc_id, source, i::INT AS chunk_index, (i * 180)::INT AS start_word, least(i * 180 + 220, len(w))::INT AS end_word, array_to_string(w[i * 180 + 1 : i * 180 + 220], ' ') AS chunk_text FROM c)"
-_LEX = f"""WITH lq AS (SELECT item_id::VARCHAR AS query_id, array_to_string(t[1:2], ' ') AS query, t[1:2] AS t FROM (SELECT item_id, list_filter(tk, lambda x, i: len(x) >= 3 AND list_position(tk, x) = i) AS t FROM (SELECT item_id, {_TOK.format(c='text')} AS tk FROM benchmark))),
-lp AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(c='text')}) AS term FROM documents) GROUP BY 1, 2),
-lm AS (SELECT query_id, doc_id, round(sum(1 + ln(tf)), 6) AS score FROM (SELECT query_id, len(t) AS need, unnest(t) AS term FROM lq) JOIN lp USING (term) GROUP BY query_id, doc_id, need HAVING count(*) = need)"""
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(R.STOP)) + "]"
+_LEX = f"""WITH lq AS (SELECT item_id::VARCHAR AS query_id, text AS query, CASE WHEN item_id % 3 = 0 THEN 'en' END AS q_lang, list_filter(list_distinct({_TOK.format(c='text')}), lambda x: NOT list_contains({_STOP}, x)) AS t, list_distinct({_TOK.format(c='text')}) AS rt FROM benchmark),
+lp AS (SELECT term, doc_id, lang, count(*) AS tf FROM (SELECT doc_id, lang, unnest({_TOK.format(c='text')}) AS term FROM documents) GROUP BY 1, 2, 3),
+lm AS (SELECT query_id, doc_id, round(sum(1 + ln(tf)), 6) AS score FROM (SELECT query_id, q_lang, len(t) AS need, unnest(t) AS term FROM lq) JOIN lp USING (term) WHERE q_lang IS NULL OR q_lang = lang GROUP BY query_id, doc_id, need HAVING count(*) = need)"""
 _TOP = "SELECT * FROM (SELECT {k}, score, query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {k})::INT AS rank FROM {t}) WHERE rank <= {n}"
 _DENSE = "dm AS (SELECT (q.vec_id // 20)::VARCHAR AS query_id, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 {f})"
-_RRF = f"""{_LEX}, {_DENSE.format(f='')}, lt AS ({_TOP.format(k='doc_id', t='lm', n=30)}), dt AS ({_TOP.format(k='vec_id', t='dm', n=30)}),
+_RRF = f"""{_LEX}, {_DENSE.format(f='AND e.label = q.label')}, lt AS ({_TOP.format(k='doc_id', t='lm', n=30)}), dt AS ({_TOP.format(k='vec_id', t='dm', n=30)}),
 u AS (SELECT coalesce(lt.query_id, dt.query_id) AS query_id, coalesce(doc_id, vec_id) AS doc_id, lt.rank AS lexical_rank, dt.rank AS dense_rank FROM lt FULL JOIN dt ON lt.query_id = dt.query_id AND doc_id = vec_id),
 rr AS (SELECT *, round(coalesce(1 / (60.0::DOUBLE + lexical_rank), 0) + coalesce(1 / (60.0::DOUBLE + dense_rank), 0), 10) AS score FROM u),
 rf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(lexical_rank, 10000), coalesce(dense_rank, 10000), doc_id)::INT AS rank FROM rr)"""
@@ -102,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "rrf_fusion": f"{_RRF} SELECT query_id, doc_id, score, lexical_rank, dense_rank, rank FROM rf",
         "evidence_pack": f"{_EVID} SELECT query_id, evidence_id, doc_id, source, rank, score FROM ep",
         "evidence_prompt": f"{_EVID} SELECT query_id, md5(string_agg('[' || evidence_id || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS prompt_md5 FROM ep GROUP BY 1",
-        "rerank": f"""{_RRF}, sc AS (SELECT rf.query_id, doc_id, rank AS original_rank, round(coalesce(len(list_filter(t, lambda x: list_contains({_TOK.format(c='text')}, x))) / nullif(len(t), 0), 0), 6) AS rerank_score FROM rf JOIN lq USING (query_id) JOIN documents USING (doc_id))
+        "rerank": f"""{_RRF}, sc AS (SELECT rf.query_id, doc_id, rank AS original_rank, round(coalesce(len(list_filter(rt, lambda x: list_contains({_TOK.format(c='text')}, x))) / nullif(len(rt), 0), 0), 6) AS rerank_score FROM rf JOIN lq USING (query_id) JOIN documents USING (doc_id))
             SELECT query_id, doc_id, rerank_score, original_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, original_rank, doc_id)::INT AS rank FROM sc""",
         "hit_mrr": f"{_JUDGED}, fr AS (SELECT query_id, min(rank) FILTER (WHERE relevant AND rank <= 5) AS f FROM lq LEFT JOIN jd USING (query_id) GROUP BY 1) SELECT count(*) AS cases, round(avg(coalesce((f = 1)::INT, 0)), 6) AS hit_at_1, round(avg((f IS NOT NULL)::INT), 6) AS hit_at_k, round(avg(coalesce(1 / f, 0)), 6) AS mrr FROM fr",
         "first_relevant_rank": f"{_JUDGED} SELECT query_id, min(rank) AS first_rank FROM jd WHERE relevant GROUP BY 1",

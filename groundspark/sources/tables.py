@@ -84,6 +84,12 @@ def largest_xml_members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(run, "path string, member string, size long, xml string")
 
 
+def broadcast_if_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``df``, cheap to compute twice, marked for broadcast if its rows measure at most ``most`` bytes (as JSON); else joined as Spark sees fit."""
+    measured = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0]
+    return F.broadcast(df) if (measured or 0) <= most else df
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "n") -> DataFrame:
     """Rows with their place, from 1, in each group."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

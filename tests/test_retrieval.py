@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +49,37 @@ def test_section_tree_inherits(spark):
     rows = S.section_tree(spark.createDataFrame([("1", xml), ("2", "<broken"), ("3", None)], "label_id string, xml string")).orderBy("order_index").collect()
     assert [(r.depth, r.retrieval_family, r.mapping_method) for r in rows] == [(0, "adverse_reactions", "loinc"), (1, "adverse_reactions", "unmapped")]
     assert len(S.CODES) == 56 and len(S.TITLES) == 62 and len(S.FAMILIES) == 38
+
+
+def test_web_search_equals_brute_force(spark):
+    """Candidates joined on terms lose no match of the plain search over all pairs."""
+    rng = random.Random(3)
+    words = "report reports reported house houses houses' thing things the of running runs big".split()
+    docs = [(n, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for n in range(80)] + [(99, None)]
+    queries = [(str(n), q) for n, q in enumerate(["reports of things", '"big house" thing', "house or running -report", "the of", "-thing", "", '-"big thing" runs', "house -house"])]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id string, query string")
+    every = d.join(q, F.lit(True))
+    assert sorted(map(tuple, R.web_search(R.web_candidates(d, q)).collect())) == sorted(map(tuple, R.web_search(every).collect())) != []
+
+
+def test_cosine_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_VECTORS", 30)
+    monkeypatch.setattr(R, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(200, 8))
+    v[50:60] = v[0]  # ties
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(n, x.tolist(), n % 3) for n, x in enumerate(v)]
+    asked = [(str(n), v[n].tolist(), None if n % 2 else n % 3) for n in range(0, 200, 11)]
+    got = R.cosine_top(spark.createDataFrame(rows, "id long, embedding array<double>, label int"), spark.createDataFrame(asked, "query_id string, vector array<double>, label int"), "id", 7, filtered="label").collect()
+    for q, x, label in asked:
+        fit = [n for n in range(200) if label is None or n % 3 == label]
+        best = sorted(fit, key=lambda n: (-round(float(np.dot(v[n], x)), 6), n))[:7]
+        assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
+
+
+def test_lexical_filter_and_stop_words(spark):
+    docs = spark.createDataFrame([(1, "the aspirin dose", "en"), (2, "aspirin dose dose", "fr"), (3, "aspirin", "en")], "doc_id long, text string, lang string")
+    ask = spark.createDataFrame([("a", "What is the dose of aspirin?", None), ("b", "dose of aspirin", "en"), ("c", "the of", None)], "query_id string, query string, lang string")
+    got = {(r.query_id, r.doc_id) for r in R.lexical_matches(docs, ask, "doc_id", filtered="lang").collect()}
+    assert got == {("a", 1), ("a", 2), ("b", 1)}
