@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import in_slices, ragged, table
+from ._common import in_slices, ragged, small_batches, table
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: White space of Unicode (the White_Space property), fixed values.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Words kept per worker; the store is emptied when it is full, which costs time and changes no result.
-STORE_WORDS = 1_200_000
+#: Words kept per worker, and their characters; the store is emptied when it is full, which costs time and changes no result.
+STORE_WORDS, STORE_CHARS = 200_000, 32 << 20
 NEVER = np.int64(1 << 40)
 
 _classes: np.ndarray | None = None
@@ -191,17 +191,19 @@ class Vocabulary:
 class WordStore:
     """Ids of the words seen so far, in flat arrays; ``encode_words`` gives those of new words."""
 
-    def __init__(self, encode_words, special: dict[str, int], split: re.Pattern | None):
-        self.encode_words, self.special, self.split = encode_words, special, split
+    def __init__(self, encode_words, special: dict[str, int], split: re.Pattern | None, most: int = STORE_WORDS):
+        self.encode_words, self.special, self.split, self.most = encode_words, special, split, most
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.at, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def add(self, words: list[str], first: int) -> None:
         ids, sizes = self.encode_words(words)
+        self.chars += sum(map(len, words))
         self.put(ids, sizes, first)
 
     def put(self, ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
@@ -216,7 +218,7 @@ class WordStore:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each has."""
-        if len(self.code) > STORE_WORDS:
+        if len(self.code) > self.most or self.chars > STORE_CHARS:
             self.clear()
         segments, owner = texts, None
         marks: dict[int, int] = {}
@@ -232,6 +234,8 @@ class WordStore:
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
         begins = np.cumsum(lengths) - lengths
         joined = "".join(segments)
+        if not joined:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         starts = word_starts(joined, begins)
         if marks:  # a marked segment is one word
             inside = np.searchsorted(begins, starts, "right") - 1
@@ -299,12 +303,13 @@ def encoder(name: str) -> tuple[Vocabulary, WordStore]:
 
 def encode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids of each whole text as a binary column of little-endian unsigned 32-bit integers."""
+    small_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema if f.name != ids]).add(ids, T.BinaryType())
     kept = [f.name for f in schema if f.name != ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, store = encoder(vocabulary)
-        for batch in in_slices(batches, text):
+        for batch in in_slices(batches, text, 1 << 20):
             found, counts = store.encode(["" if t is None else t for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), id_bytes(found, counts)], [*kept, ids])
 
@@ -334,6 +339,7 @@ def decode(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", ids: str = "ids
 def round_trip(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str = "text") -> DataFrame:
     """``df`` with n_tokens, ids_sha256 and decoded_sha256, encoding and decoding in one pass."""
     extra = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    small_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema if f.name not in extra])
     kept = list(schema.names)
     for name, kind in extra.items():
@@ -341,7 +347,7 @@ def round_trip(df: DataFrame, vocabulary: str = "byte_bpe_50k.json", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, store = encoder(vocabulary)
-        for batch in in_slices(batches, text):
+        for batch in in_slices(batches, text, 1 << 20):
             ids, counts = store.encode(["" if t is None else t for t in batch.column(text).to_pylist()])
             raw = ids.astype("<u4").tobytes()
             ends = np.cumsum(counts).tolist()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import in_slices, mix64, table, utf8
+from ._common import in_slices, mix64, small_batches, table, utf8
 
 BITS = 18
 #: The fit sample's bound: documents, and cells of a document (a longer one is not fitted on).
@@ -291,6 +291,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     """From the labelled rows outside the held-out fold, about ``fit_rows`` of them by a hash of doc_id."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, fit_rows / max(1, known.count()))
@@ -317,6 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
 
 def score(df: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
     """``df`` with the column score, 0 to 1."""
+    small_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema if f.name != "score"])
     kept = list(schema.names)
     schema = schema.add("score", T.DoubleType())

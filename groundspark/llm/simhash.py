@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fan_out, in_slices, one_of_each, table, written
+from ._common import fan_out, in_slices, one_of_each, small_batches, table, written
 from .components import components
 
 SEED = 42
@@ -294,6 +294,7 @@ def links(classes: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, fp, component_id of each row of (doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows = written(fingerprints(docs), "simhash-rows")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
     found = written(components(links(classes.filter("id IS NOT NULL"))), "simhash-components")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, fan_out, in_slices, shared_path, table, written
+from ._common import discard, fan_out, in_slices, shared_path, small_batches, table, written
 from .bpe import WordStore, ragged, vocabulary_path
 
 MOST_BITS = 16
@@ -36,6 +36,8 @@ END_ID = 2
 CHUNKS = "part int, start_in_part long, doc_ids array<long>, sizes array<long>, ids binary"
 BLOCKS = "part int, start_in_part long, doc_ids array<long>, sizes array<long>, n_bits long, checkpoints array<int>, payload binary"
 
+#: Words kept per worker: the library is asked for each new one.
+STORE_WORDS = 1_200_000
 _stores: dict[str, WordStore] = {}
 
 
@@ -62,7 +64,7 @@ def library_store(name: str) -> WordStore:
                     sizes[k] = len(own)
             return np.array(ids, np.int32), sizes
 
-        _stores[name] = WordStore(encode_words, special, split)
+        _stores[name] = WordStore(encode_words, special, split, STORE_WORDS)
     return _stores[name]
 
 
@@ -253,6 +255,7 @@ def write(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
     """Encode the whole texts of (doc_id, text) and write blocks and code book below ``path`` (default: the shared folder)."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "token-ids")
+    small_batches(docs.sparkSession)
     chunks = written(encoded_chunks(docs.select("doc_id", "text"), vocabulary, end_id), "token-chunks", compression="zstd")
     counts = global_counts(chunks)
     n = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
