@@ -3,10 +3,11 @@
 Texts are equal when identical after lower-casing A-Z. Each has a 64-bit key. A directory of
 pointers, indexed by a key's first bits, doubles while it has an overfull bucket that it must split;
 its cells are counts, never keys, so it has at most 2^MOST_DEPTH entries. Each map task first folds
-its own copies together, so that a hot text reaches its bucket once for each task. A bucket belongs
-to one owner task, which reads its key range in order, chains texts that share a key and compares
-their bytes. The index (key, digest, largest doc_id, size) is a table in the shared folder; each
-document looks itself up in it.
+its own copies together, so that a hot text reaches its bucket once for each task. The directory is cut
+into as many ranges as there are owner tasks, with about as many keys each; an owner reads the buckets
+of its key range in order, chains texts that share a key and compares
+their bytes. The index (bucket, key, digest, largest doc_id, size) is a table in the shared folder, a
+file for each owner's range; each document goes through the directory to its bucket and looks itself up there.
 
 Defined results: null counts as empty; a null doc_id is smaller than all others; rows that share a
 doc_id are one document and each is reported; an empty table gives an empty table; further columns
@@ -24,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, fan_out, in_slices, table, written
+from ._common import fan_out, in_slices, one_of_each, small_batches, table, written
 
 MOST_DEPTH = 20
 #: Keys a bucket holds before it splits: this many, or a share of all keys where that is more.
 BUCKET_KEYS, BUCKET_SHARE = 256, 1 / (1 << 17)
 #: Bytes of distinct texts that a map task folds together before it passes them on.
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 8 << 20
 
 
 class Directory:
@@ -57,8 +58,20 @@ class Directory:
                 if depth + 1 < most and sums[(half + 1) << shift] - sums[half << shift] > capacity:
                     full.append((half, of))
 
+        self.starts = np.flatnonzero(np.diff(self.pointers, prepend=-1))  # a bucket's slots stand side by side
+        before = sums[self.starts << (most - self.depth)]
+        self.share = np.empty(len(self.local))
+        self.share[self.pointers[self.starts]] = before / max(1, sums[-1])
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.depth)).astype(np.int64) if self.depth else np.zeros(len(keys), np.int64)
+
     def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return self.pointers[(keys >> np.uint64(64 - self.depth)).astype(np.int64)] if self.depth else np.zeros(len(keys), np.int32)
+        return self.pointers[self.slot(keys)]
+
+    def owner(self, buckets: np.ndarray, owners: int) -> np.ndarray:
+        """The owner task of each bucket: the tasks' key ranges follow each other, a bucket is in one."""
+        return np.minimum((self.share[buckets] * owners).astype(np.int32), owners - 1)
 
 
 def normalised(text: str | None) -> bytes:
@@ -66,15 +79,16 @@ def normalised(text: str | None) -> bytes:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """doc_id, key, digest (SHA-256) of every row."""
+    """doc_id, text_key (a hash of the text as it is), key, digest (SHA-256) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches, "text", 16 << 20):
+        for batch in in_slices(batches, "text", 2 << 20):
             texts = [normalised(t) for t in batch.column("text").to_pylist()]
             keys = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], ["doc_id", "key", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], ["doc_id", "text_key", "key", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, digest binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, key long, digest binary")
 
 
 def directory(rows: DataFrame) -> Directory:
@@ -85,11 +99,22 @@ def directory(rows: DataFrame) -> Directory:
     return Directory(counts, max(BUCKET_KEYS, int(counts.sum() * BUCKET_SHARE)))
 
 
-ENTRY = ["bucket", "key", "last", "n", "text"]
+ENTRY = ["owner", "bucket", "key", "last", "n", "text"]
 
 
-def folded(docs: DataFrame, buckets: Directory) -> DataFrame:
-    """One entry for each distinct text of a task: bucket, key, largest doc_id, number of rows, normalised text."""
+def placed(rows: DataFrame, through: Directory) -> DataFrame:
+    """``rows``, as from ``members``, with the bucket that the directory names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = through.bucket(batch.column("key").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], [*batch.schema.names, "bucket"])
+
+    return rows.mapInArrow(run, "doc_id long, text_key long, key long, digest binary, bucket int")
+
+
+def folded(docs: DataFrame, through: Directory, owners: int) -> DataFrame:
+    """One entry for each distinct text of a task: owner, bucket, key, largest doc_id, number of rows, normalised text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
@@ -98,7 +123,8 @@ def folded(docs: DataFrame, buckets: Directory) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys = np.array([xxhash.xxh3_64_intdigest(t) for t in held], np.uint64)
             last, n = zip(*held.values(), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(buckets.bucket(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(last, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.binary())], ENTRY)
+            bucket = through.bucket(keys)
+            return pa.RecordBatch.from_arrays([pa.array(through.owner(bucket, owners), pa.int32()), pa.array(bucket, pa.int32()), pa.array(keys.view(np.int64)), pa.array(last, pa.int64()), pa.array(n, pa.int64()), pa.array(held, pa.binary())], ENTRY)
 
         for batch in in_slices(batches, "text"):
             for doc, text in zip(batch.column("doc_id").to_pylist(), map(normalised, batch.column("text").to_pylist()), strict=True):
@@ -114,11 +140,11 @@ def folded(docs: DataFrame, buckets: Directory) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "bucket int, key long, last long, n long, text binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "owner int, bucket int, key long, last long, n long, text binary")
 
 
-def index(entries: DataFrame) -> DataFrame:
-    """key, digest, keep_id, group_size of every distinct text, by the owner tasks of the buckets."""
+def index(entries: DataFrame, owners: int) -> DataFrame:
+    """bucket, key, digest, keep_id, group_size of every distinct text, by the owner tasks of the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: dict[bytes, list] = {}  # texts of one key; as a dict of bytes it compares them whole
@@ -126,19 +152,19 @@ def index(entries: DataFrame) -> DataFrame:
         done: list[tuple] = []
 
         def close() -> None:
-            done.extend((at, hashlib.sha256(t).digest(), last, n) for t, (last, n) in chain.items())
+            done.extend((*at, hashlib.sha256(t).digest(), last, n) for t, (last, n) in chain.items())
             chain.clear()
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*done, strict=True))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "digest", "keep_id", "group_size"])
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "key", "digest", "keep_id", "group_size"])
 
         for batch in batches:
-            for key, last, n, text in zip(*(batch.column(c).to_pylist() for c in ENTRY[1:]), strict=True):
-                if key != at:
+            for bucket, key, last, n, text in zip(*(batch.column(c).to_pylist() for c in ENTRY[1:]), strict=True):
+                if (bucket, key) != at:
                     close()
-                    at = key
+                    at = bucket, key
                 if (own := chain.get(text)) is None:
                     chain[text] = [last, n]
                 else:
@@ -151,21 +177,29 @@ def index(entries: DataFrame) -> DataFrame:
         if done:
             yield out()
 
-    owned = entries.repartition(fan_out(entries.sparkSession), "bucket").sortWithinPartitions("bucket", "key")
-    return owned.mapInArrow(run, "key long, digest binary, keep_id long, group_size long")
+    owned = entries.repartitionById(owners, F.col("owner")).sortWithinPartitions("bucket", "key")
+    return owned.mapInArrow(run, "bucket int, key long, digest binary, keep_id long, group_size long")
+
+
+def looked_up(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, digest, keep_id, group_size of each row of (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    rows, owners = written(members(docs), "dedup-members"), fan_out(docs.sparkSession)
+    through = directory(rows)
+    found = written(index(folded(docs, through, owners), owners), "dedup-index")
+    return placed(rows, through).join(found, ["bucket", "key", "digest"]).select("doc_id", "text_key", "digest", "keep_id", "group_size")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = written(members(docs), "dedup-members")
-    found = written(index(folded(docs, directory(rows))), "dedup-index")
-    return rows.join(found, ["key", "digest"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return looked_up(docs).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The documents that stay, with all their columns; of rows equal in doc_id and normalised text one."""
+    same = looked_up(docs).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    kept = same.groupBy("doc_id", "digest").agg(F.min(F.struct("text_key", "n")).alias("k")).select("doc_id", "k.text_key", "k.n")
+    return one_of_each(docs, written(kept, "dedup-kept"), [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
