@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,40 @@ def embedding_text(fields: list[tuple[str, Column, str]], body: Column) -> Colum
     return F.concat_ws("\n", *head, F.lit(""), body)
 
 
+EMBED_WIDTH, EMBED_ROWS = 64, 64
+
+
+def hashing_embedder(texts: list[str]) -> np.ndarray:
+    """The offline default: tokens hashed to signed places of a vector, at unit length."""
+    out = np.zeros((len(texts), EMBED_WIDTH))
+    for row, text in enumerate(texts):
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            h = hashlib.md5(w.encode()).digest()
+            out[row, h[0] % EMBED_WIDTH] += 1 if h[1] % 2 else -1
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, size, out=out, where=size > 0)
+
+
+def embedded(rows: DataFrame, text: str = "text", embedder: Callable[[list[str]], np.ndarray] = hashing_embedder) -> DataFrame:
+    """``rows`` with embedding in place of ``text``; the embedder, any function of a list of texts, is given EMBED_ROWS at once."""
+    kept = [f for f in rows.schema if f.name not in (text, "embedding")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "embedding array<float>"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), EMBED_ROWS):
+                part = batch.iloc[at : at + EMBED_ROWS]
+                yield part[[f.name for f in kept]].assign(embedding=list(embedder(part[text].tolist()).astype(np.float32)))
+
+    return rows.mapInPandas(run, schema)
+
+
+def chunk_metadata(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """Chunk records: the chunk's columns, its type, and ``fields`` with the chunking's own settings as metadata."""
+    meta = F.struct(*fields, F.lit("section_word_window").alias("chunking_strategy"), F.lit(CHUNK_WORDS).alias("max_words"), F.lit(CHUNK_OVERLAP).alias("overlap_words"))
+    return chunks.select("*", F.lit("section_text").alias("chunk_type"), meta.alias("metadata"))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,15 +14,26 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").select(*new.columns).unionByName(new)
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """What ``spark.checkpoint.dir`` names. A local session may go without it, a cluster may not."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found.rstrip("/") if found else None
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A place for files in the shared folder; in a local session without one, in a temporary folder."""
+    return f"{shared_folder(spark) or tempfile.mkdtemp(prefix='groundspark-')}/groundspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` computed once, for results that several branches read: a table in the shared folder that ``spark.checkpoint.dir`` names, or kept by the executors where a session has none."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
+    """``df`` computed once, for results that several branches read: a table in the shared folder, or kept by the executors where a local session has none."""
+    if not shared_folder(df.sparkSession):
         return df.persist()
-    path = f"{shared.rstrip('/')}/groundspark/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rebuild(df: DataFrame, path: str) -> None:

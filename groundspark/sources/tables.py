@@ -45,6 +45,30 @@ def flatten_history(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("data.spl.setid").alias("set_id"), F.col("data.spl.title").alias("title"), F.explode("data.history").alias("h")).select("set_id", "title", F.col("h.spl_version").cast("string").alias("history_spl_version"), F.col("h.published_date").alias("published_date"))
 
 
+PARSED = "label_id STRING, sections ARRAY<STRUCT<section_uid: STRING, parent_section_uid: STRING, order_index: INT, depth: INT, canonical_section_name: STRING, direct_text: STRING>>"
+
+
+def parsed_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each section of parsed labels kept as JSON, one label a line."""
+    return spark.read.schema(PARSED).json(path).select("label_id", F.inline("sections"))
+
+
+#: Fields of an evaluation case, and what stands for those that a suite leaves out.
+CASE = "case_id STRING, query STRING, expected_status STRING, drug STRING, family STRING, top_k INT, required_headings ARRAY<STRING>, allowed_citation_prefixes ARRAY<STRING>"
+DEFAULTS = {"top_k": 5, "required_headings": [], "allowed_citation_prefixes": []}
+
+
+def eval_suite(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a YAML suite; optional fields get their defaults."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()
+    found = yaml.safe_load(text[0]) if text else []
+    rows = found.get("cases", []) if isinstance(found, dict) else found or []
+    names = [c.split()[0] for c in CASE.split(", ")]
+    return spark.createDataFrame([tuple(r[n] if r.get(n) is not None else DEFAULTS.get(n) for n in names) for r in rows], CASE)
+
+
 def pages_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Captured pages of a paged listing: the rows in each page's ``data``."""
     return spark.read.schema(f"data ARRAY<STRUCT<{schema}>>").json(path, multiLine=True).select(F.inline("data"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import new_folder
+
 
 def requests_stream(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
     """The events table as a stream; its times carry no zone, which watermarks need, so they are read as UTC."""
@@ -38,8 +37,7 @@ def first_of_each(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run over all that is there and return the result. Append mode writes Parquet; results that only close later need complete mode, kept in memory for small results."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="groundspark-stream-")
-    place = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    place = new_folder(spark, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{place}/out").outputMode("append").start().awaitTermination()
