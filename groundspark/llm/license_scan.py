@@ -4,8 +4,11 @@ Every rolling k-gram of a document's words is hashed and joined to the positions
 in a fixed set of license templates. A hit of word p in the document and word q in a template votes
 for the diagonal p - q. Votes are aggregated by diagonal; neighbouring diagonals of a template (words
 added or missing) are merged; a merged run is verified by the share of the template's k-grams that it
-holds. Words are compared, not only hashes. A phrase of the base is found where all of its k-grams
-lie on one diagonal. Only DataFrame functions run here.
+holds. K-grams are equal if two 64-bit hashes with different seeds are; a row carries no more of its text than
+these, so time is linear in a text's length. A phrase of the base is found where all of its k-grams
+lie on one diagonal. Only DataFrame functions run here. Texts are lowered by ``lower``, beyond A-Z too:
+that changes no word border, and no word of the base, whose only letters with a further upper case
+(i: U+0130, which becomes two characters; k, which no phrase has) can't arise from one.
 
 Defined results: a null or empty text has no words, no labels and score 0; very long texts are
 scanned whole; repeated rows are each reported; null doc_ids are reported; an empty table gives an
@@ -14,10 +17,10 @@ empty table; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import rolling_hashes, table, words_of
+from ._common import table, words_of
 
 K = 3
 #: How far apart neighbouring diagonals may lie to be merged, and the share of a template's k-grams that verifies a run.
@@ -46,13 +49,23 @@ TEMPLATES = [
 DOCUMENT = -1
 
 
+def rolling_grams(words: str) -> Column:
+    """Two hashes of every K consecutive words in the array column ``words``; the last K - 1 entries have fewer words."""
+
+    def gram(w: Column, i: Column) -> Column:
+        own = [w, *(F.get(F.col(words), i + j) for j in range(1, K))]
+        return F.struct(F.xxhash64(*own).alias("h"), F.xxhash64(F.lit(K), *own).alias("g"))
+
+    return F.transform(words, gram)
+
+
 def template_positions(spark: SparkSession) -> DataFrame:
-    """template, label, base, grams (k-grams it has), q, h, w1..wK: a fixed, small table."""
+    """template, label, base, grams (k-grams it has), q, h, g: a fixed, small table."""
     rows = [F.struct(F.lit(n).alias("template"), F.lit(label).alias("label"), F.lit(n < len(BASE)).alias("base"), F.lit(text).alias("text")) for n, (text, label) in enumerate(BASE + TEMPLATES)]
     words = spark.range(1).select(F.inline(F.array(*rows))).withColumn("w", words_of(F.col("text")))
-    grams = words.withColumn("grams", F.size("w") - K + 1).select("*", F.posexplode(rolling_hashes("w", K)).alias("q", "h")).filter("q < grams")
-    found = grams.select("template", "label", "base", "grams", "q", "h", F.slice("w", F.col("q") + 1, K).alias("gram"))
-    mark = spark.range(1).select(F.lit(DOCUMENT).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("grams"), F.lit(0).alias("q"), F.lit(0).cast("long").alias("h"), F.array(F.lit("")).alias("gram"))
+    grams = words.withColumn("grams", F.size("w") - K + 1).select("*", F.posexplode(rolling_grams("w")).alias("q", "x")).filter("q < grams")
+    found = grams.select("template", "label", "base", "grams", "q", "x.h", "x.g")
+    mark = spark.range(1).select(F.lit(DOCUMENT).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"), F.lit(0).alias("grams"), F.lit(0).alias("q"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"))
     return found.unionByName(mark)
 
 
@@ -60,11 +73,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     key = ["doc_id", "text_key"]
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    mark = F.array(F.lit(0).cast("long"))
-    grams = words.select(*key, "w", F.posexplode(F.concat(rolling_hashes("w", K), mark)).alias("p", "h"))
+    mark = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g")))  # the place after the last word, for the document's own row
+    grams = words.select(*key, F.posexplode(F.concat(rolling_grams("w"), mark)).alias("p", "x")).select(*key, "p", "x.h", "x.g")
     # The template table has a fixed number of rows.
-    hits = grams.join(F.broadcast(template_positions(docs.sparkSession)), "h")
-    hits = hits.filter(F.when(F.col("template") == DOCUMENT, F.col("p") == F.size("w")).otherwise(F.slice("w", F.col("p") + 1, K) == F.col("gram")))
+    hits = grams.join(F.broadcast(template_positions(docs.sparkSession)), ["h", "g"])
     hits = hits.select(*key, "template", "label", "base", "grams", "q", "p").repartition(*key)
 
     diagonals = hits.withColumn("diagonal", F.col("p") - F.col("q")).groupBy(*key, "template", "label", "base", "grams", "diagonal")
