@@ -52,33 +52,38 @@ def family_signals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "phrase string, family string, intent string, weight int, place int")
 
 
+def padded(text: Column) -> Column:
+    """The normalised text between spaces, in which whole words are found as substrings. A column of its own, so that it is made once."""
+    return F.concat(F.lit(" "), phrase(text), F.lit(" "))
+
+
 def rule_matches(text: Column, rules: dict) -> Column:
-    """For each group of a fixed rule table with a phrase in the normalised text: key, score, signals. Computed in the row, so nothing is shuffled."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    """For each group of a fixed rule table with a phrase in the padded text: key, score, signals. Plain expressions, computed in the row, so nothing is shuffled."""
     groups = []
     for key, phrases in rules.items():
-        found = F.filter(F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("weight")) for p, w in phrases.items())), lambda x: F.contains(padded, F.concat(F.lit(" "), x["phrase"], F.lit(" "))))
         names = (key,) if isinstance(key, str) else key
-        score = F.aggregate(found, F.lit(0).cast("long"), lambda t, x: t + x["weight"])
-        groups.append(F.struct(*(F.lit(n).alias(c) for n, c in zip(names, ("name", "intent"), strict=False)), score.alias("score"), F.transform(found, lambda x: x["phrase"]).alias("signals")))
+        hit = {p: F.contains(text, F.lit(f" {p} ")) for p in phrases}
+        score = reduce(lambda a, b: a + b, (F.when(hit[p], w).otherwise(0) for p, w in phrases.items())).cast("long")
+        groups.append(F.struct(*(F.lit(n).alias(c) for n, c in zip(names, ("name", "intent"), strict=False)), score.alias("score"), F.array_compact(F.array(*(F.when(hit[p], p) for p in phrases))).alias("signals")))
     return F.filter(F.array(*groups), lambda g: g["score"] > 0)
 
 
 def family_scores(questions: DataFrame) -> DataFrame:
     """query_id, family, intent, score and the matched phrases in the table's order."""
-    return questions.select("query_id", F.inline(rule_matches(phrase(F.col("query")), FAMILY_SIGNALS))).withColumnRenamed("name", "family")
+    padded_ = questions.select("query_id", padded(F.col("query")).alias("_text"))
+    return padded_.select("query_id", F.inline(rule_matches(F.col("_text"), FAMILY_SIGNALS))).withColumnRenamed("name", "family")
 
 
 def any_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return reduce(lambda a, b: a | b, (F.contains(padded, F.lit(f" {p} ")) for p in phrases))
+    """Whether one of the phrases is in the padded text."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(f" {p} ")) for p in phrases))
 
 
 def family_plan(questions: DataFrame) -> DataFrame:
     """``questions`` with plan_status, plan_family, plan_intent. A tie at the top is found before the least score counts."""
-    q = questions.withColumn("_all", rule_matches(phrase(F.col("query")), FAMILY_SIGNALS)).withColumn("top", F.array_max(F.transform("_all", lambda x: x["score"])))
+    text = F.col("_text")
+    q = questions.withColumn("_text", padded(F.col("query"))).withColumn("_all", rule_matches(text, FAMILY_SIGNALS)).withColumn("top", F.array_max(F.transform("_all", lambda x: x["score"])))
     q = q.withColumn("best", F.filter("_all", lambda x: x["score"] == F.col("top"))).drop("_all")
-    text = phrase(F.col("query"))
     best = F.get("best", F.lit(0))
     safety = any_phrase(text, SAFETY) | text.rlike(MODAL_CAUSE)
     population = any_phrase(text, POPULATION)
@@ -91,23 +96,24 @@ def family_plan(questions: DataFrame) -> DataFrame:
     routed = F.col("plan_status") == "routed_single_family"
     grouped = F.col("plan_status") == "candidate_family_group_unfiltered"
     intent = F.when(routed, best["intent"]).when(grouped & safety, "safety_warning").when(grouped, "population_specific_use")
-    return planned.withColumns({"plan_family": F.when(routed, best["name"]), "plan_intent": intent}).drop("best", "top")
+    return planned.withColumns({"plan_family": F.when(routed, best["name"]), "plan_intent": intent}).drop("best", "top", "_text")
 
 
 def source_route(planned: DataFrame) -> DataFrame:
     """Planned questions (family_plan) with has_drug get route_status, planned_source and identity_intent."""
     label_plan = F.col("plan_status").isin(*LABEL_PLANS)
-    text = phrase(F.col("query"))
+    text = F.col("_text")
+    planned = planned.withColumn("_text", padded(F.col("query")))
     kept = F.filter(rule_matches(text, IDENTITY_SIGNALS), lambda g: ~(label_plan & (g["name"] == "drug_identity_definition")))  # its only phrase is "what is"
     plain = F.transform(kept, lambda g: F.struct(-g["score"], g["name"]))
-    boost = F.when(text.startswith("what is ") & F.col("has_drug") & ~label_plan, F.array(F.struct(F.lit(-LEAST_IDENTITY).cast("long"), F.lit("drug_identity_definition")))).otherwise(F.array())
+    boost = F.when(text.startswith(" what is ") & F.col("has_drug") & ~label_plan, F.array(F.struct(F.lit(-LEAST_IDENTITY).cast("long"), F.lit("drug_identity_definition")))).otherwise(F.array())
     order = F.array_sort(F.concat(plain.cast("array<struct<score:bigint,name:string>>"), boost.cast("array<struct<score:bigint,name:string>>")))
     q = planned.withColumn("_best", F.get(order, F.lit(0))).withColumns({"identity_score": -F.col("_best.score"), "identity_intent": F.col("_best.name")}).drop("_best")
     identity = F.coalesce(F.col("identity_score") >= LEAST_IDENTITY, F.lit(False))
     label = (F.trim(F.coalesce("family", F.lit(""))) != "") | F.col("plan_status").isin(*LABEL_PLANS)
     status = F.when(identity & label, "ambiguous_mixed_source").when(identity, "routed_rxnorm_identity").when(label, "routed_dailymed_label").otherwise("fallback_dailymed_label")
     source = F.when(identity & label, "multi_source_composed").when(identity, "rxnorm_identity").otherwise("dailymed_label")
-    return q.withColumns({"route_status": status, "planned_source": source, "identity_intent": F.when(identity, F.col("identity_intent"))}).drop("identity_score")
+    return q.withColumns({"route_status": status, "planned_source": source, "identity_intent": F.when(identity, F.col("identity_intent"))}).drop("identity_score", "_text")
 
 
 def candidate_spans(questions: DataFrame) -> DataFrame:

@@ -100,6 +100,28 @@ def log_append(s: SparkSession, d: str) -> DataFrame:
     return sinks.request_and_evidence_rows(answers)[1].select("query_id", "evidence_id", "chunk_id", "evidence_position", "was_cited")
 
 
+def build_snapshot(s: SparkSession, d: str) -> DataFrame:
+    """The corpus's counts appended to the build log, and the log read back."""
+    path = sinks.new_folder(s, "build-log")
+    now = corpus_counts(s, d).crossJoin(table(s, d, "embeddings").agg(rows().alias("index_points")))  # one row each
+    sinks.append(now, path)
+    return s.read.schema(now.schema).parquet(path)
+
+
+def histories_of(s: SparkSession, d: str) -> DataFrame:
+    """A history document for each customer: its orders are the versions, the newest first."""
+    history = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("o_orderkey")).alias("k"), F.date_format("o_orderdate", "MMM d, yyyy").alias("date")))), lambda x: F.struct((-x["k"]).cast("int").alias("spl_version"), x["date"].alias("published_date")))
+    per = table(s, d, "orders").groupBy("o_custkey").agg(history.alias("history"))
+    named = table(s, d, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"))
+    return named.select(F.struct(F.struct(F.col("c_name").alias("title"), F.col("c_custkey").cast("string").alias("setid")).alias("spl"), "history").alias("data"))
+
+
+def locks(s: SparkSession, d: str) -> DataFrame:
+    """set_id and locked version: for the customers with an even key that of their newest order."""
+    newest = table(s, d, "orders").filter("o_custkey % 2 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").cast("int").alias("locked_spl_version"))
+    return locked(newest.select(F.col("o_custkey").cast("string").alias("set_id"), "locked_spl_version"))
+
+
 def rows() -> Column:
     return F.count(F.lit(1))
 
@@ -121,7 +143,7 @@ def queries() -> dict:
     q["candidate_score"] = lambda s, d: candidates(s).select("concept_name", "setid", "score", F.array_join("matched_preferred", ",").alias("preferred"), F.array_join("matched_excluded", ",").alias("excluded"))
     q["candidate_rank"] = lambda s, d: C.ranked_candidates(candidates(s)).select("concept_name", "setid", "place")
     q["locked_seeds"] = lambda s, d: locked(seeds(s, SEEDS)).select("concept_name", "set_id", "locked_spl_version")
-    q["history_flatten"] = lambda s, d: flatten_history(s.createDataFrame([((("Tablet", "s1"), [(4, "Jan 1, 2024"), (3, "Jan 1, 2023")]),)], "data struct<spl:struct<title:string,setid:string>,history:array<struct<spl_version:int,published_date:string>>>")).join(locked(seeds(s, SEEDS)), "set_id").select("set_id", "title", "history_spl_version", "published_date", (F.col("history_spl_version") == F.col("locked_spl_version").cast("string")).alias("is_locked_version"))
+    q["history_flatten"] = lambda s, d: flatten_history(histories_of(s, d)).join(locks(s, d), "set_id").select("set_id", "title", "history_spl_version", "published_date", (F.col("history_spl_version") == F.col("locked_spl_version").cast("string")).alias("is_locked_version"))
     q["largest_member"] = lambda s, d: table(s, d, "documents").groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"), F.max("n_chars").alias("n_chars"))
     q["set_rollup"] = lambda s, d: C.set_rollup(table(s, d, "part"), "p_brand", ["p_type", "p_size"])
     q["top_reasons"] = lambda s, d: table(s, d, "part").groupBy("p_name").agg(rows().alias("n")).orderBy(F.desc("n"), "p_name").limit(20)
@@ -129,7 +151,7 @@ def queries() -> dict:
     q["outlier_probe"] = lambda s, d: table(s, d, "documents").filter("n_chars > 5000").orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", "source", "n_chars")
     q["ordered_union"] = lambda s, d: table(s, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("a")).select("lang", F.array_join(F.array_union(F.array(F.lit("src3"), F.lit("none")), "a"), ",").alias("matches"))
     q["latest_build"] = lambda s, d: table(s, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1).select("o_orderkey", "o_totalprice")
-    q["build_snapshot"] = lambda s, d: corpus_counts(s, d).crossJoin(table(s, d, "embeddings").agg(rows().alias("index_points")))
+    q["build_snapshot"] = build_snapshot
     q["list_export"] = lambda s, d: sinks.joined_lists(table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("nations")))
     q["hierarchy_rollup"] = lambda s, d: C.rollup_without_fan_out(table(s, d, "region").select(F.col("r_regionkey").alias("k"), "r_name"), "k", {"nations": table(s, d, "nation").select(F.col("n_regionkey").alias("k")), "suppliers": table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("k"))}).select("r_name", "nations", "suppliers")
     return q
@@ -162,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "candidate_score": f"{_SCORED_SQL} SELECT concept_name, setid, score, array_to_string(matched_preferred, ',') AS preferred, array_to_string(matched_excluded, ',') AS excluded FROM w",
         "candidate_rank": f"{_SCORED_SQL} SELECT concept_name, setid, row_number() OVER (PARTITION BY concept_name ORDER BY score DESC, coalesce(try_strptime(published_date, '%b %d, %Y'), try_strptime(published_date, '%Y%m%d'), TIMESTAMP '0001-01-01') DESC, spl_version DESC, setid)::INT AS place FROM w",
         "locked_seeds": f"WITH {_SEED_SQL} SELECT concept_name, set_id, locked_spl_version FROM s WHERE set_id IS NOT NULL AND locked_spl_version IS NOT NULL",
-        "history_flatten": "SELECT * FROM (VALUES ('s1', 'Tablet', '4', 'Jan 1, 2024', true), ('s1', 'Tablet', '3', 'Jan 1, 2023', false)) t(set_id, title, history_spl_version, published_date, is_locked_version)",
+        "history_flatten": "SELECT o_custkey::VARCHAR AS set_id, c_name AS title, o_orderkey::VARCHAR AS history_spl_version, strftime(o_orderdate, '%b %-d, %Y') AS published_date, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS is_locked_version FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 2 = 0",
         "largest_member": "SELECT source, arg_max(doc_id, n_chars * 1000000000 + doc_id) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1",
         "set_rollup": "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_type)), ' | ') AS p_type, array_to_string(list_sort(list(DISTINCT p_size::VARCHAR)), ' | ') AS p_size FROM part GROUP BY 1",
         "top_reasons": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 20",

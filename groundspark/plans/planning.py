@@ -113,7 +113,7 @@ def queries() -> dict:
     q["phrase_match"] = lambda s, d: P.signal_hits(asked(s, d), P.family_signals(s)).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     q["family_scores"] = lambda s, d: P.family_scores(asked(s, d)).select("query_id", "family", "intent", "score", F.array_join("signals", ",").alias("signals"))
     q["family_plan"] = lambda s, d: P.family_plan(asked(s, d)).select("query_id", "plan_status", "plan_family", "plan_intent")
-    q["safety_regex"] = lambda s, d: asked(s, d).select("query_id", P.phrase(F.col("query")).rlike(P.MODAL_CAUSE).alias("modal_cause"), P.any_phrase(P.phrase(F.col("query")), P.SAFETY).alias("safety"), P.any_phrase(P.phrase(F.col("query")), P.POPULATION).alias("population"))
+    q["safety_regex"] = lambda s, d: asked(s, d).select("query_id", P.padded(F.col("query")).alias("t")).select("query_id", F.col("t").rlike(P.MODAL_CAUSE).alias("modal_cause"), P.any_phrase(F.col("t"), P.SAFETY).alias("safety"), P.any_phrase(F.col("t"), P.POPULATION).alias("population"))
     q["source_route"] = lambda s, d: routed(asked(s, d)).select("query_id", "route_status", "planned_source", "identity_intent")
     q["span_candidates"] = lambda s, d: P.candidate_spans(asked(s, d)).select("query_id", "place", "span")
     q["mention_detect"] = lambda s, d: P.mentions(asked(s, d), *concepts(s))
