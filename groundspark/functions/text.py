@@ -75,3 +75,21 @@ def heading(path: Column) -> Column:
 
 def humanise(name: Column) -> Column:
     return F.initcap(F.translate(name, "_", " "))
+
+
+#: Fixed value: the name space of URLs in RFC 9562.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, space: str = URL_SPACE) -> Column:
+    """The name-based UUID (version 5) of a name in a name space: equal names have equal ids, wherever they are made."""
+    h = F.sha1(F.concat(F.unhex(F.lit(space)), F.encode(name, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, 1)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def as_list(value: Column) -> Column:
+    """A JSON array of strings as an array; any other text as an array of itself; null and empty as none."""
+    none = F.array().cast("array<string>")
+    found = F.when(F.startswith(F.trim(value), F.lit("[")), F.from_json(value, "array<string>"))
+    return F.when(F.coalesce(F.trim(value), F.lit("")) == "", none).otherwise(F.coalesce(found, F.array(value)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import as_list, uuid5
 from ..operators import corpus as C
 from ..sources import sinks
 from ..sources.tables import flatten_history, last_by_key, locked, seeds, table
@@ -154,9 +155,17 @@ def queries() -> dict:
     q["build_snapshot"] = build_snapshot
     q["list_export"] = lambda s, d: sinks.joined_lists(table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("nations")))
     q["hierarchy_rollup"] = lambda s, d: C.rollup_without_fan_out(table(s, d, "region").select(F.col("r_regionkey").alias("k"), "r_name"), "k", {"nations": table(s, d, "nation").select(F.col("n_regionkey").alias("k")), "suppliers": table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("k"))}).select("r_name", "nations", "suppliers")
+    q["point_ids"] = lambda s, d: table(s, d, "customer").select("c_custkey", uuid5(F.concat_ws("|", F.lit("chunk"), "c_custkey", "c_name")).alias("point_id"))
+    q["list_coercion"] = lambda s, d: table(s, d, "part").select("p_partkey", as_list(listed()).alias("x")).select("p_partkey", F.size("x").alias("n"), F.array_join("x", "|").alias("items"))
     return q
 
 
+def listed() -> Column:
+    """What a list column of a file may hold: a JSON array, plain text, an unclosed array, nothing."""
+    k = F.col("p_partkey") % 5
+    return F.when(k == 0, F.concat(F.lit('["'), F.col("p_name"), F.lit('", "'), F.col("p_type"), F.lit('"]'))).when(k == 1, F.col("p_name")).when(k == 2, "").when(k == 3, "[]")
+
+
 def oracle_sql() -> dict[str, str]:
     counts = "(SELECT count(*) FROM nation) AS documents, (SELECT count(*) FROM customer) AS versions, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS segments, (SELECT count(*) FROM orders) AS sections, (SELECT count(DISTINCT o_custkey) FROM orders) AS versions_with_sections, (SELECT count(*) FROM lineitem) AS chunks"
     last = "SELECT user_id, event_type, {f}(event_id) AS event_id, arg_{f}(value, event_id) AS value FROM events GROUP BY 1, 2"
@@ -185,6 +194,8 @@ def oracle_sql() -> dict[str, str]:
         "candidate_rank": f"{_SCORED_SQL} SELECT concept_name, setid, row_number() OVER (PARTITION BY concept_name ORDER BY score DESC, coalesce(try_strptime(published_date, '%b %d, %Y'), try_strptime(published_date, '%Y%m%d'), TIMESTAMP '0001-01-01') DESC, spl_version DESC, setid)::INT AS place FROM w",
         "locked_seeds": f"WITH {_SEED_SQL} SELECT concept_name, set_id, locked_spl_version FROM s WHERE set_id IS NOT NULL AND locked_spl_version IS NOT NULL",
         "history_flatten": "SELECT o_custkey::VARCHAR AS set_id, c_name AS title, o_orderkey::VARCHAR AS history_spl_version, strftime(o_orderdate, '%b %-d, %Y') AS published_date, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS is_locked_version FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 2 = 0",
+        "point_ids": "SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || ('chunk|' || c_custkey || '|' || c_name)::BLOB) AS h FROM customer)",
+        "list_coercion": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END::INT AS n, CASE p_partkey % 5 WHEN 0 THEN p_name || '|' || p_type WHEN 1 THEN p_name ELSE '' END AS items FROM part",
         "largest_member": "SELECT source, arg_max(doc_id, n_chars * 1000000000 + doc_id) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1",
         "set_rollup": "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_type)), ' | ') AS p_type, array_to_string(list_sort(list(DISTINCT p_size::VARCHAR)), ' | ') AS p_size FROM part GROUP BY 1",
         "top_reasons": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 20",
