@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept. All but
 the last return the columns of documents; the last adds n_tokens, ids_sha256 and decoded_sha256.
+
+Defined results: null and empty texts get the score of a zero margin and are kept or rejected by it, then are one
+text; of rows equal in doc_id and text one stays; a null doc_id is smaller than all others in exact dedup and never
+names a group of near copies unless all of it are null; equal scores and sizes are settled by doc_id, then by a hash
+of the text; texts of any length pass whole; an empty table stays empty; further columns are kept, whatever their names,
+but for the three that the last stage adds.
 """
 
 from __future__ import annotations
