@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, license_scan, pii, quality, simhash, token_output
+from . import bpe, chat_format, decontaminate, exact_dedup, html_extract, license_scan, periodic_runs, pii, quality, sharding, simhash, spelling, token_output
 
 #: Words of a lower-cased text, as in _common.words_of, for DuckDB.
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -47,6 +47,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_token_output": token_output.op9_token_output,
         "op10_pii": pii.op10_pii,
+        "op11_sharding": sharding.op11_sharding,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
