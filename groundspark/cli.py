@@ -10,12 +10,11 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import index
 from .operators import planning as P
-from .operators import retrieval as R
-from .plans import planning, registry
+from .plans import planning, registry, retrieval
 from .schemas import QUESTIONS
 from .session import get_session
-from .sources.tables import table
 
 
 def asked(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -24,8 +23,7 @@ def asked(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 def search(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     q = spark.createDataFrame([("1", a.text)], "query_id string, query string")
-    docs = table(spark, a.data, "documents")
-    return R.top_k(R.web_search(R.web_candidates(docs, q)), "doc_id", a.top_k)
+    return index.search(retrieval.document_index(spark, a.data), q, a.top_k)
 
 
 COMMANDS = {

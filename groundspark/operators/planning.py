@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.english import STOP
 from ..functions.text import capitalise_first, collapse, contains_any, phrase, question, word_grams
 from ..sources.sinks import materialised
 from ..sources.tables import numbered
-from .retrieval import STOP, TOP_K, tokens
+from .retrieval import TOP_K, tokens
 
 # Weighted phrases of families and identity intents, phrases of unfiltered groups.
 FAMILY_SIGNALS = {

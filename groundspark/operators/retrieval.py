@@ -54,16 +54,16 @@ def hashing_embedder(texts: list[str]) -> np.ndarray:
     return np.divide(out, size, out=out, where=size > 0)
 
 
-def embedded(rows: DataFrame, text: str = "text", embedder: Callable[[list[str]], np.ndarray] = hashing_embedder) -> DataFrame:
-    """``rows`` with embedding in place of ``text``; the embedder, any function of a list of texts, is given EMBED_ROWS at once."""
+def embedded(rows: DataFrame, text: str = "text", embedder: Callable[[list[str]], np.ndarray] = hashing_embedder, element: str = "float") -> DataFrame:
+    """``rows`` with embedding (an array of ``element``) in place of ``text``; the embedder, any function of a list of texts, is given EMBED_ROWS at once."""
     kept = [f for f in rows.schema if f.name not in (text, "embedding")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "embedding array<float>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"embedding array<{element}>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), EMBED_ROWS):
                 part = batch.iloc[at : at + EMBED_ROWS]
-                yield part[[f.name for f in kept]].assign(embedding=list(embedder(part[text].tolist()).astype(np.float32)))
+                yield part[[f.name for f in kept]].assign(embedding=list(embedder(part[text].tolist()).astype(np.float32 if element == "float" else np.float64)))
 
     return rows.mapInPandas(run, schema)
 
@@ -78,28 +78,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def query_terms(query: Column) -> Column:
-    """The distinct tokens of a query that aren't stop words."""
-    return F.array_except(tokens(query), F.array(*(F.lit(w) for w in sorted(STOP))))
-
-
-def lexical_matches(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", filtered: str | None = None) -> DataFrame:
-    """query_id, key, score of the documents that hold all terms of a query; the score is the sum of 1 + ln(tf). ``filtered``: a column of both sides that must be equal, null in the query for any.
-
-    Of the corpus only the terms that a query asks for are counted, so what is shuffled grows with the matches, not with the texts.
-    """
-    asked = queries.select("query_id", *([F.col(filtered).alias("q_filter")] if filtered else []), query_terms(F.col("query")).alias("t"))
-    asked = asked.filter(F.size("t") > 0).select(*(c for c in asked.columns if c != "t"), F.size("t").alias("need"), F.explode("t").alias("term"))
-    wanted = broadcast_if_small(asked.select("term").distinct())
-    own = [filtered] if filtered else []
-    held = docs.select(key, *own, F.explode(tokens(F.col(text))).alias("term")).join(wanted, "term", "left_semi").groupBy("term", key, *own).agg(F.count(F.lit(1)).alias("tf"))
-    hits = broadcast_if_small(asked).join(held, "term")
-    if filtered:
-        hits = hits.filter(F.col("q_filter").isNull() | (F.col("q_filter") == F.col(filtered)))
-    found = hits.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("need"), F.round(F.sum(1 + F.log("tf")), 6).alias("score"))
-    return found.filter("have = need").select("query_id", key, "score")
-
-
 def top_k(scored: DataFrame, key: str, k: int, rank: str = "rank") -> DataFrame:
     """The best k of each query, ties by key; Spark limits each group before the exchange."""
     return numbered(scored, ["query_id"], [F.desc("score"), F.asc(key)], rank).filter(F.col(rank) <= k)
@@ -183,112 +161,3 @@ def retrieval_metrics(cases: DataFrame, judged: DataFrame, k: int = TOP_K) -> Da
     rows = cases.select("query_id").join(first, "query_id", "left")
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
     return rows.agg(F.count(F.lit(1)).alias("cases"), mean(F.coalesce((F.col("first") == 1).cast("double"), F.lit(0.0))).alias("hit_at_1"), mean(F.col("first").isNotNull().cast("double")).alias("hit_at_k"), mean(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
-
-
-#: English stop words of the lexical analysis, fixed values.
-STOP = frozenset("a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split())
-
-#: A word of one short syllable.
-SHORT = re.compile(r"[^aeiouy]*[aeiouy][^aeiouywx]")
-
-
-def stem(word: str) -> str:
-    """A light English stemmer: plural, -ing, -ed, -ly and silent -e forms fall together; a word of one short syllable keeps its -e."""
-    cut = False
-    if word.endswith("sses"):
-        word = word[:-2]
-    elif word.endswith("ies") and len(word) > 4:
-        word = word[:-2]
-    elif word.endswith("s") and not word.endswith(("ss", "us")) and len(word) > 3:
-        word = word[:-1]
-    for end in ("ingly", "edly", "ing", "ed", "ly"):
-        rest = word.removesuffix(end)
-        if rest != word and len(rest) >= 3 and any(c in "aeiouy" for c in rest):
-            word, cut = rest, end != "ly"
-            break
-    if len(word) > 3 and word[-1] == word[-2] and word[-1] not in "aeiouylsz":
-        word = word[:-1]
-    elif cut and SHORT.fullmatch(word):
-        word += "e"
-    if word.endswith("y") and len(word) > 2 and word[-2] not in "aeiouy":
-        word = word[:-1] + "i"
-    return word[:-1] if word.endswith("e") and len(word) > 3 and not SHORT.fullmatch(word[:-1]) else word
-
-
-def parse_web_query(text: str) -> list[list[list[str]]]:
-    """Alternatives of required phrases, as lists of stems; a word is a phrase of one. ``or`` separates alternatives, quotes make phrases; excluded words begin with "-" in the first place of their phrase."""
-    alternatives: list[list[list[str]]] = [[]]
-    for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', text):
-        raw = m[2] if m[3] is None else m[3]
-        if m[3] is not None and raw.lower() == "or":
-            alternatives.append([])
-            continue
-        minus = m[1] == "-" or (m[3] is not None and raw.startswith("-"))
-        stems = [stem(w) for w in re.findall(r"[^\W_]+", raw.lower()) if w not in STOP]
-        if stems:
-            alternatives[-1].append((["-"] if minus else []) + stems)
-    return [a for a in alternatives if a]
-
-
-def cover_density(positions: list[list[int]]) -> float:
-    """Clarke, Cormack and Tudhope's cover density: each shortest stretch with all terms counts by the inverse of its spread."""
-    marks = sorted((p, k) for k, ps in enumerate(positions) for p in ps)
-    last: dict[int, int] = {}
-    score, before = 0.0, -1
-    for p, k in marks:
-        last[k] = p
-        if len(last) == len(positions):
-            begin = min(last.values())
-            if begin > before:
-                score += len(positions) * 0.1 / (1 + (p - begin) - (len(positions) - 1)) if p > begin else 0.1
-                before = begin
-    return score
-
-
-def web_candidates(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, query, doc_id, text of the pairs that may match: the document has a word with the stem of a required term of one of the query's alternatives."""
-    ask = F.udf(lambda q: sorted({ph[0] for a in parse_web_query(q or "") for ph in a[:] if ph[0] != "-"}), "array<string>")
-    asked = broadcast_if_small(queries.select("query_id", F.explode(ask("query")).alias("term")))
-
-    def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, str] = {}
-        for batch in batches:
-            rows = [(d, known.setdefault(w, stem(w))) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for w in {*re.findall(r"[^\W_]+", (t or "").lower())} - STOP]
-            if len(known) > 1_000_000:
-                known.clear()
-            yield pd.DataFrame(rows, columns=["doc_id", "term"])
-
-    held = docs.select("doc_id", "text").mapInPandas(stems, "doc_id long, term string")
-    pairs = held.join(asked, "term").select("query_id", "doc_id").distinct()
-    return pairs.join(docs.select("doc_id", "text"), "doc_id").join(broadcast_if_small(queries), "query_id")
-
-
-def web_search(pairs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of pairs (query_id, query, doc_id, text), as from ``web_candidates``, whose text matches the query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[str, list] = {}
-        for batch in batches:
-            out = []
-            for q, query, d, text in batch[["query_id", "query", "doc_id", "text"]].itertuples(index=False):
-                plan = parsed.setdefault(query, parse_web_query(query or ""))
-                at: dict[str, list[int]] = {}
-                for p, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower())):
-                    if w not in STOP:
-                        at.setdefault(stem(w), []).append(p)
-                best = 0.0
-                for phrases in plan:
-                    places, fits = [], True
-                    for ph in phrases:
-                        stems = ph[1:] if ph[0] == "-" else ph
-                        own = [p for p in at.get(stems[0], []) if all(p + k in at.get(s, ()) for k, s in enumerate(stems))]
-                        fits &= bool(own) != (ph[0] == "-")
-                        if ph[0] != "-":
-                            places.append(own)
-                    if fits and places:
-                        best = max(best, cover_density(places))
-                if best > 0:
-                    out.append((q, d, round(best, 8)))
-            yield pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
-
-    return pairs.select("query_id", "query", "doc_id", "text").mapInPandas(run, "query_id string, doc_id long, score double")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import planning as P
-from ..operators.retrieval import STOP
+from ..functions.english import STOP
 from ..schemas import ALIASES, CONCEPT_RELATIONS, QUESTIONS
 from ..sources.tables import table
 
