@@ -193,13 +193,13 @@ def match_score(alternatives: list[list[list[str]]], at: dict[str, list[int]]) -
             stems = phrase[minus:]
             own = [p for p in at.get(stems[0], ()) if all(p + k in places_of.get(s, ()) for k, s in enumerate(stems) if s)]
             fits &= bool(own) != minus
+            used.update(s for s in stems if s)
             if not minus:
                 places.append(own)
                 wide.append(len(stems))
-                used.update(s for s in stems if s)
         if fits and places:
             items.append(places)
             widths.append(wide)
     if not items:
         return None
-    return cover_density(items, [p for s in used for p in at.get(s, ())], widths)
+    return cover_density(items, [p for s in used for p in at.get(s, ())], widths)  # places of other alternatives' words aren't noise either

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.english import analysed, match_score, parse_web_query
 from ..sources.sinks import materialised
-from ..sources.tables import broadcast_if_small, numbered
+from ..sources.tables import broadcast_if_small, numbered, spread
 
 BLOCK_DOCS = 128
 #: Terms of an alternative by which documents are met.
@@ -57,7 +57,7 @@ def build(docs: DataFrame, key: str, text: str, path: str, block_docs: int = BLO
                     terms, keys, places, size = [], [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["term", "key", "at"])
 
-    held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL").mapInArrow(run, "term string, key long, at array<int>")
+    held = spread(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL")).mapInArrow(run, "term string, key long, at array<int>")
     held = held.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     rows = held.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("at")).alias("most"), F.sort_array(F.collect_list(F.struct("key", "at"))).alias("docs"))
     rows.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE, collapse
-from ..sources.tables import broadcast_if_small, numbered
+from ..sources.tables import numbered, spread
 
 CHUNK_WORDS, CHUNK_OVERLAP = 220, 40
 RRF_K, POOL, TOP_K, PER_SECTION = 60, 30, 5, 1
@@ -43,13 +44,20 @@ def embedding_text(fields: list[tuple[str, Column, str]], body: Column) -> Colum
 EMBED_WIDTH, EMBED_ROWS = 64, 64
 
 
+@lru_cache(1 << 18)
+def _place(word: str) -> tuple[int, int]:
+    h = hashlib.md5(word.encode()).digest()
+    return h[0] % EMBED_WIDTH, 1 if h[1] % 2 else -1
+
+
 def hashing_embedder(texts: list[str]) -> np.ndarray:
     """The offline default: tokens hashed to signed places of a vector, at unit length."""
     out = np.zeros((len(texts), EMBED_WIDTH))
     for row, text in enumerate(texts):
-        for w in re.findall(r"[^\W_]+", (text or "").lower()):
-            h = hashlib.md5(w.encode()).digest()
-            out[row, h[0] % EMBED_WIDTH] += 1 if h[1] % 2 else -1
+        own = [0] * EMBED_WIDTH
+        for place, sign in map(_place, re.findall(r"[^\W_]+", (text or "").lower())):
+            own[place] += sign
+        out[row] = own
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 
@@ -65,7 +73,7 @@ def embedded(rows: DataFrame, text: str = "text", embedder: Callable[[list[str]]
                 part = batch.iloc[at : at + EMBED_ROWS]
                 yield part[[f.name for f in kept]].assign(embedding=list(embedder(part[text].tolist()).astype(np.float32 if element == "float" else np.float64)))
 
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def chunk_metadata(chunks: DataFrame, fields: list[str]) -> DataFrame:

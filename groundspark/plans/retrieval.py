@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.english import STOP, stem_sql
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from ..sources import sinks
 from ..sources.tables import broadcast_if_small, table
 
@@ -18,16 +21,30 @@ def header(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", R.embedding_text(fields, F.col("text")).alias("text"))
 
 
-_indexes: dict[tuple, I.Index] = {}
+_written: dict[tuple, object] = {}
+
+
+def once(s: SparkSession, d: str, name: str, make: Callable[[DataFrame, str], object], of: DataFrame | None = None) -> object:
+    """What ``make`` writes of the documents' searched texts (or ``of``): written once for an application and the files that the table has, then read."""
+    docs = header(s, d) if of is None else of
+    key = (s.sparkContext.applicationId, name, *sorted(docs.inputFiles()))
+    if key not in _written:
+        _written[key] = make(docs, sinks.new_folder(s, name))
+    return _written[key]
 
 
 def document_index(s: SparkSession, d: str) -> I.Index:
-    """The positional index of the documents: written once for an application and the files that the table has, then read."""
-    docs = header(s, d)
-    key = (s.sparkContext.applicationId, d, *sorted(docs.inputFiles()))
-    if key not in _indexes:
-        _indexes[key] = I.build(docs, "doc_id", "text", sinks.new_folder(s, "index"))
-    return _indexes[key]
+    return once(s, d, "index", lambda docs, path: I.build(docs, "doc_id", "text", path))
+
+
+def document_vectors(s: SparkSession, d: str) -> DataFrame:
+    """doc_id, embedding."""
+
+    def make(docs: DataFrame, path: str) -> str:
+        sinks.rebuild(R.embedded(docs, element="double"), path)
+        return path
+
+    return s.read.schema("doc_id long, embedding array<double>").parquet(once(s, d, "vectors", make))
 
 
 def question() -> F.Column:
@@ -63,9 +80,24 @@ def dense_top(s: SparkSession, d: str, k: int = R.POOL, filtered: str | None = N
     return R.cosine_top(table(s, d, "embeddings"), dense_queries(s, d), "vec_id", k, filtered=filtered)
 
 
+def vector_index(s: SparkSession, d: str) -> V.VectorIndex:
+    rows = table(s, d, "embeddings")
+    return once(s, d, "cells", lambda _, path: V.build(rows, "vec_id", path, label="label"), of=rows)
+
+
+def vector_recall(s: SparkSession, d: str, least: float = 0.9) -> DataFrame:
+    """How many of the ten nearest vectors the nearest cells alone find, and whether that is enough."""
+    index = vector_index(s, d)
+    # Chosen on the vectors whose numbers leave 7, not on the queries.
+    others = table(s, d, "embeddings").filter("vec_id % 20 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = V.search(index, dense_queries(s, d), 10, exact=False, probes=V.probes_for(index, others, 10))
+    right = R.cosine_top(table(s, d, "embeddings"), dense_queries(s, d), "vec_id", 10).withColumnRenamed("vec_id", "id")
+    return V.recall(found, right).select("queries", "wanted", (F.col("recall") >= least).alias("enough"))
+
+
 def meaning_top(s: SparkSession, d: str, k: int = R.POOL) -> DataFrame:
     """The documents nearest to each question by embeddings, both made by the same embedder."""
-    docs = R.embedded(header(s, d).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id"), element="double")
+    docs = document_vectors(s, d).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     asked = R.embedded(lexical_queries(s, d), "query", element="double").withColumnRenamed("embedding", "vector")
     return R.cosine_top(docs, asked, "doc_id", k, filtered="lang")
 
@@ -105,6 +137,9 @@ def queries() -> dict:
     q["embedding_text"] = lambda s, d: header(s, d).select("doc_id", F.md5("text").alias("text_md5"))
     q["lexical_match"] = lambda s, d: lexical_top(s, d, None).drop("rank")
     q["lexical_topk"] = lambda s, d: lexical_top(s, d, 10)
+    q["vector_topk"] = lambda s, d: V.search(vector_index(s, d), dense_queries(s, d), 10).withColumnRenamed("id", "vec_id")
+    q["vector_topk_filtered"] = lambda s, d: V.search(vector_index(s, d), dense_queries(s, d), 10, filtered=True).withColumnRenamed("id", "vec_id")
+    q["vector_recall"] = vector_recall
     q["meaning_topk"] = lambda s, d: meaning_top(s, d, 10)
     q["cosine_topk"] = lambda s, d: dense_top(s, d, 10)
     q["cosine_topk_filtered"] = lambda s, d: dense_top(s, d, 10, "label")
@@ -150,7 +185,7 @@ gr AS (SELECT q, alt, item, d, en.e FROM en JOIN (SELECT DISTINCT q, alt, item,
 la AS (SELECT gr.q, gr.alt, gr.item, gr.d, gr.e, po.b FROM gr ASOF JOIN po ON gr.q = po.q AND gr.alt = po.alt AND gr.item = po.item AND gr.d = po.d AND gr.e >= po.e),
 ab AS (SELECT q, d, e, min(b) AS b FROM la JOIN need USING (q, alt) GROUP BY q, alt, d, e, n HAVING count(*) = n),
 cv AS (SELECT q, d, b, min(e) AS e FROM (SELECT q, d, e, max(b) AS b FROM ab GROUP BY q, d, e) GROUP BY q, d, b),
-mp AS (SELECT q, d, p, row_number() OVER (PARTITION BY q, d ORDER BY p) AS r FROM (SELECT DISTINCT ok.q, ok.d, mk.p FROM ok JOIN qt ON qt.q = ok.q AND qt.alt = ok.alt AND NOT minus JOIN mk ON mk.d = ok.d AND mk.s IN (qt.s1, qt.s2))),
+mp AS (SELECT q, d, p, row_number() OVER (PARTITION BY q, d ORDER BY p) AS r FROM (SELECT DISTINCT ok.q, ok.d, mk.p FROM ok JOIN qt ON qt.q = ok.q JOIN mk ON mk.d = ok.d AND mk.s IN (qt.s1, qt.s2))),
 {name} AS (SELECT cv.q AS query_id, cv.d AS doc_id, round(sum(0.1::DOUBLE / (1 + (e - b) - (y.r - x.r))), 6) AS score FROM cv JOIN mp x ON x.q = cv.q AND x.d = cv.d AND x.p = b JOIN mp y ON y.q = cv.q AND y.d = cv.d AND y.p = e GROUP BY 1, 2)"""
 
 
@@ -194,6 +229,9 @@ def oracle_sql() -> dict[str, str]:
         "web_search": f"WITH {_search('lm', _WEB, '')} {_TOP.format(k='doc_id', t='lm', n=10)}",
         "cosine_topk": f"WITH {_DENSE.format(f='')} {_TOP.format(k='vec_id', t='dm', n=10)}",
         "cosine_topk_filtered": f"WITH {_DENSE.format(f='AND e.label = q.label')} {_TOP.format(k='vec_id', t='dm', n=10)}",
+        "vector_topk": f"WITH {_DENSE.format(f='')} {_TOP.format(k='vec_id', t='dm', n=10)}",
+        "vector_topk_filtered": f"WITH {_DENSE.format(f='AND e.label = q.label')} {_TOP.format(k='vec_id', t='dm', n=10)}",
+        "vector_recall": "SELECT count(*) AS queries, sum(least(10, n))::BIGINT AS wanted, true AS enough FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0), (SELECT count(*) AS n FROM embeddings)",
         "rrf_fusion": f"{_RRF} SELECT query_id, doc_id, score, lexical_rank, dense_rank, rank FROM rf",
         "evidence_pack": f"{_EVID} SELECT query_id, evidence_id, doc_id, source, rank, score FROM ep",
         "evidence_prompt": f"{_EVID} SELECT query_id, md5(string_agg('[' || evidence_id || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS prompt_md5 FROM ep GROUP BY 1",

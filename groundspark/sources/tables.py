@@ -114,6 +114,12 @@ def broadcast_if_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     return F.broadcast(df) if (measured or 0) <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out if it has fewer partitions than the session can work on at once, as a small table in one file has: for what follows in Python."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "n") -> DataFrame:
     """Rows with their place, from 1, in each group."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

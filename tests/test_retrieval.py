@@ -1,5 +1,3 @@
-import random
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -31,14 +29,6 @@ def test_cap_is_not_filled_up(spark):
     assert [(r.k, r.evidence_id) for r in R.diversified(rows, "section").orderBy("position").collect()] == [(1, "E1"), (4, "E2"), (5, "E3")]
 
 
-def test_web_query_and_cover_density():
-    assert R.parse_web_query('"liver warning" or -dose') == [[["liver", "warn"]], [["-", "dose"]]]
-    assert R.parse_web_query("the of") == []
-    for forms in ("warn warns warning warnings warned", "dose doses dosing dosed", "therapy therapies", "hope hopes hoping hoped"):
-        assert len({R.stem(w) for w in forms.split()}) == 1
-    assert R.cover_density([[1], [2]]) > R.cover_density([[1], [9]]) > 0
-
-
 def test_empty_needles_ask_for_nothing(spark):
     row = spark.range(1).select(R.relevant(F.array().cast("array<string>"), F.lit("x"), F.array().cast("array<string>"), F.lit("t")).alias("r")).first()
     assert row.r
@@ -51,17 +41,6 @@ def test_section_tree_inherits(spark):
     assert len(S.CODES) == 56 and len(S.TITLES) == 62 and len(S.FAMILIES) == 38
 
 
-def test_web_search_equals_brute_force(spark):
-    """Candidates joined on terms lose no match of the plain search over all pairs."""
-    rng = random.Random(3)
-    words = "report reports reported house houses houses' thing things the of running runs big".split()
-    docs = [(n, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for n in range(80)] + [(99, None)]
-    queries = [(str(n), q) for n, q in enumerate(["reports of things", '"big house" thing', "house or running -report", "the of", "-thing", "", '-"big thing" runs', "house -house"])]
-    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id string, query string")
-    every = d.join(q, F.lit(True))
-    assert sorted(map(tuple, R.web_search(R.web_candidates(d, q)).collect())) == sorted(map(tuple, R.web_search(every).collect())) != []
-
-
 def test_cosine_blocks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_VECTORS", 30)
     monkeypatch.setattr(R, "BLOCK_QUERIES", 4)
@@ -76,10 +55,3 @@ def test_cosine_blocks_equal_brute_force(spark, monkeypatch):
         fit = [n for n in range(200) if label is None or n % 3 == label]
         best = sorted(fit, key=lambda n: (-round(float(np.dot(v[n], x)), 6), n))[:7]
         assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == best
-
-
-def test_lexical_filter_and_stop_words(spark):
-    docs = spark.createDataFrame([(1, "the aspirin dose", "en"), (2, "aspirin dose dose", "fr"), (3, "aspirin", "en")], "doc_id long, text string, lang string")
-    ask = spark.createDataFrame([("a", "What is the dose of aspirin?", None), ("b", "dose of aspirin", "en"), ("c", "the of", None)], "query_id string, query string, lang string")
-    got = {(r.query_id, r.doc_id) for r in R.lexical_matches(docs, ask, "doc_id", filtered="lang").collect()}
-    assert got == {("a", 1), ("a", 2), ("b", 1)}
