@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import broadcast_if_small, rolling_hashes, table, words_of, written
+from ._common import broadcast_if_small, table, words_of, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -46,21 +46,23 @@ def sketches(items: DataFrame) -> DataFrame:
     return items.select("item_id", "k", "n", F.explode(F.slice(F.array_sort(hashes), F.lit(1), F.col("sketch"))).alias("h"))
 
 
+def grams(k: int) -> F.Column:
+    """Of every k words of the array ``w`` in a row: k, their hash, and how many such places the text has."""
+    n = F.size("w") - k + 1
+    made = F.transform("w", lambda w, i: F.struct(F.lit(k).alias("k"), F.xxhash64(w, *(F.get(F.col("w"), i + j) for j in range(1, k))).alias("h"), n.alias("places")))
+    return F.when(n > 0, F.slice(made, F.lit(1), n)).otherwise(F.array().cast("array<struct<k:int,h:bigint,places:int>>"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, shared, n_shingles, containment of every leak."""
     items = written(benchmark_items(benchmark), "benchmark-items")
     lengths = sorted(r.k for r in items.select("k").distinct().collect())  # five values at most
     sketch = written(sketches(items), "benchmark-sketches")
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
-    small = broadcast_if_small(sketch)
-    found = []
-    for k in lengths or [SHINGLE_WORDS]:
-        grams = words.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(rolling_hashes("w", k)).alias("p", "h")).filter(F.col("p") <= F.col("n_words") - k)
-        hits = grams.join(small.filter(F.col("k") == k), "h").filter(F.col("n_words") - k + 1 >= THRESHOLD * F.col("n") - 1e-9)
-        found.append(hits.groupBy("doc_id", "text_key", "item_id").agg(F.lit(1).alias("one")).drop("one"))
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
+    # All that is read of the words is inside the generator: no row of it carries the text.
+    found = words.select("doc_id", "text_key", F.inline(F.concat(*(grams(k) for k in lengths or [SHINGLE_WORDS]))))
+    hits = found.join(broadcast_if_small(sketch), ["k", "h"]).filter(F.col("places") >= THRESHOLD * F.col("n") - 1e-9)
+    candidates = hits.groupBy("doc_id", "text_key", "item_id").agg(F.lit(1).alias("one")).drop("one")
     candidates = written(candidates, "leak-candidates")
     own = broadcast_if_small(candidates.select(F.col("doc_id").alias("_d"), "text_key", F.col("item_id").alias("_i")))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(own, "text_key").filter(F.col("doc_id").eqNullSafe(F.col("_d")))

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -79,7 +80,7 @@ def marked(tag: str, attributes: str, prose: bool) -> int:
     """Whether an element is marked. ``prose``: it is of the article's prose, where some words are a hint only."""
     if tag in MARKS:
         return IS_MARKED
-    if tag in ("html", "body", "article", "main") or not attributes:
+    if tag in ("html", "body", "main") or not attributes:
         return NOT_MARKED
     found = NOT_MARKED
     for m in NAMED.finditer(attributes):
@@ -97,6 +98,16 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
     stack: list[tuple[str, int]] = []  # open elements, and whether they are marked
     held: list[tuple[int, str]] = []
     deep = hints = articles = 0  # marked, hinted and article elements that are open
+    ends: dict[str, tuple[list[int], list[int]]] = {}  # where a tag opens and closes in the page
+
+    def left_open() -> bool:
+        """Whether a marked element that is open is never closed: then it ended before what begins here."""
+        k = next(k for k, (_, own) in enumerate(stack) if own == IS_MARKED)
+        tag = stack[k][0]
+        if tag not in ends:
+            ends[tag] = tuple([x.start() for x in re.finditer(rf"<{slash}{re.escape(tag)}(?=[\s/>])", page, re.I)] for slash in ("", "/"))
+        opens, closes = (len(places) - bisect_left(places, at) for places in ends[tag])
+        return closes - opens < sum(t == tag for t, _ in stack[k:])
 
     def close_block() -> None:
         if held:
@@ -152,7 +163,7 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
         if tag in BLOCKS:
             close_block()
         if tag in ("article", "main", "body"):  # whatever stood before it and was left open ends here
-            while deep:
+            while deep and (tag == "body" or left_open()):
                 pop()
         elif tag in CLOSES_P and any(t == "p" for t, _ in stack):
             while stack[-1][0] != "p":

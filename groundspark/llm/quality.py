@@ -19,6 +19,7 @@ the input are kept, a column named score is replaced.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -316,24 +317,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     return train(np.repeat(np.arange(got.num_rows), sizes), cells.flatten().to_numpy().astype(np.int64), got["quality"].to_numpy() == 1)
 
 
-def score(df: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
-    """``df`` with the column score, 0 to 1."""
+def score(df: DataFrame, classifier: Classifier, text: str = "text", into: str = "score") -> DataFrame:
+    """``df`` with the column ``into``, 0 to 1."""
     small_batches(df.sparkSession)
-    schema = T.StructType([f for f in df.schema if f.name != "score"])
+    schema = T.StructType([f for f in df.schema if f.name != into])
     kept = list(schema.names)
-    schema = schema.add("score", T.DoubleType())
+    schema = schema.add(into, T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, text, 1 << 20):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(classifier.scores(*utf8(batch.column(text))))], [*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(classifier.scores(*utf8(batch.column(text))))], [*kept, into])
 
     return df.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
-    scored = score(docs.withColumnRenamed("score", "_score"), fit(docs, labels)) if "score" in docs.columns else score(docs, fit(docs, labels))
-    return scored.filter(F.col("score") >= KEPT_FROM).drop("score").withColumnRenamed("_score", "score")
+    own = f"_score_{uuid.uuid4().hex}"
+    return score(docs, fit(docs, labels), into=own).filter(F.col(own) >= KEPT_FROM).drop(own)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

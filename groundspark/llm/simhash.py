@@ -13,8 +13,8 @@ within the limit are dealt out, however many tiles a bucket has. A task's links
 passed on as stars, so a group of n near copies gives no more than n links for each mask.
 
 Defined results: a null or empty text has fingerprint zero, linked like any other; a text of fewer
-words than a shingle is one shingle; a null doc_id never names a component unless all of its
-documents are null; repeated rows share a component; an empty table gives an empty table; further
+words than a shingle is one shingle; a null doc_id links like any other, but never names a component unless all
+of its documents are null; repeated rows share a component; an empty table gives an empty table; further
 columns are ignored; every shingle of a text counts.
 """
 
@@ -293,13 +293,17 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, fp, component_id of each row of (doc_id, text)."""
+    """doc_id, text_key, fp, root (a number of the component), component_id of each row of (doc_id, text).
+
+    Distinct fingerprints have numbers of their own, so that one whose ids are all null links like any other.
+    """
     small_batches(docs.sparkSession)
     rows = written(fingerprints(docs), "simhash-rows")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    found = written(components(links(classes.filter("id IS NOT NULL"))), "simhash-components")
-    of = classes.join(found, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", "text_key", "fp", "component_id")
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "simhash-classes")
+    found = written(components(links(classes.select("fp", "id"))), "simhash-components")
+    of = classes.join(found, "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
+    names = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(of.select("fp", "root").join(names, "root"), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,8 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def thin_out(docs: DataFrame) -> DataFrame:
     """One document of each component, a row with the smallest doc_id, with all its columns."""
     first = grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    none = F.when(F.col("component_id").isNull(), F.col("fp"))  # fingerprints that only null ids have aren't linked
-    kept = first.groupBy("component_id", none.alias("none"), "text_key").agg(F.count(F.lit(1)).alias("n")).groupBy("component_id", "none").agg(F.min(F.struct("text_key", "n")).alias("k"))
+    kept = first.groupBy("root", "component_id", "text_key").agg(F.count(F.lit(1)).alias("n")).groupBy("root", "component_id").agg(F.min(F.struct("text_key", "n")).alias("k"))
     return one_of_each(docs, written(kept.select("component_id", "k.text_key", "k.n"), "simhash-kept"), [F.col("doc_id").cast("long"), text_key()])
 
 

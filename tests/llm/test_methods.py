@@ -79,6 +79,12 @@ def test_a_repeated_row_is_fitted_on_once(spark):
     ('<article><p class="ad">BUY</p><h2 class="related">Related work</h2><div class="related">Read next</div><p class="notice">Cookies!</p>text</article>', "Related work\ntext"),
     ('<main><p>a<span hidden>b</span>c</p><aside>d</aside><form><p>e</p></form><ul class="comments"><li>f</li></ul></main><footer>g</footer>', "ac"),
     ('<div class="sidebar">links</div><div>Body <b>of</b> the page</div><div id="cookie-banner">We use</div>', "Body of the page"),
+    ('<article><p>Text</p></article><section class="comments"><article class="comment"><p>Nice post!</p></article><article><p>Me too</p></article></section>', "Text"),
+    ('<article><p>Text</p><div id="comments"><article class="comment-body"><p>Nice post!</p></article></div><p>more</p></article>', "Text\nmore"),
+    ('<aside><article><p>Related teaser</p></article></aside><main><p>Text</p></main>', "Text"),
+    ('<article><p>Text</p><article class="comment"><p>Nice post!</p></article></article>', "Text"),
+    ('<nav><a href="/">home</a><article><p>After a menu that is left open</p></article>', "After a menu that is left open"),
+    ('<nav><nav>x</nav><article><p>Text</p></article>', "Text"),
     ("<article><p>A &amp; B&nbsp;C &#x4e2d;<script>x()</script></p></article>", "A & B C 中"),
 ])
 def test_gold_pages(spark, page, text):
@@ -238,6 +244,19 @@ def test_short_items_equal_brute_force_and_sql(spark):
     assert {r[:4] for r in con.execute(registry.OP5_SQL).fetchall()} == expected
 
 
+def test_a_very_long_text_is_searched_in_linear_time(spark):
+    words = [f"w{k}" for k in range(400_000)]
+    item = " ".join(words[390_000:390_040])
+    took = []
+    for n in (100_000, 400_000):
+        began = time.time()
+        docs = spark.createDataFrame([(1, " ".join(words[-n:])), (2, None)], "doc_id long, text string")
+        found = decontaminate.leaks(docs, spark.createDataFrame([(7, item), (8, "w399990 w399991"), (9, "nowhere")], "item_id long, text string")).collect()
+        took.append(time.time() - began)
+        assert {(r.doc_id, r.item_id) for r in found} == {(1, 7), (1, 8)}
+    assert took[1] < 30
+
+
 def test_small_tables_are_measured(spark):
     df = spark.range(1000).withColumn("x", F.repeat(F.lit("y"), 100))
     plan = lambda d: d._jdf.queryExecution().logical().toString()
@@ -307,6 +326,20 @@ def test_buckets_far_above_a_tile(spark, monkeypatch):
     assert seen["tiles"].groupBy("mask", "bits", "part", "tile").count().agg(F.max("count")).head()[0] == 4
 
 
+def test_null_ids_link_and_bridge(spark):
+    """Three texts in a chain, the middle one without an id; a pair that has none; a row alone without one."""
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    near = lambda n: " ".join(base[: 400 - n])
+    far = lambda seed: " ".join(f"v{random.Random(seed).randrange(10**6)}{k}" for k in range(50))
+    texts = [(5, near(0)), (None, near(1)), (None, far(1)), (None, far(1)), (9, far(2))]
+    rows = simhash.grouped(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    bits = {r.fp for r in rows if r.component_id == 5}
+    assert len(bits) == 2 and sum(r.component_id == 5 for r in rows) == 2 and {r.doc_id for r in rows if r.component_id == 5} == {5, None}
+    kept = simhash.thin_out(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, near(0)), (0, far(1)), (9, far(2))])
+
+
 def test_long_texts_are_hashed_in_blocks(monkeypatch):
     rng = random.Random(2)
     texts = [" ".join(str(rng.randrange(50)) for _ in range(n)) for n in (0, 1, 3, 4, 5, 90, 1000)] + [None, "  "]
@@ -403,7 +436,7 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
 
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
-    odd = spark.createDataFrame(ODD, "doc_id long, text string").withColumns({c: F.lit(None).cast("string") for c in ("lang", "source", "n_chars", "score", "ids", "key", "fp", "bucket", "owner", "_kept", "_leak")})
+    odd = spark.createDataFrame(ODD, "doc_id long, text string").withColumns({c: F.lit(None).cast("string") for c in ("lang", "source", "n_chars", "score", "ids", "key", "fp", "bucket", "owner", "_kept", "_leak", "_score", "root", "w")})
     for docs in (odd, odd.limit(0)):
         columns = docs.columns
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
