@@ -17,16 +17,17 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, fan_out, in_slices, shared_path, small_batches, table, written
-from .bpe import WordStore, ragged, vocabulary_path
+from ._common import discard, fan_out, in_slices, mix64, shared_path, small_batches, table, written
+from .bpe import STORE_CHARS, WordStore, ragged, vocabulary_path, word_starts
 
 MOST_BITS = 16
 CHECKPOINT = 128
@@ -38,22 +39,128 @@ BLOCKS = "part int, start_in_part long, doc_ids array<long>, sizes array<long>,
 
 #: Words kept per worker: the library is asked for each new one.
 STORE_WORDS = 1_200_000
-_stores: dict[str, WordStore] = {}
+#: Places of the table in which words are found by their hash.
+SLOT_BITS = 22
+#: Bases of the two polynomial hashes modulo 2^64 (odd, one of them plus twice an odd number), and from how many code points on a word is hashed on its own.
+BASES = (0x9E3779B97F4A7C17, 0xD1342543DE82EF97)
+LONG_WORD = 512
+_stores: dict[str, HashedStore] = {}
+
+
+class HashedStore(WordStore):
+    """Ids of the words seen so far, found by hash: no string is made of a word that was seen before.
+
+    All words of a batch get two polynomial hashes from running sums over its code points. The first leads to a slot of an
+    open table, the second must agree too.
+    """
+
+    def __init__(self, encode_words: Callable, encode_text: Callable, special: dict[str, int], most: int = STORE_WORDS):
+        self.encode_text = encode_text
+        self.powers = [self.power(base, 1 << 16) for base in BASES]
+        super().__init__(encode_words, special, None, most)
+
+    @staticmethod
+    def power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of ``base``, and of its inverse."""
+        return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+
+    def clear(self) -> None:
+        super().clear()
+        self.n = 0
+        self.key, self.number = np.zeros(1 << SLOT_BITS, np.uint64), np.empty(1 << SLOT_BITS, np.int32)  # key 0: free
+        self.check = np.empty(1 << 14, np.uint64)
+
+    def hashes(self, joined: str, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if len(points) > len(self.powers[0][0]):
+            self.powers = [self.power(base, 2 * len(points)) for base in BASES]
+        sizes = ends - starts
+        out = []
+        long_ = np.flatnonzero(sizes > LONG_WORD)
+        with np.errstate(over="ignore"):
+            for k, (up, down) in enumerate(self.powers):
+                total = np.zeros(len(points) + 1, np.uint64)
+                np.cumsum(points * up[: len(points)], out=total[1:])
+                own = mix64((total[ends] - total[starts]) * down[starts] + sizes.astype(np.uint64) * np.uint64(BASES[1 - k]))
+                for i in long_.tolist():
+                    own[i] = xxhash.xxh64_intdigest(joined[starts[i] : ends[i]].encode(), seed=k)
+                out.append(np.where(own == 0, np.uint64(1), own))
+        return out
 
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those not seen."""
+        out = np.full(len(first), -1)
+        slot = (first & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        open_ = np.arange(len(first))
+        while len(open_):
+            held = self.key[slot[open_]]
+            number = self.number[slot[open_]]
+            same = held == first[open_]
+            same[same] = self.check[number[same]] == second[open_[same]]
+            out[open_[same]] = number[same]
+            open_ = open_[~same & (held != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
 
-def library_store(name: str) -> WordStore:
+    def insert(self, first: np.ndarray, second: np.ndarray) -> None:
+        """Numbers from n on for words not seen."""
+        while self.n + len(first) > len(self.check):
+            self.check = np.concatenate((self.check, np.empty_like(self.check)))
+        self.check[self.n : self.n + len(first)] = second
+        slot = (first & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+        open_ = np.arange(len(first))
+        while len(open_):
+            free = open_[self.key[slot[open_]] == 0]
+            at, own = np.unique(slot[free], return_index=True)
+            put = free[own]
+            self.key[at], self.number[at] = first[put], self.n + put
+            open_ = np.setdiff1d(open_, put, assume_unique=True)
+            taken = self.key[slot[open_]] != 0
+            slot[open_[taken]] = (slot[open_[taken]] + 1) & ((1 << SLOT_BITS) - 1)
+        self.n += len(first)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each has. Texts with special tokens are left to the library whole."""
+        if self.n > self.most or self.chars > STORE_CHARS:
+            self.clear()
+        whole = {k for s in self.special for k, t in enumerate(texts) if s in t} if any(s in "".join(texts) for s in self.special) else set()
+        segments = ["" if k in whole else t for k, t in enumerate(texts)] if whole else texts
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        begins = np.cumsum(lengths) - lengths
+        joined = "".join(segments)
+        if joined:
+            starts = word_starts(joined, begins)
+            ends = np.append(starts[1:], len(joined))
+            hashed = self.hashes(joined, starts, ends)
+            codes = self.find(*hashed)
+            while len(new := np.flatnonzero(codes < 0)):
+                one = new[np.sort(np.unique(hashed[0][new], return_index=True)[1])]
+                self.add([joined[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], self.n)
+                self.insert(*(h[one] for h in hashed))
+                codes[new] = self.find(*(h[new] for h in hashed))
+            sizes = self.size[codes]
+            ids = self.ids[ragged(self.at[codes], sizes)]
+            total = np.concatenate(([0], np.cumsum(sizes)))
+            per_text = total[np.searchsorted(starts, begins + lengths)] - total[np.searchsorted(starts, begins)]
+        else:
+            ids, per_text = np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        if whole:
+            ends = np.cumsum(per_text)
+            parts = [np.array(self.encode_text(t), np.int32) if k in whole else ids[e - n : e] for k, (t, e, n) in enumerate(zip(texts, ends.tolist(), per_text.tolist(), strict=True))]
+            ids, per_text = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, per_text
+
+
+def library_store(name: str) -> HashedStore:
     """A word store filled by the tokenizers library, once per worker. Words are encoded by the library, each new one once."""
     if name not in _stores:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(vocabulary_path(name))
         made.no_truncation()
         made.no_padding()
         special = {t.content: k for k, t in made.get_added_tokens_decoder().items()}
-        split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
         def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ids: list[int] = []
@@ -64,7 +171,7 @@ def library_store(name: str) -> WordStore:
                     sizes[k] = len(own)
             return np.array(ids, np.int32), sizes
 
-        _stores[name] = WordStore(encode_words, special, split, STORE_WORDS)
+        _stores[name] = HashedStore(encode_words, lambda t: made.encode(t, add_special_tokens=False).ids, special)
     return _stores[name]
 
 

@@ -427,6 +427,36 @@ def test_recall_of_every_kind(spark):
     assert sum(len([x for x in xs if x]) for xs in got.values()) <= 1.1 * len(docs)  # and little else
 
 
+# --- 9
+
+
+def test_hashed_words_equal_the_library(monkeypatch):
+    """New and known words, long ones, special tokens, a store that is emptied, a table in which slots and first hashes collide."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from groundspark.llm import token_output
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    special = next(iter(plain.get_added_tokens_decoder().values())).content
+    rng = random.Random(9)
+    draw = lambda: "".join(rng.choice(["ab", " the", " word", "'s", "é", "中文", "\n\n", "  ", "12", "!?", "x" * 600, special, "😀"]) for _ in range(rng.randrange(60)))
+    texts = [draw() for _ in range(300)] + ["", "y" * 5000]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(token_output, "_stores", {})
+    store = token_output.library_store("byte_bpe_50k.json")
+    hashes = token_output.HashedStore.hashes
+    for most, narrow in ((10**6, False), (20, False), (10**6, True)):
+        store.most = most
+        store.clear()
+        if narrow:
+            monkeypatch.setattr(store, "hashes", lambda *a: [(h := hashes(store, *a))[0] % np.uint64(7) + np.uint64(1), h[1]])
+        for at in range(0, len(texts), 37):
+            ids, sizes = store.encode(texts[at : at + 37])
+            ends = np.cumsum(sizes)
+            assert [ids[e - n : e].tolist() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)] == want[at : at + 37]
+
+
 # --- pipeline
 
 
