@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.english import STOP
-from ..functions.text import capitalise_first, collapse, contains_any, phrase, question, word_grams
+from ..functions.text import capitalise_first, collapse, contains_any, phrase, question
 from ..sources.sinks import materialised
 from ..sources.tables import numbered
+from .phrases import phrase_hits
 from .retrieval import TOP_K, tokens
 
 # Weighted phrases of families and identity intents, phrases of unfiltered groups.
@@ -43,8 +44,8 @@ MOST_SPANS, SPAN_WORDS, LEAST_SPAN = 18, 3, 4
 
 
 def signal_hits(questions: DataFrame, signals: DataFrame) -> DataFrame:
-    """questions joined with the signals whose phrase occurs as whole words. A phrase has at most MOST_WORDS words, so the question's runs of words are joined by equality."""
-    runs = questions.select("query_id", F.explode(word_grams(phrase(F.col("query")), MOST_WORDS)).alias("phrase"))
+    """query_id and the signals whose phrase occurs in the question as whole words, each once."""
+    runs = phrase_hits(questions.withColumn("normal", phrase(F.col("query"))), "query_id", "normal", signals).select("query_id", "phrase").distinct()
     return runs.join(F.broadcast(signals), "phrase")  # a fixed rule table
 
 
@@ -177,7 +178,7 @@ def resolve_terms(terms: DataFrame, aliases: DataFrame, relations: DataFrame, co
 def mentions(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, mention_status, mention, retrieval_drug. Direct names decide; without one, spans are resolved, and resolved spans beat ambiguous ones."""
     names = corpus.select("concept_name", phrase(F.col("concept_name")).alias("phrase"))
-    runs = questions.select("query_id", F.explode(word_grams(phrase(F.col("query")), MOST_WORDS)).alias("phrase"))
+    runs = phrase_hits(questions.withColumn("normal", phrase(F.col("query"))), "query_id", "normal", names).select("query_id", "phrase").distinct()
     direct = runs.join(names, "phrase").groupBy("query_id").agg(F.array_sort(F.collect_set("concept_name")).alias("direct"))
     open_ = questions.join(direct, "query_id", "left_anti")
     spans = materialised(candidate_spans(open_))
