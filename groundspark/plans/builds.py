@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import WHITE
+from ..operators import corpus as C
 from ..operators import planning as P
 from ..operators import retrieval as R
+from ..operators import sync as Y
+from ..operators.builder import Builder, Step
 from ..sources import sinks
 from ..sources import tables as T
+from ..sources.paged import PagedListing
 from ..sources.tables import table
-from . import planning
-from .sections import _TREE, labels, S
+from ..sources.versions import Change, Versions
+from . import corpus, planning
+from .sections import _PRODUCTS, _TREE, S, label_files, labels
 
 
 def csv_export(s: SparkSession, d: str) -> DataFrame:
@@ -30,9 +36,9 @@ def json_export(s: SparkSession, d: str) -> DataFrame:
 
 
 def csv_last_wins(s: SparkSession, d: str) -> DataFrame:
-    """A CSV file in which keys repeat: the last row of each is read."""
+    """CSV files, one after the other, in which keys repeat: the last row of each is read."""
     path = sinks.new_folder(s, "keyed")
-    table(s, d, "events").select("user_id", "event_type", "event_id").orderBy("event_id").coalesce(1).write.csv(path, header=True)  # one file, since rows have an order
+    table(s, d, "events").select("user_id", "event_type", "event_id").orderBy("event_id").write.csv(path, header=True)
     return T.keyed_csv(s, path, "user_id long, event_type string, event_id long", ["user_id", "event_type"])
 
 
@@ -44,17 +50,21 @@ def parsed_label_scan(s: SparkSession, d: str) -> DataFrame:
     return T.parsed_labels(s, path)
 
 
-def log_tables(s: SparkSession, d: str) -> DataFrame:
-    """Answers logged in two appends, read back: each request with its evidence rows and how many were cited."""
+def answers_of_orders(s: SparkSession, d: str) -> DataFrame:
+    """An order is an answer, its lines the evidence, those with return flag R the citations."""
     lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("evidence_id"), F.col("l_partkey").alias("chunk_id"), "l_returnflag"))).alias("evidence"))
-    answers = lines.select(F.col("l_orderkey").alias("query_id"), F.transform(F.filter("evidence", lambda e: e["l_returnflag"] == "R"), lambda e: e["evidence_id"]).alias("citations"), "evidence")
-    path = sinks.new_folder(s, "log")
+    return lines.select(F.col("l_orderkey").alias("query_id"), F.transform(F.filter("evidence", lambda e: e["l_returnflag"] == "R"), lambda e: e["evidence_id"]).alias("citations"), "evidence")
+
+
+def log_tables(s: SparkSession, d: str) -> DataFrame:
+    """Answers logged in two transactions, each of both logs, read back: each request with its evidence rows and how many were cited."""
+    log = Versions(s, sinks.new_folder(s, "log"))
+    answers = answers_of_orders(s, d)
     for half in (0, 1):
-        for name, rows in zip(("request", "evidence"), sinks.request_and_evidence_rows(answers.filter(F.col("query_id") % 2 == half)), strict=True):
-            sinks.append(rows, f"{path}/{name}")
-    request, evidence = (s.read.parquet(f"{path}/{name}") for name in ("request", "evidence"))
+        log.commit({name: Change(rows) for name, rows in zip(("request", "evidence"), sinks.request_and_evidence_rows(answers.filter(F.col("query_id") % 2 == half)), strict=True)})
+    evidence = log.read("evidence")
     per = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("was_cited").alias("cited"), F.max("evidence_position").alias("last_position"))
-    return request.select("query_id", "evidence_count").join(per, "query_id", "left")
+    return log.read("request").select("query_id", "evidence_count").join(per, "query_id", "left")
 
 
 def chunk_rebuild(s: SparkSession, d: str) -> DataFrame:
@@ -115,30 +125,100 @@ def pass_rates(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Steps of a corpus build in order: name, the group that a flag may leave out, and what it writes.
-STEPS: list[tuple[str, str, Callable[[SparkSession, str], DataFrame]]] = [
-    ("labels", "ingestion", labels),
-    ("sections", "build", lambda s, d: S.section_tree(labels(s, d))),
-    ("chunks", "build", lambda s, d: R.word_chunks(S.section_tree(labels(s, d)).select("label_id", "section_uid", F.col("direct_text").alias("text")).filter("text IS NOT NULL"))),
-    ("index", "build", lambda s, d: R.embedded(R.word_chunks(S.section_tree(labels(s, d)).select("label_id", "section_uid", F.col("direct_text").alias("text")).filter("text IS NOT NULL")).withColumnRenamed("chunk_text", "text"))),
-    ("broken sections", "validation", lambda s, d: S.hierarchy_violations(S.section_tree(labels(s, d)))),
+def _histories(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    return T.flatten_history(corpus.history_documents(customer, orders))
+
+
+def _missing_files(files: DataFrame, histories: DataFrame) -> DataFrame:
+    """Histories without a file, and files without text."""
+    empty = files.filter("xml IS NULL OR xml = ''").select("label_id")
+    return histories.select(F.col("set_id").alias("label_id")).distinct().join(files.select("label_id"), "label_id", "left_anti").unionByName(empty)
+
+
+def _searched(sections: DataFrame, documents: DataFrame) -> DataFrame:
+    """The sections with text and a header of their label's title and their place."""
+    rows = sections.filter("direct_text IS NOT NULL").join(documents.select("label_id", "title"), "label_id")
+    fields = [("Label", F.col("title"), "Unknown"), ("Family", F.col("retrieval_family"), "unknown"), ("Section", F.array_join("heading_path", " > "), "unknown")]
+    return rows.select("label_id", "order_index", F.col("direct_text").alias("text"), R.embedding_text(fields, F.lit("")).alias("header"))
+
+
+def _uncovered(searched: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Sections of which some word is in no chunk."""
+    last = chunks.groupBy("label_id", "order_index").agg(F.max("end_word").alias("end"), F.min("start_word").alias("start"))
+    words = F.size(F.filter(F.split("text", WHITE), lambda w: w != ""))
+    return searched.withColumn("words", words).join(last, ["label_id", "order_index"], "left").filter("words > 0 AND (end IS NULL OR start > 0 OR end < words)").select("label_id", "order_index")
+
+
+def _counts(**tables: DataFrame) -> DataFrame:
+    parts = [df.agg(F.lit(name).alias("component"), F.count(F.lit(1)).alias("rows")) for name, df in tables.items()]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+_CHUNK = ["label_id", "order_index", "chunk_index"]
+#: A corpus build: from customers and orders to labels, sections, chunks, an index and the build's own record.
+STEPS = [
+    Step("histories", "ingestion", ("customer", "orders"), _histories),
+    Step("label files", "ingestion", ("customer", "orders"), label_files),
+    Step("missing files", "validation", ("label files", "histories"), _missing_files),
+    Step("sections", "build", ("label files",), S.section_tree),
+    Step("broken sections", "validation", ("sections",), S.hierarchy_violations),
+    Step("documents", "build", ("label files",), S.document_fields),
+    Step("products", "build", ("label files",), S.products),
+    Step("unparsed labels", "validation", ("label files", "sections"), S.bad_labels),
+    Step("searched sections", "build", ("sections", "documents"), _searched),
+    Step("chunks", "build", ("searched sections",), lambda rows: R.word_chunks(rows.drop("header"))),
+    Step("uncovered sections", "validation", ("searched sections", "chunks"), _uncovered),
+    Step("vectors", "build", ("chunks",), lambda rows: R.embedded(rows.select(*_CHUNK, F.col("chunk_text").alias("text")))),
+    Step("index differences", "validation", ("chunks", "vectors"), lambda chunks, vectors: C.reconciled(chunks.select(F.concat_ws(":", *_CHUNK).alias("id")), vectors.select(F.concat_ws(":", *_CHUNK).alias("id")), "id")),
+    Step("corpus counts", "build", ("documents", "sections", "chunks", "vectors"), lambda documents, sections, chunks, vectors: _counts(documents=documents, sections=sections, chunks=chunks, vectors=vectors)),
+    Step("build record", "build", ("corpus counts",), lambda counts: counts.groupBy().pivot("component", ["chunks", "documents", "sections", "vectors"]).agg(F.first("rows"))),
+    Step("request log", "build", ("build record",), lambda record: record.limit(0).select(F.lit("").alias("query_id"), F.lit("").alias("query"), F.lit("").alias("final_status"))),
 ]
 
 
-def build(s: SparkSession, d: str, leave_out: tuple[str, ...] = (), plan_only: bool = False) -> DataFrame:
-    """Run the steps; the first that fails ends the build. step, place, status, rows of each; planned steps have no rows."""
-    path, done = sinks.new_folder(s, "build"), []
-    for place, (name, group, step) in enumerate(STEPS, 1):
-        if group in leave_out:
-            done.append((name, place, "left out", None))
-        elif plan_only:
-            done.append((name, place, "planned", None))
-        else:
-            sinks.rebuild(step(s, d), f"{path}/{place}")
-            done.append((name, place, "done", s.read.parquet(f"{path}/{place}").count()))
-    log = s.createDataFrame(done, "step string, place int, status string, rows long")
-    sinks.append(log, f"{path}/log")
-    return s.read.schema(log.schema).parquet(f"{path}/log")
+def sources(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {name: table(s, d, name) for name in ("customer", "orders")}
+
+
+def build(s: SparkSession, d: str, leave_out: tuple[str, ...] = (), plan_only: bool = False, root: str | None = None) -> DataFrame:
+    return Builder(s, root or sinks.new_folder(s, "build"), STEPS).run(sources(s, d), leave_out, plan_only)
+
+
+def paged_scan(s: SparkSession, d: str) -> DataFrame:
+    """Customers as a paged listing, a hundred a page, read page by page."""
+    rows = table(s, d, "customer").select((F.floor(F.col("c_custkey") / 100) + 1).cast("int").alias("page"), F.struct(F.col("c_custkey").cast("string").alias("setid"), F.col("c_name").alias("title")).alias("row"))
+    total = F.lit(rows.agg(F.max("page")).first()[0])
+    path = sinks.new_folder(s, "pages")
+    rows.groupBy("page").agg(F.to_json(F.struct(F.struct(total.alias("total_pages")).alias("metadata"), F.collect_list("row").alias("data"))).alias("value")).write.partitionBy("page").text(path)
+    s.dataSource.register(PagedListing)
+    return s.read.format("paged").option("url", f"{path if ':' in path else 'file://' + path}/page={{page}}").schema("setid string, title string").load()
+
+
+def log_versions(s: SparkSession, d: str) -> DataFrame:
+    """Requests and evidence rows of the log as each of its versions has them; the last transaction is sent twice."""
+    log = Versions(s, sinks.new_folder(s, "log"))
+    request, evidence = sinks.request_and_evidence_rows(answers_of_orders(s, d))
+    for part in (0, 1, 2, 2):
+        of = F.col("query_id") % 3 == part
+        log.commit({"request": Change(request.filter(of)), "evidence": Change(evidence.filter(of))}, f"part-{part}")
+    rows = [log.read(name, n).agg(F.lit(n).alias("version"), F.lit(name).alias("log"), F.count(F.lit(1)).alias("rows")) for n in log.numbers() for name in ("request", "evidence")]
+    return reduce(lambda x, y: x.unionByName(y), rows)
+
+
+def _index_and_table(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by digest, and an index that lacks some, has old texts of some and others that are gone."""
+    rows = table(s, d, "documents").select("doc_id", F.md5("text").alias("text_md5"), "lang")
+    index = rows.filter("doc_id % 50 <> 7").withColumn("text_md5", F.when(F.col("doc_id") % 30 == 11, "old").otherwise(F.col("text_md5")))
+    return rows, index.unionByName(rows.filter("doc_id % 40 = 3").withColumn("doc_id", F.col("doc_id") + 10_000_000))
+
+
+def index_differences(s: SparkSession, d: str) -> DataFrame:
+    return Y.differences(*_index_and_table(s, d), ["doc_id"])[0]
+
+
+def index_mended(s: SparkSession, d: str) -> DataFrame:
+    rows, index = _index_and_table(s, d)
+    return Y.mended(rows, index, Y.differences(rows, index, ["doc_id"])[0], ["doc_id"])
 
 
 def health(s: SparkSession, d: str, names: tuple[str, ...] = ("documents", "embeddings", "nation", "nowhere")) -> DataFrame:
@@ -158,6 +238,7 @@ def queries() -> dict:
         "csv_export": csv_export, "json_export": json_export, "csv_last_wins": csv_last_wins, "parsed_label_scan": parsed_label_scan, "log_tables": log_tables, "chunk_rebuild": chunk_rebuild, "chunk_record": chunk_record, "vector_upsert": vector_upsert,
         "eval_suite": lambda s, d: suite(s).select("case_id", "query", "expected_status", "drug", "top_k", F.array_join("allowed_citation_prefixes", ",").alias("prefixes"), F.size("required_headings").alias("headings")),
         "eval_pass_rates": lambda s, d: pass_rates(judged_answers(s, d)), "build_steps": build, "build_plan": lambda s, d: build(s, d, ("validation",), True), "health": health,
+        "paged_scan": paged_scan, "log_versions": log_versions, "index_differences": index_differences, "index_mended": index_mended,
     }
 
 
@@ -182,7 +263,13 @@ def oracle_sql() -> dict[str, str]:
         "eval_pass_rates": f"""WITH g AS ({o["answer_gates"]}), c AS ({o["citation_policy"]}), j AS (SELECT query_id, gate, final_status, prefixes_pass, CASE WHEN query_id % 11 = 0 THEN 'insufficient_evidence' ELSE 'answered' END AS e FROM g JOIN c USING (query_id)), k AS (SELECT *, final_status = e AS sp, final_status = e AND prefixes_pass AS op FROM j)
             SELECT count(*) AS cases, count(*) FILTER (op) AS overall_pass, count(*) FILTER (sp) AS status_pass, count(*) FILTER (prefixes_pass) AS citation_policy_pass, round(count(*) FILTER (op) / count(*), 6) AS overall_rate, round(coalesce(count(*) FILTER (op AND e = 'answered') / nullif(count(*) FILTER (e = 'answered'), 0), 0), 6) AS answered_rate,
             round(coalesce(count(*) FILTER (op AND e <> 'answered') / nullif(count(*) FILTER (e <> 'answered'), 0), 0), 6) AS abstention_rate, count(*) FILTER (gate = 'verifier') AS verifier_overrides, count(*) FILTER (gate LIKE '%guardrail') AS guardrail_overrides FROM k""",
-        "build_steps": f"{_TREE} SELECT 'labels' AS step, 1 AS place, 'done' AS status, count(DISTINCT label_id) AS rows FROM t UNION ALL SELECT 'sections', 2, 'done', count(*) FROM t UNION ALL SELECT 'chunks', 3, 'done', count(txt) FROM t UNION ALL SELECT 'index', 4, 'done', count(txt) FROM t UNION ALL SELECT 'broken sections', 5, 'done', 0",
-        "build_plan": "SELECT * FROM (VALUES ('labels', 1, 'planned', NULL::BIGINT), ('sections', 2, 'planned', NULL), ('chunks', 3, 'planned', NULL), ('index', 4, 'planned', NULL), ('broken sections', 5, 'left out', NULL)) t(step, place, status, rows)",
+        "build_steps": f"""{_TREE}, st(step, place, rows) AS (VALUES ('histories', 1, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey)), ('label files', 2, (SELECT count(*) FROM customer)), ('missing files', 3, 0), ('sections', 4, (SELECT count(*) FROM t)), ('broken sections', 5, 0), ('documents', 6, (SELECT count(*) FROM customer)),
+            ('products', 7, (SELECT count(*) FROM ({_PRODUCTS}))), ('unparsed labels', 8, 0), ('searched sections', 9, (SELECT count(txt) FROM t)), ('chunks', 10, (SELECT count(txt) FROM t)), ('uncovered sections', 11, 0), ('vectors', 12, (SELECT count(txt) FROM t)), ('index differences', 13, 0), ('corpus counts', 14, 4), ('build record', 15, 1), ('request log', 16, 0))
+            SELECT step, place, 'done' AS status, rows::BIGINT AS rows FROM st""",
+        "build_plan": "SELECT step, row_number() OVER () AS place, CASE WHEN step IN ('missing files', 'broken sections', 'unparsed labels', 'uncovered sections', 'index differences') THEN 'left out' ELSE 'planned' END AS status, NULL::BIGINT AS rows FROM (SELECT unnest(['histories', 'label files', 'missing files', 'sections', 'broken sections', 'documents', 'products', 'unparsed labels', 'searched sections', 'chunks', 'uncovered sections', 'vectors', 'index differences', 'corpus counts', 'build record', 'request log']) AS step)",
+        "paged_scan": "SELECT c_custkey::VARCHAR AS setid, c_name AS title FROM customer",
+        "log_versions": "SELECT v AS version, log, count(*) AS rows FROM (SELECT unnest([1, 2, 3]) AS v), (SELECT 'evidence' AS log, l_orderkey AS k FROM lineitem UNION ALL SELECT DISTINCT 'request', l_orderkey FROM lineitem) WHERE k % 3 < v GROUP BY 1, 2",
+        "index_differences": "SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'missing' ELSE 'changed' END AS what FROM documents WHERE doc_id % 50 = 7 OR doc_id % 30 = 11 UNION ALL SELECT doc_id + 10000000, 'stale' FROM documents WHERE doc_id % 40 = 3",
+        "index_mended": "SELECT doc_id, md5(text) AS text_md5, lang FROM documents",
         "health": "SELECT 'documents' AS component, 'ok' AS status, count(*) AS rows FROM documents UNION ALL SELECT 'embeddings', 'ok', count(*) FROM embeddings UNION ALL SELECT 'nation', 'ok', count(*) FROM nation UNION ALL SELECT 'nowhere', 'error', NULL UNION ALL SELECT 'overall', 'degraded', NULL",
     }

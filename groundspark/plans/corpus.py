@@ -110,10 +110,14 @@ def build_snapshot(s: SparkSession, d: str) -> DataFrame:
 
 
 def histories_of(s: SparkSession, d: str) -> DataFrame:
+    return history_documents(table(s, d, "customer"), table(s, d, "orders"))
+
+
+def history_documents(customer: DataFrame, orders: DataFrame) -> DataFrame:
     """A history document for each customer: its orders are the versions, the newest first."""
     history = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("o_orderkey")).alias("k"), F.date_format("o_orderdate", "MMM d, yyyy").alias("date")))), lambda x: F.struct((-x["k"]).cast("int").alias("spl_version"), x["date"].alias("published_date")))
-    per = table(s, d, "orders").groupBy("o_custkey").agg(history.alias("history"))
-    named = table(s, d, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"))
+    per = orders.groupBy("o_custkey").agg(history.alias("history"))
+    named = customer.join(per, F.col("c_custkey") == F.col("o_custkey"))
     return named.select(F.struct(F.struct(F.col("c_name").alias("title"), F.col("c_custkey").cast("string").alias("setid")).alias("spl"), "history").alias("data"))
 
 

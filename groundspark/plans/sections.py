@@ -24,6 +24,10 @@ def titled(s: SparkSession, d: str) -> DataFrame:
 
 
 def labels(s: SparkSession, d: str) -> DataFrame:
+    return label_files(table(s, d, "customer"), table(s, d, "orders"))
+
+
+def label_files(customer: DataFrame, orders: DataFrame) -> DataFrame:
     """A label for each customer: products by its number, and for each of its orders a section, under which may be another, and another under that. Some ids repeat, beside and inside each other."""
     k = F.col("o_orderkey")
     code = pick(CODE, k % 5)
@@ -32,7 +36,7 @@ def labels(s: SparkSession, d: str) -> DataFrame:
     grandchild = F.when(k % 6 == 0, "<component><section/></component>").otherwise("")
     child = F.concat(F.lit("<component><section>"), F.when(k % 4 == 2, '<id root="twice"/>').otherwise(""), F.lit("<title>"), F.when(k % 8 == 0, "Uses").otherwise(F.concat(F.lit("Inner "), "o_orderstatus")), F.lit("</title><text>inner</text>"), grandchild, F.lit("</section></component>"))
     section = F.concat(F.lit("<component><section>"), own_id, F.coalesce(F.concat(F.lit('<code code="'), code, F.lit('" displayName="x"/>')), F.lit("")), title, F.lit("<text>About <b>"), "o_orderstatus", F.lit("</b> &amp; more</text>"), F.when(k % 2 == 0, child).otherwise(""), F.lit("</section></component>"))
-    inside = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", section.alias("x")))), lambda r: r["x"]), "").alias("body"))
+    inside = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", section.alias("x")))), lambda r: r["x"]), "").alias("body"))
     c = F.col("c_custkey")
     count = lambda n: F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), n.cast("int"))
 
@@ -54,7 +58,7 @@ def labels(s: SparkSession, d: str) -> DataFrame:
     head = F.format_string('<document xmlns="urn:hl7-org:v3"><id root="d%d"/><setId root="set%d"/><versionNumber value="%d"/><title> A  label %d </title>', c, c, c % 5 + 1, c)
     products = F.array_join(F.transform(count(c % 3), product), "")
     xml = F.concat(head, firm, F.lit("<component><structuredBody><component><section><subject>"), products, routes, F.lit("</subject></section></component>"), F.coalesce("body", F.lit("")), F.lit("</structuredBody></component></document>"))
-    return table(s, d, "customer").select("c_custkey").join(inside, "c_custkey", "left").select(c.cast("string").alias("label_id"), xml.alias("xml"))
+    return customer.select("c_custkey").join(inside, "c_custkey", "left").select(c.cast("string").alias("label_id"), xml.alias("xml"))
 
 
 def broken(tree: DataFrame) -> DataFrame:
@@ -126,6 +130,10 @@ _TREE = f"""WITH om AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS
             tf AS (SELECT *, CASE WHEN canon <> 'pregnancy' THEN canon END AS own FROM tc),
             t AS (SELECT a.*, b.uid AS parent, coalesce(a.canon, b.canon, g.canon) AS near, coalesce(a.own, b.own, g.own) AS family, CASE WHEN a.own IS NOT NULL THEN a.uid WHEN b.own IS NOT NULL THEN b.uid WHEN g.own IS NOT NULL THEN g.uid END AS fam, concat_ws(' > ', g.head, b.head, a.head) AS heading, a.dep + 1 AS plen FROM tf a LEFT JOIN tf b ON b.c = a.c AND b.o = a.po LEFT JOIN tf g ON g.c = a.c AND g.o = b.po)"""
 
+_PRODUCTS = """WITH p AS (SELECT c_custkey AS c, unnest(range(1, c_custkey % 3 + 1)) AS i FROM customer), m AS (SELECT c, i, unnest(CASE WHEN (c + i) % 3 = 0 THEN [NULL] ELSE range(1, (c + i) % 3 + 1) END) AS m FROM p)
+            SELECT c::VARCHAR AS label_id, i::INT AS product_index, 'Pill ' || c % 7 AS product_name, 'c' || i AS product_code, CASE WHEN (c + i) % 2 = 0 THEN 'TABLET' ELSE 'CAPSULE' END AS dosage_form_display_name, m::INT AS ingredient_index, CASE WHEN m = 1 THEN 'ACTIB' WHEN m > 1 THEN 'IACT' END AS class_code, 'stuff ' || m AS ingredient_name, 'U' || m AS unii_code,
+            CASE WHEN m IS NOT NULL THEN (c % 10 + 1)::VARCHAR END AS strength_numerator_value, CASE WHEN m IS NOT NULL THEN 'mg' END AS strength_numerator_unit, CASE WHEN m IS NOT NULL THEN '1' END AS strength_denominator_value, CASE WHEN m IS NOT NULL THEN '1' END AS strength_denominator_unit FROM m"""
+
 
 def oracle_sql() -> dict[str, str]:
     families = ", ".join(f"'{f}'" for f in sorted(S.FAMILIES))
@@ -147,8 +155,6 @@ def oracle_sql() -> dict[str, str]:
         "section_tree": f"{_TREE} SELECT label_id, uid AS section_uid, parent AS parent_section_uid, o AS order_index, po AS parent_index, lo AS last_index, dep AS depth, canon AS canonical_section_name, near AS nearest_canonical_section_name, family AS retrieval_family, txt AS direct_text, heading FROM t",
         "section_subtrees": f"{_TREE} SELECT a.label_id, a.o AS order_index, (count(*) - 1)::INT AS descendants, sum(coalesce(length(b.txt), 0))::BIGINT AS subtree_chars FROM t a JOIN t b ON a.c = b.c AND (b.o = a.o OR b.po = a.o OR b.po IN (SELECT o FROM t x WHERE x.c = a.c AND x.po = a.o)) GROUP BY 1, 2",
         "sections_below": f"{_TREE} SELECT b.label_id, a.o AS root_index, b.o AS order_index, b.dep AS depth FROM t a JOIN t b ON a.c = b.c AND b.o > a.o AND b.o <= a.lo WHERE a.own IS NOT NULL",
-        "label_products": """WITH p AS (SELECT c_custkey AS c, unnest(range(1, c_custkey % 3 + 1)) AS i FROM customer), m AS (SELECT c, i, unnest(CASE WHEN (c + i) % 3 = 0 THEN [NULL] ELSE range(1, (c + i) % 3 + 1) END) AS m FROM p)
-            SELECT c::VARCHAR AS label_id, i::INT AS product_index, 'Pill ' || c % 7 AS product_name, 'c' || i AS product_code, CASE WHEN (c + i) % 2 = 0 THEN 'TABLET' ELSE 'CAPSULE' END AS dosage_form_display_name, m::INT AS ingredient_index, CASE WHEN m = 1 THEN 'ACTIB' WHEN m > 1 THEN 'IACT' END AS class_code, 'stuff ' || m AS ingredient_name, 'U' || m AS unii_code,
-            CASE WHEN m IS NOT NULL THEN (c % 10 + 1)::VARCHAR END AS strength_numerator_value, CASE WHEN m IS NOT NULL THEN 'mg' END AS strength_numerator_unit, CASE WHEN m IS NOT NULL THEN '1' END AS strength_denominator_value, CASE WHEN m IS NOT NULL THEN '1' END AS strength_denominator_unit FROM m""",
+        "label_products": _PRODUCTS,
         "page_titles": "SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') AS title, len(regexp_extract_all(html, '<h1>')) AS headings FROM pages",
     }

@@ -75,8 +75,9 @@ def pages_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def keyed_csv(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """A CSV file with header; of rows with equal keys the last one stays."""
-    rows = spark.read.csv(path, header=True, schema=schema).withColumn("_at", F.monotonically_increasing_id())
+    """CSV files with headers, in order of their names; of rows with equal keys the last one stays, however files are split."""
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.csv(path, header=True, schema=schema).select("*", at.alias("_at"))
     return last_by_key(rows, keys, "_at").drop("_at")
 
 

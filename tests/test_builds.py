@@ -4,10 +4,12 @@ import io
 import zipfile
 
 import numpy as np
+import pytest
 
 from groundspark import cli
 from groundspark.operators import retrieval as R
-from groundspark.plans import builds
+from groundspark.operators.builder import Builder, Step
+from groundspark.sources import sinks
 from groundspark.sources import tables as T
 
 DATA = "/root/testdata/sf0.001"
@@ -57,14 +59,57 @@ def test_embedder_is_a_plug(spark):
     assert np.allclose(np.linalg.norm(R.hashing_embedder(["a b c", "d"]), axis=1), 1) and not R.hashing_embedder([""]).any()
 
 
-def test_a_build_stops_at_the_first_failure(spark, monkeypatch):
-    import pytest
+def test_a_build_goes_on_where_it_is_needed(spark):
+    ran = []
+
+    def step(name, *inputs, make, group="build", version="1"):
+        return Step(name, group, inputs, lambda *a: ran.append(name) or make(*a), version)
+
+    def run(steps, a, b, **more):
+        ran.clear()
+        frames = {"a": spark.createDataFrame(a, "k long"), "b": spark.createDataFrame(b, "k long")}
+        return {r.step: (r.status, r.rows) for r in Builder(spark, root, steps).run(frames, **more).collect()}
+
+    root = sinks.new_folder(spark, "test-build")
+    steps = [step("twice", "a", make=lambda a: a.selectExpr("2 * k AS k")), step("even", "b", make=lambda b: b.filter("k % 2 = 0")), step("both", "twice", "even", make=lambda x, y: x.union(y)), step("checks", "both", make=lambda x: x.filter("k < 0"), group="validation")]
+    one = [(1,), (2,)]
+    assert {s for s, _ in run(steps, one, one, plan_only=True).values()} == {"planned"} and not ran
+    assert run(steps, one, one, leave_out=("validation",)) == {"twice": ("done", 2), "even": ("done", 1), "both": ("done", 3), "checks": ("left out", None)}
+    assert run(steps, one, one)["checks"] == ("done", 0) and ran == ["checks"]
+    assert {s for s, _ in run(steps, one[::-1], one).values()} == {"unchanged"} and not ran  # the same rows in another order
+    run(steps, [(1,), (2,), (3,)], one)
+    assert ran == ["twice", "both", "checks"]  # followers of what changed
+    run(steps, [(1,), (2,), (3,)], [(2,), (5,)])
+    assert ran == ["even"]  # it wrote what it had written: its followers stay
+    run([*steps[:1], step("even", "b", make=lambda b: b, version="2"), *steps[2:]], [(1,), (2,), (3,)], [(2,), (5,)])
+    assert ran == ["even", "both", "checks"]
+    with pytest.raises(ValueError, match="needs c"):
+        run([step("x", "c", make=None)], one, one)
+
+
+def test_a_build_that_dies_goes_on_with_the_step_it_died_in(spark):
+    ran = []
 
-    def fail(s, d):
+    def fail(df):
         raise RuntimeError("no source")
 
-    ran = []
-    monkeypatch.setattr(builds, "STEPS", [("one", "build", fail), ("two", "build", lambda s, d: ran.append(1))])
+    root = sinks.new_folder(spark, "test-build")
+    first = Step("one", "build", ("a",), lambda a: ran.append(1) or a)
+    frames = {"a": spark.range(3).selectExpr("id AS k")}
     with pytest.raises(RuntimeError):
-        builds.build(spark, DATA)
-    assert not ran
+        Builder(spark, root, [first, Step("two", "build", ("one",), fail), Step("three", "build", ("two",), lambda x: ran.append(3) or x)]).run(frames)
+    assert ran == [1]
+    rows = Builder(spark, root, [first, Step("two", "build", ("one",), lambda x: x.limit(1)), Step("three", "build", ("two",), lambda x: ran.append(3) or x)]).run(frames).collect()
+    assert [(r.status, r.rows) for r in rows] == [("unchanged", 3), ("done", 1), ("done", 1)] and ran == [1, 3]
+
+
+def test_the_last_row_wins_in_split_files(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"part-{n}.csv").write_text("k,v\n" + "".join(f"{k % 50},{n}-{k}\n" for k in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        got = T.keyed_csv(spark, str(tmp_path), "k int, v string", ["k"])
+        assert {r.k: r.v for r in got.collect()} == {k: f"2-{3950 + k}" for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
