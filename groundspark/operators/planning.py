@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.english import STOP
 from ..functions.text import capitalise_first, collapse, contains_any, phrase, question
 from ..sources.sinks import materialised
-from ..sources.tables import numbered
+from ..sources.tables import broadcast_if_small, numbered
 from .phrases import phrase_hits
 from .retrieval import TOP_K, tokens
 
@@ -395,20 +395,31 @@ def workflow(questions: DataFrame, aliases: DataFrame, relations: DataFrame, cor
 def label_evidence(questions: DataFrame, sections: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id and evidence (evidence_id, text) of (query_id, query, drug, family): the k sections of the drug (any, if null) and family (any, if null) with most of the question's terms, the drug's name aside.
 
-    Joined on drug and term, so a question meets only sections that share a term with it. ``sections``: section_id, concept_name, family, text.
+    Questions that ask for the same terms, drug and family are answered once. Sections that hold the same of all asked terms, with
+    the same drug and family, are as good as each other: they make a class, of which the k first are kept. Questions meet
+    classes, and go on with the k best of them: by score, then by the class's first section. Nothing more can be among
+    the best k sections. ``sections``: section_id, concept_name, family, text.
     """
     words = F.array_except(tokens(F.col("query")), F.concat(tokens(F.col("drug")), F.array(*(F.lit(w) for w in sorted(STOP)))))
-    asked = questions.select("query_id", F.lower("drug").alias("concept"), F.col("family").alias("asked_family"), F.explode(words).alias("term"))
-    held = sections.select("section_id", F.lower("concept_name").alias("concept"), "family", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    named = asked.filter("concept IS NOT NULL").join(held, ["concept", "term"])
-    free = asked.filter("concept IS NULL").drop("concept").join(held, "term")
+    keyed = questions.select("query_id", F.lower("drug").alias("concept"), F.col("family").alias("asked_family"), F.array_sort(F.array_distinct(words)).alias("terms"))
+    keyed = materialised(keyed.withColumn("ask", F.to_json(F.struct("terms", "concept", "asked_family"))))
+    asked = materialised(keyed.groupBy("ask").agg(F.first("concept").alias("concept"), F.first("asked_family").alias("asked_family"), F.first("terms").alias("terms")).select("ask", "concept", "asked_family", F.explode("terms").alias("term")))
+    known = broadcast_if_small(asked.select("term").distinct())
+    held = sections.select("section_id", F.lower("concept_name").alias("concept"), "family", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(known, "term", "left_semi")
+    signed = held.groupBy("section_id").agg(F.first("concept").alias("concept"), F.first("family").alias("family"), F.array_sort(F.collect_set("term")).alias("own"))
+    firsts = numbered(signed, ["concept", "family", "own"], [F.asc("section_id")], "n").filter(F.col("n") <= k)
+    classes = materialised(firsts.groupBy("concept", "family", "own").agg(F.array_sort(F.collect_list("section_id")).alias("ids")))  # at most k
+    by_term = classes.select("concept", "family", "own", "ids", F.explode("own").alias("term")).drop("own")
+    named = asked.filter("concept IS NOT NULL").join(by_term, ["concept", "term"])
+    free = asked.filter("concept IS NULL").drop("concept").join(by_term, "term")
     hits = named.unionByName(free).filter(F.col("asked_family").isNull() | (F.col("asked_family") == F.col("family")))
-    best = numbered(hits.groupBy("query_id", "section_id").agg(F.count(F.lit(1)).alias("score")), ["query_id"], [F.desc("score"), F.asc("section_id")], "rank").filter(F.col("rank") <= k)
+    met = numbered(hits.groupBy("ask", "ids").agg(F.count(F.lit(1)).alias("score")), ["ask"], [F.desc("score"), F.get("ids", F.lit(0))], "n").filter(F.col("n") <= k)
+    best = numbered(met.select("ask", "score", F.explode("ids").alias("section_id")), ["ask"], [F.desc("score"), F.asc("section_id")], "rank").filter(F.col("rank") <= k)
     rows = best.join(sections.select("section_id", "text"), "section_id")
-    per = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("e"))  # at most k
+    per = rows.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("e"))  # at most k
     evidence = F.transform("e", lambda x: F.struct(F.concat(F.lit("E"), x["rank"].cast("string")).alias("evidence_id"), x["text"].alias("text")))
     none = F.array().cast("array<struct<evidence_id:string,text:string>>")
-    return questions.select("query_id").join(per, "query_id", "left").select("query_id", F.coalesce(evidence, none).alias("evidence"))
+    return keyed.select("query_id", "ask").join(per, "ask", "left").select("query_id", F.coalesce(evidence, none).alias("evidence"))
 
 
 def label_answers(questions: DataFrame, sections: DataFrame) -> DataFrame:

@@ -92,18 +92,28 @@ def vector_upsert(s: SparkSession, d: str) -> DataFrame:
     return index.select("doc_id", F.round(F.aggregate(e, F.lit(0.0), lambda t, x: t + x * x), 4).alias("norm"), F.size(F.filter(e, lambda x: x != 0)).alias("places"), F.round(e[17], 4).alias("at_17"))
 
 
-def suite(s: SparkSession) -> DataFrame:
-    """An evaluation suite as a file has it, read back with its defaults."""
-    path = sinks.new_folder(s, "suite")
-    s.createDataFrame([(SUITE,)], "value string").coalesce(1).write.text(path)
-    return T.eval_suite(s, path)
+def suite(s: SparkSession, d: str) -> DataFrame:
+    """Evaluation suites of the customers' questions, a YAML file for each nation, read back with their defaults."""
+    path, k = sinks.new_folder(s, "suite"), F.col("c_custkey")
+    asked = planning.asked(s, d).select("query_id", "query", "drug")
+    rows = table(s, d, "customer").join(asked, F.col("query_id") == F.concat(F.lit("c"), k.cast("string")))
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)  # noqa: E731  a JSON string is one of YAML
+    field = lambda name, given, value: F.when(given, F.concat(F.lit(f", {name}: "), value)).otherwise("")
+    case = F.concat(
+        F.lit("  - {case_id: "), "query_id", F.lit(", query: "), quoted("query"), F.lit(", expected_status: "), F.when(k % 2 == 1, "answered").otherwise("insufficient_evidence"),
+        field("drug", F.col("drug").isNotNull(), quoted("drug")), field("top_k", k % 5 == 0, F.lit("3")), field("allowed_citation_prefixes", k % 3 > 0, F.when(k % 3 == 1, "[E]").otherwise("[R, E]")), field("required_headings", k % 4 == 0, F.lit("[h1, h2]")), F.lit("}"),
+    )
+    rows.groupBy("c_nationkey").agg(F.concat(F.lit("cases:\n"), F.array_join(F.array_sort(F.collect_list(case)), "\n")).alias("value")).write.partitionBy("c_nationkey").text(path)
+    return T.eval_suite(s, path + "/*")
 
 
-SUITE = """cases:
-  - {case_id: a, query: "What is omeprazole used for?", expected_status: answered, allowed_citation_prefixes: [E]}
-  - {case_id: b, query: "Does metformin guarantee health?", expected_status: insufficient_evidence, top_k: 3}
-  - {case_id: c, query: "What is the generic name of Glucophage?", expected_status: answered, drug: Glucophage, allowed_citation_prefixes: [R], required_headings: [h1, h2]}
-"""
+def suite_evaluation(s: SparkSession, d: str) -> DataFrame:
+    """The suites run through the workflow: how many cases end as expected and cite as allowed, by expected status."""
+    cases = suite(s, d)
+    said = P.answers(cases.select(F.col("case_id").alias("query_id"), "query", "drug", "family"), *planning.concepts(s), planning.sections(s, d))
+    rows = cases.join(said, F.col("case_id") == F.col("query_id"))
+    status, cites = F.col("final_status") == F.col("expected_status"), P.prefixes_pass(F.col("citations"), F.col("allowed_citation_prefixes"))
+    return rows.groupBy("expected_status").agg(F.count(F.lit(1)).alias("cases"), F.count_if(status).alias("status_pass"), F.count_if(cites).alias("citation_policy_pass"), F.count_if(status & cites).alias("overall_pass"))
 
 
 def judged_answers(s: SparkSession, d: str) -> DataFrame:
@@ -236,7 +246,7 @@ def health(s: SparkSession, d: str, names: tuple[str, ...] = ("documents", "embe
 def queries() -> dict:
     return {
         "csv_export": csv_export, "json_export": json_export, "csv_last_wins": csv_last_wins, "parsed_label_scan": parsed_label_scan, "log_tables": log_tables, "chunk_rebuild": chunk_rebuild, "chunk_record": chunk_record, "vector_upsert": vector_upsert,
-        "eval_suite": lambda s, d: suite(s).select("case_id", "query", "expected_status", "drug", "top_k", F.array_join("allowed_citation_prefixes", ",").alias("prefixes"), F.size("required_headings").alias("headings")),
+        "suite_evaluation": suite_evaluation, "eval_suite": lambda s, d: suite(s, d).select("case_id", "query", "expected_status", "drug", "top_k", F.array_join("allowed_citation_prefixes", ",").alias("prefixes"), F.size("required_headings").alias("headings")),
         "eval_pass_rates": lambda s, d: pass_rates(judged_answers(s, d)), "build_steps": build, "build_plan": lambda s, d: build(s, d, ("validation",), True), "health": health,
         "paged_scan": paged_scan, "log_versions": log_versions, "index_differences": index_differences, "index_mended": index_mended,
     }
@@ -259,7 +269,9 @@ def oracle_sql() -> dict[str, str]:
         "vector_upsert": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'another text' ELSE text END AS text FROM documents), w AS (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS h FROM d),
             p AS (SELECT doc_id, {byte(0)} % 64 AS p, sum(CASE WHEN {byte(1)} % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM w GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n, count(*) FILTER (WHERE v <> 0)::INT AS places, coalesce(sum(v) FILTER (WHERE p = 17), 0) AS x FROM p GROUP BY 1)
             SELECT doc_id, CASE WHEN coalesce(n, 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm, coalesce(places, 0) AS places, round(coalesce(CASE WHEN n > 0 THEN x / n ELSE 0 END, 0), 4)::FLOAT AS at_17 FROM d LEFT JOIN n USING (doc_id)""",
-        "eval_suite": "SELECT * FROM (VALUES ('a', 'What is omeprazole used for?', 'answered', NULL, 5, 'E', 0), ('b', 'Does metformin guarantee health?', 'insufficient_evidence', NULL, 3, '', 0), ('c', 'What is the generic name of Glucophage?', 'answered', 'Glucophage', 5, 'R', 2)) t(case_id, query, expected_status, drug, top_k, prefixes, headings)",
+        "eval_suite": f"""WITH {planning._ASKED} SELECT query_id AS case_id, query, CASE WHEN c_custkey % 2 = 1 THEN 'answered' ELSE 'insufficient_evidence' END AS expected_status, drug, CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 5 END AS top_k, CASE c_custkey % 3 WHEN 1 THEN 'E' WHEN 2 THEN 'R,E' ELSE '' END AS prefixes, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END AS headings FROM a JOIN customer ON query_id = 'c' || c_custkey""",
+        "suite_evaluation": f"""WITH w AS ({o["workflow_answers"]}), r AS (SELECT *, CASE WHEN c_custkey % 2 = 1 THEN 'answered' ELSE 'insufficient_evidence' END AS expected_status, CASE c_custkey % 3 WHEN 1 THEN ['E'] WHEN 2 THEN ['R', 'E'] ELSE []::VARCHAR[] END AS allowed, string_split(citations, ',') AS cites FROM w JOIN customer ON query_id = 'c' || c_custkey),
+            k AS (SELECT expected_status, final_status = expected_status AS sp, len(allowed) = 0 OR citations = '' OR len(list_filter(cites, lambda c: NOT list_contains(allowed, c[1]))) = 0 AS cp FROM r) SELECT expected_status, count(*) AS cases, count(*) FILTER (sp) AS status_pass, count(*) FILTER (cp) AS citation_policy_pass, count(*) FILTER (sp AND cp) AS overall_pass FROM k GROUP BY 1""",
         "eval_pass_rates": f"""WITH g AS ({o["answer_gates"]}), c AS ({o["citation_policy"]}), j AS (SELECT query_id, gate, final_status, prefixes_pass, CASE WHEN query_id % 11 = 0 THEN 'insufficient_evidence' ELSE 'answered' END AS e FROM g JOIN c USING (query_id)), k AS (SELECT *, final_status = e AS sp, final_status = e AND prefixes_pass AS op FROM j)
             SELECT count(*) AS cases, count(*) FILTER (op) AS overall_pass, count(*) FILTER (sp) AS status_pass, count(*) FILTER (prefixes_pass) AS citation_policy_pass, round(count(*) FILTER (op) / count(*), 6) AS overall_rate, round(coalesce(count(*) FILTER (op AND e = 'answered') / nullif(count(*) FILTER (e = 'answered'), 0), 0), 6) AS answered_rate,
             round(coalesce(count(*) FILTER (op AND e <> 'answered') / nullif(count(*) FILTER (e <> 'answered'), 0), 0), 6) AS abstention_rate, count(*) FILTER (gate = 'verifier') AS verifier_overrides, count(*) FILTER (gate LIKE '%guardrail') AS guardrail_overrides FROM k""",

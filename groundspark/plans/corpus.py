@@ -8,39 +8,35 @@ from pyspark.sql import functions as F
 from ..functions.text import as_list, uuid5
 from ..operators import corpus as C
 from ..sources import sinks
-from ..sources.tables import flatten_history, last_by_key, locked, seeds, table
+from ..sources.tables import flatten_history, last_by_key, locked, table
 
-#: Small fixed inputs, as a configuration file would hold them.
-SEEDS = [
-    {"concept_name": "metformin", "query_name": "metformin", "prefer_title_contains": ["METFORMIN", "TABLET"], "exclude_title_contains": [], "set_id": "s1", "locked_spl_version": 4},
-    {"concept_name": "acetaminophen", "query_name": "acetaminophen", "prefer_title_contains": ["ACETAMINOPHEN", "TABLET"], "exclude_title_contains": ["LIQUID"], "set_id": "s2", "locked_spl_version": None},
-    {"concept_name": "apixaban", "query_name": "eliquis", "prefer_title_contains": ["APIXABAN"], "exclude_title_contains": ["KIT"], "set_id": None, "locked_spl_version": 2},
-]
-CANDIDATES = [
-    ("metformin", "a1", "9", "METFORMIN HYDROCHLORIDE TABLET", "Apr 30, 2026"),
-    ("metformin", "a2", "15", "METFORMIN HYDROCHLORIDE TABLET", "Apr 30, 2026"),
-    ("metformin", "a3", "1", "METFORMIN SOLUTION", "20250101"),
-    ("acetaminophen", "b1", "3", "ACETAMINOPHEN LIQUID", "bad date"),
-    ("acetaminophen", "b2", "2", "acetaminophen tablet", "Jan 2, 2024"),
-]
-
-
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'" if not isinstance(v, list) else "[" + ", ".join(f"'{x}'" for x in v) + "]::VARCHAR[]" for v in r) + ")" for r in rows)
-
-
-_SEED_SQL = f"s AS (SELECT * FROM (VALUES {_values([(x['concept_name'], x['prefer_title_contains'], x['exclude_title_contains'], x['set_id'], x['locked_spl_version']) for x in SEEDS])}) t(concept_name, prefer, exclude, set_id, locked_spl_version))"
-_CANDIDATE_SQL = f"c AS (SELECT * FROM (VALUES {_values(CANDIDATES)}) t(concept_name, setid, spl_version, title, published_date))"
+_SEED_SQL = "s AS (SELECT n_name AS concept_name, [r_name, 'TABLET'] AS prefer, CASE WHEN n_nationkey % 3 = 0 THEN ['BUILDING'] ELSE []::VARCHAR[] END AS exclude, CASE WHEN n_nationkey % 4 > 0 THEN 'set' || n_nationkey END AS set_id, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 7 END AS locked_spl_version FROM nation JOIN region ON r_regionkey = n_regionkey)"
+_CANDIDATE_SQL = """c AS (SELECT n_name AS concept_name, c_custkey::VARCHAR AS setid, (c_custkey % 23)::VARCHAR AS spl_version, CASE WHEN c_custkey % 2 = 0 THEN lower(n_name) || ' ' ELSE '' END || c_mktsegment || CASE c_custkey % 3 WHEN 0 THEN ' tablet' WHEN 1 THEN ' of ' || r_name ELSE '' END AS title,
+  CASE c_custkey % 4 WHEN 0 THEN 'bad date' WHEN 1 THEN '2024' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '15' ELSE CASE c_custkey % 3 WHEN 0 THEN 'Jan ' WHEN 1 THEN 'Apr ' ELSE 'Dec ' END || (c_custkey % 28 + 1) || ', 2024' END AS published_date
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"""
 _SCORED_SQL = f"""WITH {_SEED_SQL}, {_CANDIDATE_SQL}, m AS (SELECT c.*, list_filter(prefer, lambda t: contains(upper(title), upper(t))) AS matched_preferred,
   list_filter(exclude, lambda t: contains(upper(title), upper(t))) AS matched_excluded FROM c JOIN s USING (concept_name)),
 w AS (SELECT *, (10 * len(matched_preferred) - 100 * len(matched_excluded) + CASE WHEN contains(upper(title), upper(concept_name)) THEN 5 ELSE 0 END)::INT AS score FROM m)"""
 
 
-def candidates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(CANDIDATES, "concept_name string, setid string, spl_version string, title string, published_date string")
-    own = seeds(spark, SEEDS).select("concept_name", "prefer_title_contains", "exclude_title_contains")
+def seeds_of(s: SparkSession, d: str) -> DataFrame:
+    """A seed for each nation."""
+    k = F.col("n_nationkey")
+    rows = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    none = F.array().cast("array<string>")
+    return rows.select(F.col("n_name").alias("concept_name"), F.array("r_name", F.lit("TABLET")).alias("prefer_title_contains"), F.when(k % 3 == 0, F.array(F.lit("BUILDING"))).otherwise(none).alias("exclude_title_contains"), F.when(k % 4 > 0, F.concat(F.lit("set"), k)).alias("set_id"), F.when(k % 5 > 0, k % 7).alias("locked_spl_version"), "n_nationkey", "r_name")
+
+
+def candidates(s: SparkSession, d: str) -> DataFrame:
+    """The customers of each seed's nation as labels to choose from, scored."""
+    k = F.col("c_custkey")
+    rows = table(s, d, "customer").join(F.broadcast(seeds_of(s, d)), F.col("c_nationkey") == F.col("n_nationkey"))  # a row for each nation
+    title = F.concat(F.when(k % 2 == 0, F.concat(F.lower("concept_name"), F.lit(" "))).otherwise(""), "c_mktsegment", F.when(k % 3 == 0, " tablet").when(k % 3 == 1, F.concat(F.lit(" of "), "r_name")).otherwise(""))
+    month = F.when(k % 3 == 0, "Jan ").when(k % 3 == 1, "Apr ").otherwise("Dec ")
+    date = F.when(k % 4 == 0, "bad date").when(k % 4 == 1, F.concat(F.lit("2024"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("15"))).otherwise(F.concat(month, (k % 28 + 1).cast("string"), F.lit(", 2024")))
+    rows = rows.select("concept_name", k.cast("string").alias("setid"), (k % 23).cast("string").alias("spl_version"), title.alias("title"), date.alias("published_date"), "prefer_title_contains", "exclude_title_contains")
     scored = C.title_score(F.col("title"), F.col("concept_name"), F.col("prefer_title_contains"), F.col("exclude_title_contains"))
-    return rows.join(own, "concept_name").select("concept_name", "setid", "spl_version", "title", "published_date", *(v.alias(k) for k, v in scored.items()))
+    return rows.select("concept_name", "setid", "spl_version", "title", "published_date", *(v.alias(k) for k, v in scored.items()))
 
 
 def corpus_counts(s: SparkSession, d: str) -> DataFrame:
@@ -145,9 +141,9 @@ def queries() -> dict:
     q["dedup_last"] = lambda s, d: last_by_key(table(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
     q["dedup_first"] = lambda s, d: C.first_by_key(table(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
     q["distinct_concepts"] = lambda s, d: table(s, d, "documents").select("source").distinct().orderBy("source")
-    q["candidate_score"] = lambda s, d: candidates(s).select("concept_name", "setid", "score", F.array_join("matched_preferred", ",").alias("preferred"), F.array_join("matched_excluded", ",").alias("excluded"))
-    q["candidate_rank"] = lambda s, d: C.ranked_candidates(candidates(s)).select("concept_name", "setid", "place")
-    q["locked_seeds"] = lambda s, d: locked(seeds(s, SEEDS)).select("concept_name", "set_id", "locked_spl_version")
+    q["candidate_score"] = lambda s, d: candidates(s, d).select("concept_name", "setid", "score", F.array_join("matched_preferred", ",").alias("preferred"), F.array_join("matched_excluded", ",").alias("excluded"))
+    q["candidate_rank"] = lambda s, d: C.ranked_candidates(candidates(s, d)).select("concept_name", "setid", "place")
+    q["locked_seeds"] = lambda s, d: locked(seeds_of(s, d)).select("concept_name", "set_id", "locked_spl_version")
     q["history_flatten"] = lambda s, d: flatten_history(histories_of(s, d)).join(locks(s, d), "set_id").select("set_id", "title", "history_spl_version", "published_date", (F.col("history_spl_version") == F.col("locked_spl_version").cast("string")).alias("is_locked_version"))
     q["largest_member"] = lambda s, d: table(s, d, "documents").groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"), F.max("n_chars").alias("n_chars"))
     q["set_rollup"] = lambda s, d: C.set_rollup(table(s, d, "part"), "p_brand", ["p_type", "p_size"])

@@ -59,14 +59,23 @@ DEFAULTS = {"top_k": 5, "required_headings": [], "allowed_citation_prefixes": []
 
 
 def eval_suite(spark: SparkSession, path: str) -> DataFrame:
-    """The cases of a YAML suite; optional fields get their defaults."""
-    import yaml
-
-    text = spark.read.text(path, wholetext=True).first()
-    found = yaml.safe_load(text[0]) if text else []
-    rows = found.get("cases", []) if isinstance(found, dict) else found or []
+    """The cases of YAML suites, each file read by a task; optional fields get their defaults."""
     names = [c.split()[0] for c in CASE.split(", ")]
-    return spark.createDataFrame([tuple(r[n] if r.get(n) is not None else DEFAULTS.get(n) for n in names) for r in rows], CASE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        kinds = [pa.string()] * 5 + [pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                found = yaml.safe_load(text) if text else []
+                cases = (found.get("cases") or []) if isinstance(found, dict) else found or []
+                rows += [tuple(r[n] if r.get(n) is not None else DEFAULTS.get(n) for n in names) for r in cases]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return spread(spark.read.text(path, wholetext=True)).mapInArrow(run, CASE)
 
 
 def pages_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
