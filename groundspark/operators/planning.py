@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -342,7 +343,19 @@ def json_object(text: Column) -> Column:
 
 
 def parsed_answer(raw: Column) -> Column:
-    return F.from_json(json_object(raw), "status string, answer string, citations array<string>, evidence_summary string")
+    """status, answer, citations, evidence_summary of a model's output, and error: why some of them can't be had.
+
+    The outermost object is parsed to a variant, from which fields are taken by type: further keys don't matter, a number
+    stands for its text, an object as a field's value for its JSON. no_object: no braces; broken_json: what they hold isn't JSON (or
+    names a key twice); citations_not_a_list: citations stay null.
+    """
+    text = json_object(raw)
+    v = F.try_parse_json(text)
+    field = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    given = F.is_variant_null(F.coalesce(F.try_variant_get(v, "$.citations", "variant"), F.parse_json(F.lit("null"))))
+    citations = field("citations", "array<string>")
+    error = F.when(text.isNull(), "no_object").when(v.isNull(), "broken_json").when(citations.isNull() & ~given, "citations_not_a_list")
+    return F.struct(field("status", "string").alias("status"), field("answer", "string").alias("answer"), citations.alias("citations"), field("evidence_summary", "string").alias("evidence_summary"), error.alias("error"))
 
 
 def foreign_citations(citations: Column, evidence_ids: Column) -> Column:
@@ -366,15 +379,18 @@ def verdict(answer: Column, cited: Column, least: float = 0.5) -> Column:
     return F.when(share >= least, "supported").otherwise("insufficient")
 
 
-def answer_gates(answers: DataFrame) -> DataFrame:
-    """query_id, final_status, gate of (query_id, query, raw, evidence): the first gate that an answer fails names it."""
+def answer_gates(answers: DataFrame, verifier: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """query_id, final_status, gate of (query_id, query, raw, evidence): the first gate that an answer fails names it.
+
+    ``verifier``: an expression of answer and cited text that is "supported" or something else; by default ``verdict``.
+    """
     a = answers.withColumn("_a", parsed_answer(F.col("raw"))).withColumn("_c", F.coalesce("_a.citations", F.array().cast("array<string>"))).withColumn("_t", cited_text(F.col("evidence"), F.col("_c")))
     ids = F.transform("evidence", lambda e: e["evidence_id"])
     status = F.col("_a.status")
     gate = (
         F.when(F.size("evidence") == 0, "no_evidence").when(status.isNull() | F.col("_a.answer").isNull(), "bad_output").when(F.size(foreign_citations(F.col("_c"), ids)) > 0, "foreign_citation")
         .when((status == "answered") != (F.size("_c") > 0), "citations_do_not_fit_status").when(status != "answered", "model_abstained").when(guarantee_blocked(F.col("query"), F.col("_t"), status), "guarantee_guardrail")
-        .when(negative_treatment_blocked(F.col("query"), F.col("_a.answer"), F.col("_t"), status), "negative_treatment_guardrail").when(verdict(F.col("_a.answer"), F.col("_t")) != "supported", "verifier").otherwise("passed")
+        .when(negative_treatment_blocked(F.col("query"), F.col("_a.answer"), F.col("_t"), status), "negative_treatment_guardrail").when((verifier or verdict)(F.col("_a.answer"), F.col("_t")) != "supported", "verifier").otherwise("passed")
     )
     return a.select("query_id", gate.alias("gate")).withColumn("final_status", F.when(F.col("gate") == "passed", "answered").otherwise("insufficient_evidence"))
 

@@ -151,9 +151,9 @@ def overlap_score(query: Column, passage: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(q, tokens(passage))), F.size(q)), F.lit(0.0)), 6)
 
 
-def reranked(ranked: DataFrame, key: str, query: str, passage: str) -> DataFrame:
-    """By overlap score; the rank before stays as original_rank."""
-    scored = ranked.withColumnRenamed("rank", "original_rank").withColumn("rerank_score", overlap_score(F.col(query), F.col(passage)))
+def reranked(ranked: DataFrame, key: str, query: str, passage: str, score: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
+    """By a score of query and passage, of a model (``scoring.pair_score``) or by default of their overlap; the rank before stays as original_rank."""
+    scored = ranked.withColumnRenamed("rank", "original_rank").withColumn("rerank_score", score(F.col(query), F.col(passage)))
     return numbered(scored, ["query_id"], [F.desc("rerank_score"), F.asc("original_rank"), F.asc(key)], "rank")
 
 

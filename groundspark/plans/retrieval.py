@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.english import STOP, stem_sql
 from ..operators import index as I
 from ..operators import retrieval as R
+from ..operators import scoring
 from ..operators import vectors as V
 from ..sources import sinks
 from ..sources.tables import broadcast_if_small, table
@@ -118,6 +119,12 @@ def judged(s: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "rank", R.relevant(languages, F.col("lang"), F.array(F.lit("the"), F.lit("de")), F.col("text")).alias("relevant"))
 
 
+def reranked_by_model(s: SparkSession, d: str) -> DataFrame:
+    """The hybrid's results in the order of a model's scores; the model is the overlap of the first PAIR_TOKENS words of question and document."""
+    rows = hybrid(s, d).join(lexical_queries(s, d).drop("lang"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    return R.reranked(rows, "doc_id", "query", "text", score=scoring.pair_score())
+
+
 def web_questions(s: SparkSession, d: str) -> DataFrame:
     """Each whole benchmark item as a search, in turn as it is, with its first two words as a phrase, and as two halves that are alternatives, of which the second excludes a language."""
     words = F.filter(F.split(question(), r"\s+"), lambda w: w != "")
@@ -147,6 +154,7 @@ def queries() -> dict:
     q["evidence_pack"] = lambda s, d: evidence(s, d).select("query_id", "evidence_id", "doc_id", "source", "rank", "score")
     q["evidence_prompt"] = lambda s, d: R.prompt_blocks(evidence(s, d), F.col("source"), F.col("text")).select("query_id", F.md5("prompt").alias("prompt_md5"))
     q["rerank"] = lambda s, d: R.reranked(hybrid(s, d).join(lexical_queries(s, d).drop("lang"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "query", "text").select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
+    q["rerank_by_model"] = lambda s, d: reranked_by_model(s, d).select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
     q["hit_mrr"] = lambda s, d: R.retrieval_metrics(lexical_queries(s, d), judged(s, d))
     q["first_relevant_rank"] = lambda s, d: judged(s, d).filter("relevant").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     q["pass_rates"] = lambda s, d: table(s, d, "labels").agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg((F.col("quality") == 1).cast("double")), 6).alias("status_rate"), F.count_if(F.col("toxic").isNotNull() & (F.col("quality") == 0)).alias("with_expectation"), F.round(F.coalesce(F.try_divide(F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)), F.count_if(F.col("quality") == 0)), F.lit(0.0)), 6).alias("family_rate"))
@@ -237,6 +245,10 @@ def oracle_sql() -> dict[str, str]:
         "evidence_prompt": f"{_EVID} SELECT query_id, md5(string_agg('[' || evidence_id || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS prompt_md5 FROM ep GROUP BY 1",
         "rerank": f"""{_RRF}, sc AS (SELECT rf.query_id, doc_id, rank AS original_rank, round(coalesce(len(list_filter(rt, lambda x: list_contains({_TOK.format(c='text')}, x))) / nullif(len(rt), 0), 0), 6) AS rerank_score FROM rf JOIN lq USING (query_id) JOIN documents USING (doc_id))
             SELECT query_id, doc_id, rerank_score, original_rank, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, original_rank, doc_id)::INT AS rank FROM sc""",
+        "rerank_by_model": f"""{_RRF}, sq AS (SELECT query_id, list_filter(regexp_split_to_array(question, '\\s+'), lambda x: x <> '') AS qw FROM lq),
+            sd AS (SELECT rf.query_id, rf.doc_id, rank AS original_rank, list_distinct(regexp_extract_all(lower(array_to_string(qw[:512], ' ')), '[\\p{{L}}\\p{{N}}]+')) AS qt, regexp_extract_all(lower(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[:512 - least(512, len(qw))], ' ')), '[\\p{{L}}\\p{{N}}]+') AS pt FROM rf JOIN sq USING (query_id) JOIN documents USING (doc_id)),
+            sc AS (SELECT query_id, doc_id, original_rank, round(coalesce(len(list_intersect(qt, pt)) / nullif(len(qt), 0), 0), 6) AS rerank_score FROM sd)
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, original_rank, doc_id)::INT AS rank FROM sc""",
         "hit_mrr": f"{_JUDGED}, fr AS (SELECT query_id, min(rank) FILTER (WHERE relevant AND rank <= 5) AS f FROM lq LEFT JOIN jd USING (query_id) GROUP BY 1) SELECT count(*) AS cases, round(avg(coalesce((f = 1)::INT, 0)), 6) AS hit_at_1, round(avg((f IS NOT NULL)::INT), 6) AS hit_at_k, round(avg(coalesce(1 / f, 0)), 6) AS mrr FROM fr",
         "first_relevant_rank": f"{_JUDGED} SELECT query_id, min(rank) AS first_rank FROM jd WHERE relevant GROUP BY 1",
         "pass_rates": "SELECT count(*) AS cases, round(avg((quality = 1)::INT), 6) AS status_rate, count(*) FILTER (WHERE toxic IS NOT NULL AND quality = 0) AS with_expectation, round(coalesce(count(*) FILTER (WHERE quality = 0 AND toxic = 1) / nullif(count(*) FILTER (WHERE quality = 0), 0), 0), 6) AS family_rate FROM labels",
