@@ -9,7 +9,7 @@ inside a block all stretches between checkpoints decode side by side from one ta
 canonical (by length, then id).
 
 Defined results: a null or empty text is a document with only the end id; null doc_ids come first;
-rows that share a doc_id lie side by side, ordered by text; very long documents make a block of
+rows that share a doc_id lie side by side, ordered by a hash of the text, and may be parted by a file's end; very long documents make a block of
 their own; an empty table gives an empty table and an empty code book; further columns are ignored.
 """
 
@@ -265,7 +265,8 @@ def lists(values: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.Array:
 
 def encoded_chunks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Sorted, encoded documents in chunks of about BLOCK_IDS ids. A chunk knows where it starts in its range of doc_ids."""
-    ranged = docs.repartitionByRange(fan_out(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    rows = docs.withColumns({"text_key": F.xxhash64(F.col("text").cast("string")), "row": F.monotonically_increasing_id()})  # so that ranges part rows that share a doc_id, and equal ones
+    ranged = rows.repartitionByRange(fan_out(docs.sparkSession), "doc_id", "text_key", "row").sortWithinPartitions("doc_id", "text_key", "row").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = library_store(vocabulary)

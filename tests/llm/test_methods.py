@@ -457,6 +457,17 @@ def test_hashed_words_equal_the_library(monkeypatch):
             assert [ids[e - n : e].tolist() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)] == want[at : at + 37]
 
 
+def test_rows_of_one_id_are_spread(spark):
+    """A third of all rows have no id and one text: no part of the files holds them all."""
+    from groundspark.llm import token_output
+
+    docs = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), "id")).otherwise("one text").alias("text"))
+    rows = token_output.encoded_chunks(docs, "byte_bpe_50k.json", 2).select("part", F.size("doc_ids").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert sum(r.n for r in rows) == 900 and max(r.n for r in rows) < 250
+    read = token_output.write(docs).read().orderBy("start").collect()
+    assert [r.start for r in read] == [sum(x.n_tokens for x in read[:k]) for k in range(0, 900)] and [r.doc_id is None for r in read] == [True] * 300 + [False] * 600
+
+
 # --- pipeline
 
 
