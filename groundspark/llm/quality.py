@@ -7,8 +7,8 @@ two classes; a row has unit length. The hinge loss is minimised by dual coordina
 al. 2008), the weights are drawn towards their mean size (Wang and Manning 2012), and a logistic curve,
 fitted on rows that the weights have not seen, turns margins into scores.
 
-The model is fitted on a sample of about FIT_ROWS labelled documents, picked by a hash of doc_id, of at most
-FIT_CELLS cells each; those of the held-out fold (crc32 of doc_id as text divisible by 5) are never in it. Every document is scored by its
+The model is fitted on a sample of about FIT_ROWS labelled documents, picked by a hash of doc_id, or fewer in
+order of that hash if they have over FIT_CELLS cells in all; long documents are as likely in it as short ones; those of the held-out fold (crc32 of doc_id as text divisible by 5) are never in it. Every document is scored by its
 whole text; nothing but the text enters a score.
 
 Defined results: null and empty texts have no n-grams and get the score of a zero margin; rows without a
@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import in_slices, mix64, small_batches, table, utf8
+from ._common import discard, in_slices, mix64, small_batches, table, utf8, written
 
 BITS = 18
-#: The fit sample's bound: documents, and cells of a document (a longer one is not fitted on).
-FIT_ROWS, FIT_CELLS = 10_000, 1 << 14
+#: The fit sample's bound: documents, and cells of all of them (a document has at most 2^BITS).
+FIT_ROWS, FIT_CELLS = 10_000, 10_000_000
 FOLDS = 5
 KEPT_FROM = 0.3
 COST, ROUNDS, SMOOTHING, BLEND, SEED = 1.0, 12, 1.0, 0.25, 7
@@ -306,9 +306,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(cell.astype(np.int32)))], ["doc_id", "quality", "cells"])
 
-    rows = sample.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality long, cells array<int>").filter(F.size("cells") <= FIT_CELLS)
-    # One row of each doc_id, so the driver gets no more than FIT_ROWS rows (to a sampling error) of FIT_CELLS cells.
-    got = rows.groupBy("doc_id").agg(F.min(F.struct(F.size("cells").alias("n"), "cells", "quality")).alias("r")).select("doc_id", "r.quality", "r.cells").toArrow().combine_chunks()
+    rows = sample.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality long, cells array<int>")
+    # One row of each doc_id: FIT_ROWS rows, to a sampling error.
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.size("cells").alias("n"), "cells", "quality")).alias("r"))
+    one = written(one.select("doc_id", F.xxhash64("doc_id").alias("h"), "r.n", "r.quality", "r.cells"), "quality-sample")
+    sizes = sorted(one.select("h", "n").toPandas().itertuples(index=False))
+    within = np.cumsum([n for _, n in sizes]) <= FIT_CELLS
+    last = sizes[int(within.sum()) - 1][0] if within.any() else None
+    got = one.filter(F.col("h") <= F.lit(last)).select("doc_id", "quality", "cells").toArrow().combine_chunks()
+    discard(one)
     if not got.num_rows:
         return Classifier(Model(None), None)
     got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy())))

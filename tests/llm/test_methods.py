@@ -69,6 +69,23 @@ def test_a_repeated_row_is_fitted_on_once(spark):
     assert scores(docs) == scores(docs.unionByName(docs.filter("doc_id = 3").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(500))).alias("n")).drop("n")))
 
 
+def test_long_documents_are_fitted_on_within_the_bound(spark, monkeypatch):
+    """A very long document is in the sample; a lower bound takes fewer documents, in order of their hash, whatever their length."""
+    rows = [(d, f"good words number {d} here" if d % 2 else f"BAD!!! $$$ {d} ###", d % 2) for d in range(100)]
+    rows[8] = (8, " ".join(f"w{k}" for k in range(30_000)), 0)
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(d, q) for d, _, q in rows], "doc_id long, quality int")
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda row, cell, good: seen.append((len(good), np.bincount(row).max())) or train(row, cell, good))
+    quality.fit(docs, labels)
+    assert seen[0][0] == sum(not r.h for r in labels.select(quality.held_out(F.col("doc_id")).alias("h")).collect()) and seen[0][1] > 1 << 14
+    monkeypatch.setattr(quality, "FIT_CELLS", 400)
+    quality.fit(docs, labels)
+    assert 0 < seen[1][0] < seen[0][0]
+    monkeypatch.setattr(quality, "FIT_CELLS", 1)
+    assert {r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()} == {0.5}
+
+
 # --- 2
 
 
