@@ -26,22 +26,6 @@ def phrase(text: Column) -> Column:
     return F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-def phrase_occurs(text: Column, part: Column) -> Column:
-    """Whether the normalised part occurs in the normalised text as whole words. An empty part never does."""
-    return (part != "") & F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), part, F.lit(" ")))
-
-
-def word_grams(text: Column, most: int) -> Column:
-    """The distinct runs of 1 to ``most`` words of a normalised text."""
-    words = F.split(text, " ")
-    return F.array_distinct(F.flatten(F.array(*(_runs(words, n) for n in range(1, most + 1)))))
-
-
-def _runs(words: Column, n: int) -> Column:
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def contains_any(text: Column, markers: Iterable[str]) -> Column:
     """Whether any marker is in the lower-cased text, as a raw substring."""
     low = F.lower(text)

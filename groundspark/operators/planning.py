@@ -30,7 +30,7 @@ MOST_EDITS, LEAST_NEAR, MOST_NEAR = 2, 5, 5
 SAFETY = ("warning", "warnings", "risk", "dangerous", "serious", "fatal", "harm", "can cause", "could cause")
 POPULATION = ("pregnant", "pregnancy", "breastfeeding", "nursing", "children", "child", "pediatric", "elderly", "geriatric", "unborn baby")
 MODAL_CAUSE = r"\b(?:can|could|does|do|may|might|will|would)\s+(?:[a-z0-9]+\s+){0,4}cause\b"
-LEAST_FAMILY, LEAST_IDENTITY, MOST_WORDS = 2, 5, 4
+LEAST_FAMILY, LEAST_IDENTITY = 2, 5
 IDENTITY_SIGNALS = {
     "brand_generic_equivalence": {"same as": 6, "equivalent to": 6, "another name for": 6},
     "generic_name_lookup": {"generic name": 6},

@@ -107,6 +107,15 @@ def hybrid(s: SparkSession, d: str) -> DataFrame:
     return R.fuse(lexical_top(s, d), meaning_top(s, d), "doc_id")
 
 
+def retrieval_debug(s: SparkSession, d: str) -> DataFrame:
+    """What each arm says of the fused results: scores and ranks beside the fused ones, and how long the document is."""
+    lexical, dense = sinks.materialised(lexical_top(s, d)), sinks.materialised(meaning_top(s, d))
+    fused = R.fuse(lexical, dense, "doc_id").withColumnRenamed("score", "hybrid_score")
+    scores = lambda arm, name: arm.select("query_id", "doc_id", F.col("score").alias(name))
+    rows = fused.join(scores(lexical, "lexical_score"), ["query_id", "doc_id"], "left").join(scores(dense, "dense_score"), ["query_id", "doc_id"], "left")
+    return rows.join(table(s, d, "documents").select("doc_id", "source", "lang", F.length("text").alias("chars")), "doc_id")
+
+
 def evidence(s: SparkSession, d: str) -> DataFrame:
     rows = hybrid(s, d).filter(F.col("rank") <= 15).join(table(s, d, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     return R.diversified(rows, "source")
@@ -151,6 +160,7 @@ def queries() -> dict:
     q["cosine_topk"] = lambda s, d: dense_top(s, d, 10)
     q["cosine_topk_filtered"] = lambda s, d: dense_top(s, d, 10, "label")
     q["rrf_fusion"] = lambda s, d: hybrid(s, d).select("query_id", "doc_id", "score", "lexical_rank", "dense_rank", "rank")
+    q["retrieval_debug"] = retrieval_debug
     q["evidence_pack"] = lambda s, d: evidence(s, d).select("query_id", "evidence_id", "doc_id", "source", "rank", "score")
     q["evidence_prompt"] = lambda s, d: R.prompt_blocks(evidence(s, d), F.col("source"), F.col("text")).select("query_id", F.md5("prompt").alias("prompt_md5"))
     q["rerank"] = lambda s, d: R.reranked(hybrid(s, d).join(lexical_queries(s, d).drop("lang"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "query", "text").select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
@@ -241,6 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "vector_topk_filtered": f"WITH {_DENSE.format(f='AND e.label = q.label')} {_TOP.format(k='vec_id', t='dm', n=10)}",
         "vector_recall": "SELECT count(*) AS queries, sum(least(10, n))::BIGINT AS wanted, true AS enough FROM (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0), (SELECT count(*) AS n FROM embeddings)",
         "rrf_fusion": f"{_RRF} SELECT query_id, doc_id, score, lexical_rank, dense_rank, rank FROM rf",
+        "retrieval_debug": f"{_RRF} SELECT rf.query_id, rf.doc_id, rf.score AS hybrid_score, rf.rank, lexical_rank, dense_rank, lt.score AS lexical_score, vt.score AS dense_score, source, lang, length(text)::INT AS chars FROM rf JOIN documents USING (doc_id) LEFT JOIN lt ON lt.query_id = rf.query_id AND lt.doc_id = rf.doc_id LEFT JOIN vt ON vt.query_id = rf.query_id AND vt.doc_id = rf.doc_id",
         "evidence_pack": f"{_EVID} SELECT query_id, evidence_id, doc_id, source, rank, score FROM ep",
         "evidence_prompt": f"{_EVID} SELECT query_id, md5(string_agg('[' || evidence_id || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY position)) AS prompt_md5 FROM ep GROUP BY 1",
         "rerank": f"""{_RRF}, sc AS (SELECT rf.query_id, doc_id, rank AS original_rank, round(coalesce(len(list_filter(rt, lambda x: list_contains({_TOK.format(c='text')}, x))) / nullif(len(rt), 0), 0), 6) AS rerank_score FROM rf JOIN lq USING (query_id) JOIN documents USING (doc_id))
