@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "evidence_pack"
-MODULES = ("analytics", "corpus", "retrieval", "sections", "planning", "builds", "streams")
+MODULES = ("analytics", "corpus", "retrieval", "sections", "planning", "concepts", "builds", "streams")
 
 
 def _all(what: str) -> dict:
