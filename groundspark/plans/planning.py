@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import planning as P
 from ..functions.english import STOP
 from ..schemas import ALIASES, CONCEPT_RELATIONS, QUESTIONS
+from ..sources.sinks import materialised
 from ..sources.tables import table
 
 STATED = [
@@ -94,7 +95,7 @@ def cases(s: SparkSession, d: str) -> DataFrame:
 
 def mixed(s: SparkSession, d: str) -> DataFrame:
     """The questions whose source is composed, with both parts' answers and the composition's status."""
-    q = P.decomposed(routed(asked(s, d)).filter("planned_source = 'multi_source_composed'"))
+    q = materialised(P.decomposed(routed(asked(s, d)).filter("planned_source = 'multi_source_composed'")))
     identity = P.identity_answers(P.identity_terms(q.select("query_id", F.col("identity_query").alias("query"), "identity_intent")), *concepts(s)[:2]).select("query_id", F.col("answered").alias("identity_answered"))
     clinical = P.label_answers(q.select("query_id", F.col("clinical_query").alias("query"), F.col("retrieval_drug").alias("drug"), F.col("plan_family").alias("family")), sections(s, d)).select("query_id", F.col("answered").alias("clinical_answered"))
     status = P.mixed_status(F.col("retrieval_drug"), F.col("identity_intent"), F.col("composition"), F.col("identity_answered"), F.col("clinical_answered"))
