@@ -25,8 +25,8 @@ FAMILY_SIGNALS = {
     ("overdosage", "overdose"): {"overdose": 5, "too much": 4, "excess amount": 4},
     ("how_supplied_storage_and_handling", "storage"): {"store": 5, "storage": 5, "room temperature": 4, "refrigerate": 4},
 }
-#: Approximate names: edits, characters of a term, and concepts of a term that are kept.
-MOST_EDITS, LEAST_NEAR, MOST_NEAR = 2, 5, 5
+#: Approximate names: edits, characters of a term, and concepts of a term that are kept; pieces that a name is cut into.
+MOST_EDITS, LEAST_NEAR, MOST_NEAR, NEAR_PIECES = 2, 5, 5, 5
 SAFETY = ("warning", "warnings", "risk", "dangerous", "serious", "fatal", "harm", "can cause", "could cause")
 POPULATION = ("pregnant", "pregnancy", "breastfeeding", "nursing", "children", "child", "pediatric", "elderly", "geriatric", "unborn baby")
 MODAL_CAUSE = r"\b(?:can|could|does|do|may|might|will|would)\s+(?:[a-z0-9]+\s+){0,4}cause\b"
@@ -138,23 +138,28 @@ def candidate_spans(questions: DataFrame) -> DataFrame:
 def near_names(terms: DataFrame, named: DataFrame) -> DataFrame:
     """term, rxcui, name, tty, other, edits: the names (``named.normal``) within MOST_EDITS of each term of at least LEAST_NEAR characters.
 
-    Of a name cut into MOST_EDITS + 1 pieces, one is left whole by as many edits and stands in the term at most MOST_EDITS places off; pairs that share such a piece are compared.
+    A name is cut into NEAR_PIECES pieces. As many edits lie in at most MOST_EDITS of them, so the rest stand in the term, each
+    by as many places off as the edits before it add. Names and terms that agree without some two pieces are compared: a part that
+    many names share (" tablets") is never enough for that, whatever their number.
     """
-    pieces, off = range(MOST_EDITS + 1), range(-MOST_EDITS, MOST_EDITS + 1)
-
-    def piece(text: Column, n: Column, k: int, shift: int) -> Column:
-        start = F.floor(n * k / len(pieces)).cast("int")
-        at, width = start + shift, F.floor(n * (k + 1) / len(pieces)).cast("int") - start
-        return F.when((width > 0) & (at >= 0) & (at + width <= F.length(text)), F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(text, at + 1, width).alias("piece")))
-
-    def dealt(df: DataFrame, found: list[Column]) -> DataFrame:
-        return df.select(*df.columns, F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("p")).select(*df.columns, "p.n", "p.k", "p.piece")
-
-    own, other, size = F.col("normal"), F.col("other"), F.length("normal")
-    asked = dealt(terms.filter(size >= LEAST_NEAR), [piece(own, size + d, k, shift) for d in off for k in pieces for shift in off])
-    known = dealt(named.withColumnRenamed("normal", "other"), [piece(other, F.length(other), k, 0) for k in pieces])
-    pairs = asked.join(known, ["n", "k", "piece"]).select("term", "normal", "rxcui", "name", "tty", "other").distinct()
-    return pairs.withColumn("edits", F.levenshtein("normal", "other")).filter(F.col("edits") <= MOST_EDITS).drop("normal")
+    assert MOST_EDITS == 2
+    own, other, n = F.col("normal"), F.col("other"), F.col("n")
+    start = [F.floor(n * k / NEAR_PIECES).cast("int") for k in range(NEAR_PIECES + 1)]
+
+    def keys(text: Column, first: Column, both: Column) -> Column:
+        """The text without pieces u and v of a name of n characters, for all u < v; ``first``, ``both``: what edits add in u, and in u and v."""
+        part = lambda off, a, b: F.substring(text, start[a] + off + 1, start[b] - start[a])
+        return F.array(*(F.xxhash64(n, F.lit(u), F.lit(v), part(F.lit(0), 0, u), part(first, u + 1, v), part(both, v + 1, NEAR_PIECES)) for u in range(NEAR_PIECES) for v in range(u + 1, NEAR_PIECES)))
+
+    names = named.select(F.col("normal").alias("other")).distinct().withColumn("n", F.length("other"))
+    known = names.select("other", F.explode(F.array_distinct(keys(other, F.lit(0), F.lit(0)))).alias("key"))
+    lengths = F.broadcast(names.select("n").distinct())  # a row for each length
+    size, both = F.length("normal"), F.length("normal") - n
+    asked = terms.select("normal").filter(size >= LEAST_NEAR).distinct().withColumn("n", F.explode(F.sequence(size - MOST_EDITS, size + MOST_EDITS))).join(lengths, "n")
+    shifts = F.filter(F.sequence(F.lit(-MOST_EDITS), F.lit(MOST_EDITS)), lambda first: F.abs(first) + F.abs(both - first) <= MOST_EDITS)
+    asked = asked.withColumn("first", F.explode(shifts)).select("normal", F.explode(keys(own, F.col("first"), both)).alias("key"))
+    pairs = asked.join(known, "key").withColumn("edits", F.levenshtein("normal", "other")).filter(F.col("edits") <= MOST_EDITS).select("normal", "other", "edits").distinct()
+    return pairs.join(terms.select("term", "normal"), "normal").join(named.select("rxcui", "name", "tty", F.col("normal").alias("other")).distinct(), "other").select("term", "rxcui", "name", "tty", "other", "edits")
 
 
 def resolve_terms(terms: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
