@@ -92,8 +92,12 @@ def vector_upsert(s: SparkSession, d: str) -> DataFrame:
     return index.select("doc_id", F.round(F.aggregate(e, F.lit(0.0), lambda t, x: t + x * x), 4).alias("norm"), F.size(F.filter(e, lambda x: x != 0)).alias("places"), F.round(e[17], 4).alias("at_17"))
 
 
+#: Customers' numbers whose cases a file of a suite may have.
+SUITE_KEYS = 25_000
+
+
 def suite(s: SparkSession, d: str) -> DataFrame:
-    """Evaluation suites of the customers' questions, a YAML file for each nation, read back with their defaults."""
+    """Evaluation suites of the customers' questions, YAML files of each nation's, read back with their defaults. A file has the cases of SUITE_KEYS numbers at most."""
     path, k = sinks.new_folder(s, "suite"), F.col("c_custkey")
     asked = planning.asked(s, d).select("query_id", "query", "drug")
     rows = table(s, d, "customer").join(asked, F.col("query_id") == F.concat(F.lit("c"), k.cast("string")))
@@ -103,13 +107,14 @@ def suite(s: SparkSession, d: str) -> DataFrame:
         F.lit("  - {case_id: "), "query_id", F.lit(", query: "), quoted("query"), F.lit(", expected_status: "), F.when(k % 2 == 1, "answered").otherwise("insufficient_evidence"),
         field("drug", F.col("drug").isNotNull(), quoted("drug")), field("top_k", k % 5 == 0, F.lit("3")), field("allowed_citation_prefixes", k % 3 > 0, F.when(k % 3 == 1, "[E]").otherwise("[R, E]")), field("required_headings", k % 4 == 0, F.lit("[h1, h2]")), F.lit("}"),
     )
-    rows.groupBy("c_nationkey").agg(F.concat(F.lit("cases:\n"), F.array_join(F.array_sort(F.collect_list(case)), "\n")).alias("value")).write.partitionBy("c_nationkey").text(path)
-    return T.eval_suite(s, path + "/*")
+    folders = ["c_nationkey", "part"]
+    rows.groupBy("c_nationkey", F.floor(k / SUITE_KEYS).alias("part")).agg(F.concat(F.lit("cases:\n"), F.array_join(F.array_sort(F.collect_list(case)), "\n")).alias("value")).write.partitionBy(*folders).text(path)
+    return T.eval_suite(s, path + "/*/*")
 
 
 def suite_evaluation(s: SparkSession, d: str) -> DataFrame:
     """The suites run through the workflow: how many cases end as expected and cite as allowed, by expected status."""
-    cases = suite(s, d)
+    cases = sinks.materialised(suite(s, d))  # parsed once for all that reads it
     said = P.answers(cases.select(F.col("case_id").alias("query_id"), "query", "drug", "family"), *planning.concepts(s), planning.sections(s, d))
     rows = cases.join(said, F.col("case_id") == F.col("query_id"))
     status, cites = F.col("final_status") == F.col("expected_status"), P.prefixes_pass(F.col("citations"), F.col("allowed_citation_prefixes"))

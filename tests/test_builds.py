@@ -9,6 +9,7 @@ import pytest
 from groundspark import cli
 from groundspark.operators import retrieval as R
 from groundspark.operators.builder import Builder, Step
+from groundspark.plans import builds
 from groundspark.sources import sinks
 from groundspark.sources import tables as T
 
@@ -113,3 +114,13 @@ def test_the_last_row_wins_in_split_files(spark, tmp_path):
         assert {r.k: r.v for r in got.collect()} == {k: f"2-{3950 + k}" for k in range(50)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_suite_files_are_bounded(spark, monkeypatch):
+    """A nation's cases lie in files of so many numbers each, whatever their number; all are read."""
+    read, made = [], builds.T.eval_suite
+    monkeypatch.setattr(builds, "SUITE_KEYS", 10)
+    monkeypatch.setattr(builds.T, "eval_suite", lambda s, path: read.append(path) or made(s, path))
+    got = builds.suite(spark, DATA)
+    assert got.count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert spark.read.text(read[0], wholetext=True).selectExpr("max(size(split(value, '\n'))) - 1").first()[0] <= 10
