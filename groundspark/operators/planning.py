@@ -120,19 +120,21 @@ def source_route(planned: DataFrame) -> DataFrame:
 
 
 def candidate_spans(questions: DataFrame) -> DataFrame:
-    """query_id, place, span, normal: runs of 1 to 3 words, short ones first, that aren't all stop words; each once, at most MOST_SPANS (a rule of the feature)."""
+    """query_id, place, span, normal: runs of 1 to 3 words, short ones first, that aren't all stop words; each once, at most MOST_SPANS (a rule of the feature). A question is a row."""
     words = F.regexp_extract_all("query", F.lit(r"[A-Za-z][A-Za-z0-9\-]*"), F.lit(0))
 
     def runs(n: int) -> Column:
         count = F.size("w") - n + 1
         return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    spans = questions.select("query_id", words.alias("w")).select("query_id", F.posexplode(F.concat(*(runs(n) for n in range(1, SPAN_WORDS + 1)))).alias("at", "span"))
-    normal = spans.withColumn("normal", phrase(F.col("span")))
-    kept = normal.filter((F.length(F.replace("normal", F.lit(" "), F.lit(""))) >= LEAST_SPAN) & (F.size(F.array_except(F.split("normal", " "), F.array(*(F.lit(s) for s in SPAN_STOPS)))) > 0))
-    first = kept.groupBy("query_id", "normal").agg(F.min("at").alias("at"), F.min_by("span", "at").alias("span"))
-    per = first.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "span", "normal"))), 1, MOST_SPANS).alias("s"))
-    return per.select("query_id", F.posexplode("s").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("place"), "x.span", "x.normal")
+    # All in the question's row: nothing is shuffled or grouped.
+    spans = F.concat(*(runs(n) for n in range(1, SPAN_WORDS + 1)))
+    normal = F.transform(spans, lambda s: F.struct(s.alias("span"), phrase(s).alias("normal")))
+    kept = F.filter(normal, lambda x: (F.length(F.replace(x["normal"], F.lit(" "), F.lit(""))) >= LEAST_SPAN) & (F.size(F.array_except(F.split(x["normal"], " "), F.array(*(F.lit(s) for s in SPAN_STOPS)))) > 0))
+    none = F.array().cast("array<struct<span:string,normal:string>>")
+    first = F.aggregate(kept, none, lambda own, x: F.when((F.size(own) >= MOST_SPANS) | F.exists(own, lambda o: o["normal"] == x["normal"]), own).otherwise(F.concat(own, F.array(x))))
+    per = questions.select("query_id", words.alias("w")).select("query_id", F.posexplode(first).alias("p", "x"))
+    return per.select("query_id", (F.col("p") + 1).alias("place"), "x.span", "x.normal")
 
 
 def near_names(terms: DataFrame, named: DataFrame) -> DataFrame:

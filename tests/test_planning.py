@@ -103,6 +103,16 @@ def test_approximate_names_with_a_common_suffix(spark):
     assert got.own >= 30_000 and got.n < 31_000 and time.time() - began < 60
 
 
+def test_spans_are_found_in_the_row(spark):
+    """Nothing is shuffled or grouped for them; each normal form once, 18 at most."""
+    asked = spark.createDataFrame([("a", "Eliquis, eliquis and Eliquis-XR"), ("b", " ".join(f"word{chr(97 + n)}" for n in range(26))), ("c", None), ("d", "is it of")], "query_id string, query string")
+    got = P.candidate_spans(asked)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.query_id, r.place, r.span) for r in got.collect())
+    assert [r[2] for r in rows if r[0] == "a"] == ["Eliquis", "Eliquis-XR", "Eliquis eliquis", "eliquis and", "and Eliquis-XR", "Eliquis eliquis and", "eliquis and Eliquis-XR"]
+    assert [r[1] for r in rows if r[0] == "b"] == list(range(1, 19)) and {r[0] for r in rows} == {"a", "b"}
+
+
 def test_every_branch_answers(spark):
     got = {r.query_id: r for r in planning.queries()["workflow_answers"](spark, "/root/testdata/sf0.001").collect()}
     assert {r.branch for r in got.values()} == {"label", "identity", "mixed", "insufficient_evidence"}
