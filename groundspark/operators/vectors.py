@@ -30,6 +30,8 @@ ROUNDS = 8
 PART_VECTORS = 4096
 #: Queries that meet a part at once, about.
 CHUNK_QUERIES = 8192
+#: Rows of query and cell that a task makes at once, about.
+CELL_ROWS = 1 << 15
 #: Cells that a query meets before bounds are looked at.
 FIRST_CELLS = 2
 PROBES = 4
@@ -154,18 +156,19 @@ def cells_of(index: VectorIndex, asked: DataFrame, most: int | None = None) -> D
     """query_id, v, label, cell, place (from 0, by nearness), bound (of the scores in the cell): the ``most`` nearest cells of each query, or all."""
     middle, angles = index.middle, index.angles
     full = np.flatnonzero(angles >= 0)
+    step = max(1, CELL_ROWS // max(1, len(full)))  # each row has the query's vector
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows or not len(full):
-                continue
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            near = np.arccos(np.clip(unit(v) @ middle[full].T, -1, 1))
-            bound = np.cos(np.maximum(near - angles[full] - 1e-9, 0)) * np.linalg.norm(v, axis=1, keepdims=True)
-            place = np.argsort(np.argsort(near, axis=1, kind="stable"), axis=1)
-            rows, cells = np.nonzero(place < (len(full) if most is None else most))
-            own = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("query_id", "v", "label")), pa.array(full[cells], pa.int32()), pa.array(place[rows, cells], pa.int32()), pa.array(bound[rows, cells])], ["query_id", "v", "label", "cell", "place", "bound"])
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(full) else 0, step):
+                batch = whole.slice(at, step)
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                near = np.arccos(np.clip(unit(v) @ middle[full].T, -1, 1))
+                bound = np.cos(np.maximum(near - angles[full] - 1e-9, 0)) * np.linalg.norm(v, axis=1, keepdims=True)
+                place = np.argsort(np.argsort(near, axis=1, kind="stable"), axis=1)
+                rows, cells = np.nonzero(place < (len(full) if most is None else most))
+                own = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("query_id", "v", "label")), pa.array(full[cells], pa.int32()), pa.array(place[rows, cells], pa.int32()), pa.array(bound[rows, cells])], ["query_id", "v", "label", "cell", "place", "bound"])
 
     return asked.mapInArrow(run, "query_id string, v array<double>, label string, cell int, place int, bound double")
 

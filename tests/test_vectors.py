@@ -71,3 +71,16 @@ def test_few_vectors(spark, made):
     empty = V.build(spark.createDataFrame([], "k long, embedding array<float>"), "k", sinks.new_folder(spark, "test-vectors"))
     assert V.search(empty, ask, 5).count() == V.search(empty, ask, 5, exact=False).count() == 0
     assert V.search(one, ask.filter(F.lit(False)), 5).count() == 0
+
+
+def test_cells_in_slices(spark, tmp_path, monkeypatch):
+    """A batch of queries meets the cells a slice at a time, since each row has the query's vector; the rows are the same."""
+    from groundspark.operators import vectors as operators
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, embedding array<double>")
+    index = operators.build(rows, "id", str(tmp_path / "slices"), cells=6)
+    asked = operators._asked(rows.selectExpr("id as query_id", "embedding as vector"), False)
+    cells = lambda: sorted((r.query_id, r.cell, r.place) for r in operators.cells_of(index, asked).collect())
+    whole = cells()
+    monkeypatch.setattr(operators, "CELL_ROWS", 8)
+    assert cells() == whole and whole
