@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import section_title
 from ..operators import sections as S
+from ..sources.sinks import materialised
 from ..sources.tables import table
 
 #: What parts' types and sizes choose from.
@@ -83,7 +84,7 @@ def filldown(s: SparkSession, d: str) -> DataFrame:
 
 def below_families(s: SparkSession, d: str) -> DataFrame:
     """Of each section that is a family itself, what is below it."""
-    tree = S.section_tree(labels(s, d))
+    tree = materialised(S.section_tree(labels(s, d)).select("label_id", "order_index", "last_index", "depth", "retrieval_family_source_section_uid", "canonical_section_name", "retrieval_family"))  # parsed once for both sides
     roots = tree.filter(F.col("retrieval_family_source_section_uid").isNotNull() & (F.col("canonical_section_name") == F.col("retrieval_family")))
     return S.below(tree, roots).select("label_id", "root_index", "order_index", "depth")
 

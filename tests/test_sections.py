@@ -76,3 +76,15 @@ def test_what_sections_inherit_equals_a_walk(spark):
 @pytest.mark.parametrize("xml", ["<broken", None, "", "<document/>"])
 def test_labels_without_sections(spark, xml):
     assert tree(spark, xml, label(section("a"))).count() == 1
+
+
+def test_labels_are_parsed_once(spark):
+    """What joins a tree with itself reads it written, and doesn't parse the labels for each side; more sections than are handed over at once are all there."""
+    from groundspark.operators import sections as operators
+
+    xml = "<document><component><structuredBody>" + "<component><section/></component>" * 30 + "</structuredBody></component></document>"
+    labels = spark.range(200).selectExpr("cast(id as string) as label_id", f"'{xml}' as xml")
+    tree = operators.section_tree(labels)
+    for got in (operators.hierarchy_violations(tree), operators.subtree_totals(tree)):
+        assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert operators.subtree_totals(tree).count() == 6000
