@@ -1,6 +1,6 @@
 """A positional inverted index in tables, searched for many queries at once with pruning by blocks.
 
-Documents are dealt to blocks of about BLOCK_DOCS by a hash of their key. ``postings`` has a row for each
+Documents that lie together make blocks of at most BLOCK_DOCS. ``postings`` has a row for each
 term and block: how many of the block's documents have the term, its largest count in one of them and the
 documents with the places of the term. However frequent a term, its rows are bounded by the block.
 ``terms`` has each term's document count.
@@ -17,16 +17,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.english import analysed, match_score, parse_web_query
+from ..functions.english import Stems, match_score, parse_web_query
 from ..sources.sinks import materialised
 from ..sources.tables import broadcast_if_small, numbered, spread
 
 BLOCK_DOCS = 128
+#: Places after which a block is full, however few its documents; stems that a task remembers.
+BLOCK_PLACES, STEMS_HELD = 1_000_000, 500_000
+POSTINGS = "term string, block long, n long, most int, keys array<long>, starts array<int>, places binary"
 #: Terms of an alternative by which documents are met.
 SEED = 3
 #: Blocks of a query that are scored before the bounds of the others are looked at, for each result asked for.
@@ -36,31 +41,61 @@ EACH = 0.1
 DIGITS = 6
 
 
-def build(docs: DataFrame, key: str, text: str, path: str, block_docs: int = BLOCK_DOCS) -> Index:
-    """Write the index of ``docs`` (a number as ``key``, ``text``) below ``path``. Keys are distinct; a row without one can't be found. Null and empty texts have no terms."""
-    blocks = max(1, -(-docs.count() // block_docs))
+def posted(docs: DataFrame, key: str, text: str, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The postings of ``docs`` (see ``Index.postings``), made where the documents lie, without a shuffle. A block has documents of one partition, at most BLOCK_PLACES places besides those of its last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems, block = Stems(), TaskContext.get().partitionId() << 32
+        keys: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            terms: list[str] = []
-            keys: list[int] = []
-            places: list[list[int]] = []
-            size = 0
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term, at in analysed(t).items():
-                    terms.append(term)
-                    keys.append(k)
-                    places.append(at)
-                    size += len(at)
-                if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["term", "key", "at"])
-                    terms, keys, places, size = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(keys, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["term", "key", "at"])
-
-    held = spread(docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL")).mapInArrow(run, "term string, key long, at array<int>")
-    held = held.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    rows = held.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("at")).alias("most"), F.sort_array(F.collect_list(F.struct("key", "at"))).alias("docs"))
-    rows.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                keys.append(k.as_py())
+                held.append(stems.numbers(t.as_py()))
+                size += len(held[-1])
+                if len(keys) == block_docs or size > BLOCK_PLACES:
+                    yield of_block(block, keys, held, stems.names)
+                    block, keys, held, size = block + 1, [], [], 0
+                    if len(stems) > STEMS_HELD:
+                        stems = Stems()
+        if keys:
+            yield of_block(block, keys, held, stems.names)
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).filter("key IS NOT NULL")
+    return spread(rows).mapInArrow(run, POSTINGS)
+
+
+def of_block(block: int, keys: list[int], held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """The postings of a block's documents: ``held`` has the numbers in ``names`` of each one's words, -1 for stop words."""
+    order = np.argsort(keys, kind="stable")
+    own = np.asarray(keys, np.int64)[order]
+    held = [held[i] for i in order]
+    sizes = [len(h) for h in held]
+    stem, doc = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
+    place = np.arange(len(stem), dtype=np.int32) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes).astype(np.int32)
+    some = np.flatnonzero(stem >= 0)
+    some = some[np.argsort(stem[some], kind="stable")]
+    stem, doc, place = stem[some], doc[some], place[some]
+    new = np.ones(len(stem), bool)
+    new[1:] = (stem[1:] != stem[:-1]) | (doc[1:] != doc[:-1])
+    pairs = np.flatnonzero(new)  # of term and document
+    counts = np.diff(pairs, append=len(stem))
+    of = stem[pairs]
+    first = np.flatnonzero(np.diff(of, prepend=-1))  # of each term
+    of_term = pa.array(np.append(first, len(pairs)), pa.int32())
+    n = np.diff(first, append=len(pairs))
+    begin = pairs[first]  # of each term's places
+    places = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((4 * np.append(begin, len(stem))).astype(np.int32).tobytes()), pa.py_buffer(place.astype("<i4").tobytes())])
+    terms = pa.array([names[i] for i in of[first]], pa.string())
+    most = np.maximum.reduceat(counts, first) if len(first) else counts
+    keys_, starts = pa.ListArray.from_arrays(of_term, pa.array(own[doc[pairs]])), pa.ListArray.from_arrays(of_term, pa.array(pairs - np.repeat(begin, n), pa.int32()))
+    return pa.RecordBatch.from_arrays([terms, pa.array(np.full(len(first), block, np.int64)), pa.array(n, pa.int64()), pa.array(most, pa.int32()), keys_, starts, places], ["term", "block", "n", "most", "keys", "starts", "places"])
+
+
+def build(docs: DataFrame, key: str, text: str, path: str, block_docs: int = BLOCK_DOCS) -> Index:
+    """Write the index of ``docs`` (a number as ``key``, ``text``) below ``path``. Keys are distinct; a row without one can't be found. Null and empty texts have no terms."""
+    posted(docs, key, text, block_docs).write.parquet(f"{path}/postings")
     found = Index(docs.sparkSession, path)
     found.postings().groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("blocks")).write.parquet(f"{path}/terms")
     return found
@@ -73,8 +108,8 @@ class Index:
         self.spark, self.path = spark, path
 
     def postings(self) -> DataFrame:
-        """term, block, n, most, docs (key, at), sorted by term in each file."""
-        return self.spark.read.schema("term string, block long, n long, most int, docs array<struct<key:long,at:array<int>>>").parquet(f"{self.path}/postings")
+        """term, block, n, most, keys, starts, places: a block's rows lie together. ``places`` has those of all ``keys``, four bytes each, one document's after another's, as from ``starts`` on."""
+        return self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
 
     def terms(self) -> DataFrame:
         return self.spark.read.schema("term string, df long, blocks long").parquet(f"{self.path}/terms")
@@ -98,10 +133,11 @@ def asked(queries: DataFrame, parse: Callable = parse_web_query) -> DataFrame:
 def searched_blocks(index: Index, terms: DataFrame, postings: DataFrame) -> DataFrame:
     """query_id, block, bound, seeds: the blocks that have all required terms of an alternative, and its SEED rarest terms."""
     own = ["query_id", "alternative"]
-    need = terms.filter("required").join(index.terms(), "term", "left")
+    held = index.terms().join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
+    need = terms.filter("required").join(held, "term", "left")
     plans = need.groupBy(*own).agg(F.count(F.lit(1)).alias("need"), F.count("df").alias("have"), F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t")).filter("need = have")
     plans = materialised(plans.select(*own, "need", F.transform("t", lambda t: t["term"]).alias("t")))
-    heads = postings.select("term", "block", "most")
+    heads = materialised(postings.select("term", "block", "most"))  # read twice
     first = broadcast_if_small(plans.withColumn("term", F.get("t", F.lit(0)))).join(heads, "term").select(*own, "need", "t", "block", F.col("most").alias("least"))
     others = first.filter("need > 1").select(*own, "need", "block", "least", F.explode(F.slice("t", F.lit(2), F.size("t"))).alias("term"))
     met = others.join(heads, ["term", "block"]).groupBy(*own, "block").agg(F.count(F.lit(1)).alias("have"), F.first("need").alias("need"), F.least(F.first("least"), F.min("most")).alias("least")).filter("have = need - 1")
@@ -114,15 +150,18 @@ def searched_blocks(index: Index, terms: DataFrame, postings: DataFrame) -> Data
 def scored(blocks: DataFrame, queries: DataFrame, terms: DataFrame, postings: DataFrame, parse: Callable, keep: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """query_id, key, score of the documents in ``blocks`` (query_id, block, seeds) that match."""
     sets = blocks.select("query_id", "block", F.explode("seeds").alias("seeds"))
-    by_seed = sets.select("query_id", "block", "seeds", F.explode("seeds").alias("term"))
-    keys = by_seed.join(postings.select("term", "block", F.transform("docs", lambda x: x["key"]).alias("keys")), ["term", "block"])
+    by_seed = broadcast_if_small(sets.select("query_id", "block", "seeds", F.explode("seeds").alias("term")))
+    keys = by_seed.join(postings.select("term", "block", "keys"), ["term", "block"])
     met = keys.select("query_id", "block", "seeds", F.explode("keys").alias("key")).groupBy("query_id", "block", "seeds", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == F.size("seeds")).select("query_id", "block", "key").distinct()
     if keep:
-        met = keep(met)
-    wanted = met.groupBy("query_id", "block").agg(F.collect_set("key").alias("keys"))  # at most a block's documents
+        met = keep(materialised(met))
+    wanted = materialised(met.groupBy("query_id", "block").agg(F.collect_set("key").alias("wanted")))  # at most a block's documents
     every = terms.select("query_id", "term").distinct()
-    rows = wanted.join(broadcast_if_small(every), "query_id").join(postings.select("term", "block", "docs"), ["term", "block"])
-    rows = rows.select("query_id", "term", F.explode(F.filter("docs", lambda x: F.array_contains(F.col("keys"), x["key"]))).alias("d")).select("query_id", "term", "d.key", "d.at")
+    # Few matches are sent to the postings; only many are met by a shuffle.
+    rows = broadcast_if_small(wanted.join(broadcast_if_small(every), "query_id")).join(postings.select("term", "block", "keys", "starts", "places"), ["term", "block"])
+    here = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: F.array_contains(F.col("wanted"), F.get("keys", i)))
+    begin, end = 4 * F.get("starts", F.col("i")), F.coalesce(4 * F.get("starts", F.col("i") + 1), F.octet_length("places"))
+    rows = rows.withColumn("i", F.explode(here)).select("query_id", "term", F.get("keys", F.col("i")).alias("key"), F.substring("places", begin + 1, end - begin).alias("at"))
     found = rows.groupBy("query_id", "key").agg(F.collect_list("term").alias("terms"), F.collect_list("at").alias("places")).join(broadcast_if_small(queries.select(F.col("query_id").cast("string"), "query")), "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +171,7 @@ def scored(blocks: DataFrame, queries: DataFrame, terms: DataFrame, postings: Da
             for r in batch.to_pylist():
                 if r["query"] not in parsed:
                     parsed[r["query"]] = parse(r["query"])
-                got = match_score(parsed[r["query"]], dict(zip(r["terms"], map(sorted, r["places"]), strict=True)))
+                got = match_score(parsed[r["query"]], {t: np.frombuffer(p, "<i4").tolist() for t, p in zip(r["terms"], r["places"], strict=True)})
                 if got is not None:
                     ids.append(r["query_id"])
                     own.append(r["key"])

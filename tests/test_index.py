@@ -126,3 +126,23 @@ def test_filters_hold_before_the_best_are_taken(index, asked, texts):
 def test_an_empty_index(spark, asked):
     empty = I.build(spark.createDataFrame([], "k long, t string"), "k", "t", sinks.new_folder(spark, "test-index"))
     assert I.search(empty, asked, 3).count() == 0 and I.search(empty, asked.limit(0)).count() == 0
+
+
+def test_postings_are_made_where_documents_lie(spark):
+    """No shuffle of the words: blocks are of documents that lie together, whatever the number of partitions."""
+    docs = spark.range(100).selectExpr("id AS k", "concat('house number ', id, ' house') AS t").repartition(9)
+    made = I.posted(docs, "k", "t", block_docs=8)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == docs._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    rows = made.filter("term = 'hous'").collect()
+    assert sorted(k for r in rows for k in r["keys"]) == list(range(100)) and all(r.n == len(r["keys"]) <= 8 and r["keys"] == sorted(r["keys"]) for r in rows)
+    assert all(r.most == 2 and len(r.places) == 8 * r.n and r.starts == list(range(0, 2 * r.n, 2)) for r in rows)
+    assert len({r.block for r in rows}) == len(rows)
+
+
+def test_numbers_of_words_are_the_analysis():
+    stems, text = E.Stems(), "The liver's warnings, warned of the LIVER; 12 Yes ñandú"
+    at = {}
+    for place, number in enumerate(stems.numbers(text)):
+        if number >= 0:
+            at.setdefault(stems.names[number], []).append(place)
+    assert at == E.analysed(text) and stems.numbers(None).tolist() == []
