@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,20 +43,28 @@ def embedding_text(fields: list[tuple[str, Column, str]], body: Column) -> Colum
 EMBED_WIDTH, EMBED_ROWS = 64, 64
 
 
-@lru_cache(1 << 18)
-def _place(word: str) -> tuple[int, int]:
-    h = hashlib.md5(word.encode()).digest()
-    return h[0] % EMBED_WIDTH, 1 if h[1] % 2 else -1
+class _Places(dict):
+    """Words and their places: that of the vector, after those with the other sign. The words of at most PLACES_HELD are kept."""
+
+    def __missing__(self, word: str) -> int:
+        h = hashlib.md5(word.encode()).digest()
+        place = h[0] % EMBED_WIDTH + (EMBED_WIDTH if h[1] % 2 else 0)
+        if len(self) < PLACES_HELD:
+            self[word] = place
+        return place
+
+
+PLACES_HELD = 1 << 19
+_places = _Places()
 
 
 def hashing_embedder(texts: list[str]) -> np.ndarray:
     """The offline default: tokens hashed to signed places of a vector, at unit length."""
     out = np.zeros((len(texts), EMBED_WIDTH))
     for row, text in enumerate(texts):
-        own = [0] * EMBED_WIDTH
-        for place, sign in map(_place, re.findall(r"[^\W_]+", (text or "").lower())):
-            own[place] += sign
-        out[row] = own
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        counts = np.bincount(np.fromiter(map(_places.__getitem__, words), np.int64, len(words)), minlength=2 * EMBED_WIDTH)
+        out[row] = counts[EMBED_WIDTH:] - counts[:EMBED_WIDTH]
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, size, out=out, where=size > 0)
 

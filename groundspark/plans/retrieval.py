@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.english import STOP, stem_sql
@@ -17,9 +17,9 @@ from ..sources.tables import broadcast_if_small, table
 
 
 def header(s: SparkSession, d: str) -> DataFrame:
-    """doc_id and the text that is searched: a header of its source, language and number, and the document."""
+    """doc_id, lang and the text that is searched: a header of its source, language and number, and the document."""
     fields = [("Drug", F.nullif("source", F.lit("src0")), "Unknown"), ("Family", F.col("lang"), "unknown"), ("Section", F.col("doc_id"), "unknown")]
-    return table(s, d, "documents").select("doc_id", R.embedding_text(fields, F.col("text")).alias("text"))
+    return table(s, d, "documents").select("doc_id", "lang", R.embedding_text(fields, F.col("text")).alias("text"))
 
 
 _written: dict[tuple, object] = {}
@@ -39,13 +39,13 @@ def document_index(s: SparkSession, d: str) -> I.Index:
 
 
 def document_vectors(s: SparkSession, d: str) -> DataFrame:
-    """doc_id, embedding."""
+    """doc_id, lang, embedding."""
 
     def make(docs: DataFrame, path: str) -> str:
         sinks.rebuild(R.embedded(docs, element="double"), path)
         return path
 
-    return s.read.schema("doc_id long, embedding array<double>").parquet(once(s, d, "vectors", make))
+    return s.read.schema("doc_id long, lang string, embedding array<double>").parquet(once(s, d, "vectors", make))
 
 
 def question() -> F.Column:
@@ -69,7 +69,7 @@ def in_language(s: SparkSession, d: str, queries: DataFrame):
     """Of (query_id, block, key) the rows in the language that the query asks for."""
     wanted = queries.filter("lang IS NOT NULL").select("query_id", F.col("lang").alias("wanted"))
     held = table(s, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("own"))
-    return lambda met: met.join(broadcast_if_small(wanted), "query_id", "left").join(held, "key").filter("wanted IS NULL OR wanted = own").select("query_id", "block", "key")
+    return lambda met: broadcast_if_small(met.join(broadcast_if_small(wanted), "query_id", "left")).join(held, "key").filter("wanted IS NULL OR wanted = own").select("query_id", "block", "key")
 
 
 def lexical_top(s: SparkSession, d: str, k: int | None = R.POOL) -> DataFrame:
@@ -98,40 +98,50 @@ def vector_recall(s: SparkSession, d: str, least: float = 0.9) -> DataFrame:
 
 def meaning_top(s: SparkSession, d: str, k: int = R.POOL) -> DataFrame:
     """The documents nearest to each question by embeddings, both made by the same embedder."""
-    docs = document_vectors(s, d).join(table(s, d, "documents").select("doc_id", "lang"), "doc_id")
     asked = R.embedded(lexical_queries(s, d), "query", element="double").withColumnRenamed("embedding", "vector")
-    return R.cosine_top(docs, asked, "doc_id", k, filtered="lang")
+    return R.cosine_top(document_vectors(s, d), asked, "doc_id", k, filtered="lang")
 
 
 def hybrid(s: SparkSession, d: str) -> DataFrame:
     return R.fuse(lexical_top(s, d), meaning_top(s, d), "doc_id")
 
 
+def with_documents(s: SparkSession, d: str, rows: DataFrame, *columns: str | Column) -> DataFrame:
+    """``rows`` (doc_id, ...) with ``columns`` of their documents. Few rows are sent to the documents, whose texts then stay where they are."""
+    return broadcast_if_small(sinks.materialised(rows)).join(table(s, d, "documents").select("doc_id", *columns), "doc_id")
+
+
 def retrieval_debug(s: SparkSession, d: str) -> DataFrame:
     """What each arm says of the fused results: scores and ranks beside the fused ones, and how long the document is."""
     lexical, dense = sinks.materialised(lexical_top(s, d)), sinks.materialised(meaning_top(s, d))
     fused = R.fuse(lexical, dense, "doc_id").withColumnRenamed("score", "hybrid_score")
     scores = lambda arm, name: arm.select("query_id", "doc_id", F.col("score").alias(name))
     rows = fused.join(scores(lexical, "lexical_score"), ["query_id", "doc_id"], "left").join(scores(dense, "dense_score"), ["query_id", "doc_id"], "left")
-    return rows.join(table(s, d, "documents").select("doc_id", "source", "lang", F.length("text").alias("chars")), "doc_id")
+    return with_documents(s, d, rows, "source", "lang", F.length("text").alias("chars"))
 
 
 def evidence(s: SparkSession, d: str) -> DataFrame:
-    rows = hybrid(s, d).filter(F.col("rank") <= 15).join(table(s, d, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    rows = with_documents(s, d, hybrid(s, d).filter(F.col("rank") <= 15), "source", "lang", "text")
     return R.diversified(rows, "source")
 
 
 def judged(s: SparkSession, d: str) -> DataFrame:
     """A result is relevant in a language that its case expects (none: any)."""
     languages = F.when(F.col("query_id").cast("long") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("en"), F.lit("fr")))
-    rows = hybrid(s, d).join(table(s, d, "documents").select("doc_id", "lang", "text"), "doc_id")
-    return rows.select("query_id", "rank", R.relevant(languages, F.col("lang"), F.array(F.lit("the"), F.lit("de")), F.col("text")).alias("relevant"))
+    # What a case expects is in its rows, so that only the results' texts are looked at, not all documents'.
+    expected = hybrid(s, d).select("query_id", "doc_id", "rank", languages.alias("languages"), F.array(F.lit("the"), F.lit("de")).alias("needles"))
+    rows = with_documents(s, d, expected, "lang", "text")
+    return rows.select("query_id", "rank", R.relevant(F.col("languages"), F.col("lang"), F.col("needles"), F.col("text")).alias("relevant"))
+
+
+def asked_results(s: SparkSession, d: str) -> DataFrame:
+    """The hybrid's results with their queries and texts."""
+    return with_documents(s, d, hybrid(s, d).join(lexical_queries(s, d).drop("lang"), "query_id"), "text")
 
 
 def reranked_by_model(s: SparkSession, d: str) -> DataFrame:
     """The hybrid's results in the order of a model's scores; the model is the overlap of the first PAIR_TOKENS words of question and document."""
-    rows = hybrid(s, d).join(lexical_queries(s, d).drop("lang"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    return R.reranked(rows, "doc_id", "query", "text", score=scoring.pair_score())
+    return R.reranked(asked_results(s, d), "doc_id", "query", "text", score=scoring.pair_score())
 
 
 def web_questions(s: SparkSession, d: str) -> DataFrame:
@@ -163,7 +173,7 @@ def queries() -> dict:
     q["retrieval_debug"] = retrieval_debug
     q["evidence_pack"] = lambda s, d: evidence(s, d).select("query_id", "evidence_id", "doc_id", "source", "rank", "score")
     q["evidence_prompt"] = lambda s, d: R.prompt_blocks(evidence(s, d), F.col("source"), F.col("text")).select("query_id", F.md5("prompt").alias("prompt_md5"))
-    q["rerank"] = lambda s, d: R.reranked(hybrid(s, d).join(lexical_queries(s, d).drop("lang"), "query_id").join(table(s, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "query", "text").select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
+    q["rerank"] = lambda s, d: R.reranked(asked_results(s, d), "doc_id", "query", "text").select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
     q["rerank_by_model"] = lambda s, d: reranked_by_model(s, d).select("query_id", "doc_id", "rerank_score", "original_rank", "rank")
     q["hit_mrr"] = lambda s, d: R.retrieval_metrics(lexical_queries(s, d), judged(s, d))
     q["first_relevant_rank"] = lambda s, d: judged(s, d).filter("relevant").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
