@@ -15,7 +15,7 @@ from ..operators import sync as Y
 from ..operators.builder import Builder, Step
 from ..sources import sinks
 from ..sources import tables as T
-from ..sources.paged import PagedListing
+from ..sources.paged import TASK_PAGES, PagedListing
 from ..sources.tables import table
 from ..sources.versions import Change, Versions
 from . import corpus, planning
@@ -202,9 +202,10 @@ def build(s: SparkSession, d: str, leave_out: tuple[str, ...] = (), plan_only: b
 def paged_scan(s: SparkSession, d: str) -> DataFrame:
     """Customers as a paged listing, a hundred a page, read page by page."""
     rows = table(s, d, "customer").select((F.floor(F.col("c_custkey") / 100) + 1).cast("int").alias("page"), F.struct(F.col("c_custkey").cast("string").alias("setid"), F.col("c_name").alias("title")).alias("row"))
-    total = F.lit(rows.agg(F.max("page")).first()[0])
-    path = sinks.new_folder(s, "pages")
-    rows.groupBy("page").agg(F.to_json(F.struct(F.struct(total.alias("total_pages")).alias("metadata"), F.collect_list("row").alias("data"))).alias("value")).write.partitionBy("page").text(path)
+    last = rows.agg(F.max("page")).first()[0]
+    total, path = F.lit(last), sinks.new_folder(s, "pages")
+    # A task writes about as many files as one reads: they cost more than their bytes.
+    rows.repartition(max((last or 0) // TASK_PAGES, s.sparkContext.defaultParallelism), "page").groupBy("page").agg(F.to_json(F.struct(F.struct(total.alias("total_pages")).alias("metadata"), F.collect_list("row").alias("data"))).alias("value")).write.partitionBy("page").text(path)
     s.dataSource.register(PagedListing)
     return s.read.format("paged").option("url", f"{path if ':' in path else 'file://' + path}/page={{page}}").schema("setid string, title string").load()
 

@@ -1,4 +1,4 @@
-"""A paged listing of a service as a data source: a partition for each page, for batches and for streams.
+"""A paged listing of a service as a data source, for batches and for streams: a partition has one page or, of many pages, up to TASK_PAGES.
 
 ``spark.dataSource.register(PagedListing)``, then ``spark.read.format("paged").option("url", ...)``. The URL has ``{page}`` for the
 page's number, from 1; http, https and file URLs are read (a folder that holds one file counts as that file). A page is
@@ -21,12 +21,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 RETRIES, WAIT = 4, 0.2
+#: Partitions before pages share one, and pages that one may have: a task costs more than a page.
+LEAST_PARTITIONS, TASK_PAGES = 64, 32
 
 
-class Page(InputPartition):
-    def __init__(self, number: int):
-        super().__init__(number)
-        self.number = number
+class Pages(InputPartition):
+    def __init__(self, numbers: range):
+        super().__init__(numbers.start)
+        self.numbers = numbers
+
+
+def dealt(first: int, last: int) -> list[Pages]:
+    """The pages from ``first`` to ``last`` in partitions."""
+    each = min(max((last - first + 1) // LEAST_PARTITIONS, 1), TASK_PAGES)
+    return [Pages(range(n, min(n + each, last + 1))) for n in range(first, last + 1, each)]
 
 
 class Listing:
@@ -59,22 +67,23 @@ class Listing:
     def total(self) -> int:
         return int((self.page(1).get("metadata") or {}).get("total_pages") or 1)
 
-    def rows(self, number: int) -> Iterator[tuple]:
+    def rows(self, numbers: range) -> Iterator[tuple]:
         kinds = {"string": str, "integer": int, "long": int, "double": float}
         fields = [(f.name, kinds.get(f.dataType.typeName(), lambda x: x)) for f in self.schema.fields]
-        for item in self.page(number).get("data") or []:
-            yield tuple(None if item.get(n) is None else kind(item[n]) for n, kind in fields)
+        for number in numbers:
+            for item in self.page(number).get("data") or []:
+                yield tuple(None if item.get(n) is None else kind(item[n]) for n, kind in fields)
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, listing: Listing):
         self.listing = listing
 
-    def partitions(self) -> list[Page]:
-        return [Page(n) for n in range(1, self.listing.total() + 1)]
+    def partitions(self) -> list[Pages]:
+        return dealt(1, self.listing.total())
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return self.listing.rows(partition.number)
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        return self.listing.rows(partition.numbers)
 
 
 class PagedStream(DataSourceStreamReader):
@@ -89,11 +98,11 @@ class PagedStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"pages": self.listing.total()}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(n) for n in range(start["pages"] + 1, end["pages"] + 1)]
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        return dealt(start["pages"] + 1, end["pages"])
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return self.listing.rows(partition.number)
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        return self.listing.rows(partition.numbers)
 
 
 class PagedListing(DataSource):

@@ -133,3 +133,12 @@ def test_only_ranges_that_differ_are_compared(spark):
     assert again.count() == 0 and compared.first().of_table == 0 and after.count() == 20_000
     empty = table.limit(0)
     assert sync.differences(empty, empty, ["k"])[0].count() == 0 and sync.differences(table.limit(3), empty, ["k"])[0].count() == 3
+
+
+def test_many_pages_share_a_partition():
+    from groundspark.sources import paged
+
+    assert [list(p.numbers) for p in paged.dealt(1, 3)] == [[1], [2], [3]] and paged.dealt(4, 3) == []
+    many = paged.dealt(1, 54_000)
+    assert len(many) == 1688 and [n for p in many for n in p.numbers] == list(range(1, 54_001))
+    assert [n for p in paged.dealt(8, 206) for n in p.numbers] == list(range(8, 207))
