@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import section_title
 from ..operators import sections as S
 from ..sources.sinks import materialised
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: What parts' types and sizes choose from.
 RAW = ["1 INDICATIONS AND USAGE", "8.1 Pregnancy", " Questions  or comments?", "DO NOT USE ", "Something else", "12.3 Pharmacokinetics:", None, "warnings"]
@@ -59,7 +59,7 @@ def label_files(customer: DataFrame, orders: DataFrame) -> DataFrame:
     head = F.format_string('<document xmlns="urn:hl7-org:v3"><id root="d%d"/><setId root="set%d"/><versionNumber value="%d"/><title> A  label %d </title>', c, c, c % 5 + 1, c)
     products = F.array_join(F.transform(count(c % 3), product), "")
     xml = F.concat(head, firm, F.lit("<component><structuredBody><component><section><subject>"), products, routes, F.lit("</subject></section></component>"), F.coalesce("body", F.lit("")), F.lit("</structuredBody></component></document>"))
-    return customer.select("c_custkey").join(inside, "c_custkey", "left").select(c.cast("string").alias("label_id"), xml.alias("xml"))
+    return spread(customer.select("c_custkey")).join(inside, "c_custkey", "left").select(c.cast("string").alias("label_id"), xml.alias("xml"))
 
 
 def broken(tree: DataFrame) -> DataFrame:

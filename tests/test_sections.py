@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundspark.operators import sections as S
 
@@ -88,3 +89,18 @@ def test_labels_are_parsed_once(spark):
     for got in (operators.hierarchy_violations(tree), operators.subtree_totals(tree)):
         assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
     assert operators.subtree_totals(tree).count() == 6000
+
+
+def test_labels_heads_as_their_fields(spark):
+    """Parsed once, the same as by path; labels of a table in one file are dealt out."""
+    from groundspark.plans import sections as plans
+
+    d = "/root/testdata/sf0.001"
+    made = plans.labels(spark, d)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = {r[0]: tuple(r)[1:] for r in S.label_heads(made).collect()}
+    fields = {r[0]: tuple(r)[1:] for r in S.document_fields(made).selectExpr("label_id", "set_id", "version_number", "title", "size(routes)").collect()}
+    parts = {r[0]: tuple(r)[1:] for r in S.products(made).groupBy("label_id").agg(F.countDistinct("product_index"), F.count("ingredient_index")).collect()}
+    assert got == {k: (*v, *parts.get(k, (0, 0))) for k, v in fields.items()}
+    odd = S.label_heads(spark.createDataFrame([("a", "<document><title>  x  y </title><title>z</title></document>"), ("b", "<document"), ("c", None)], "label_id string, xml string"))
+    assert {r[0]: tuple(r)[1:] for r in odd.collect()} == {"a": (None, None, "x  y", 0, 0, 0), "b": (None,) * 6, "c": (None,) * 6}
