@@ -183,7 +183,20 @@ def resolve_terms(terms: DataFrame, aliases: DataFrame, relations: DataFrame, co
     return out.withColumn("resolution", F.when(F.col("rxcui").isNull(), "not_found").when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("not_in_corpus"))
 
 
+def once(questions: DataFrame, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``of`` (query_id and what a question's query, drug and family decide, a row for each query_id) of every question. Those that ask the same are worked out once, and each gets the row."""
+    asks = [c for c in ("query", "drug", "family") if c in questions.columns]
+    keyed = questions.select("query_id", *asks, F.sha2(F.to_json(F.struct(*asks)), 256).alias("ask"))
+    said = materialised(of(materialised(keyed.select(F.col("ask").alias("query_id"), *asks).distinct())))
+    return keyed.select("query_id", "ask").join(broadcast_if_small(said.withColumnRenamed("query_id", "ask")), "ask").drop("ask")
+
+
 def mentions(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``mentions_of_each``, questions that ask the same worked out once."""
+    return once(questions.select("query_id", "query"), lambda q: mentions_of_each(q, aliases, relations, corpus))
+
+
+def mentions_of_each(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, mention_status, mention, retrieval_drug. Direct names decide; without one, spans are resolved, and resolved spans beat ambiguous ones."""
     names = corpus.select("concept_name", phrase(F.col("concept_name")).alias("phrase"))
     runs = phrase_hits(questions.withColumn("normal", phrase(F.col("query"))), "query_id", "normal", names).select("query_id", "phrase").distinct()
@@ -403,9 +416,14 @@ def answer_gates(answers: DataFrame, verifier: Callable[[Column, Column], Column
 
 
 def workflow(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``workflow_of_each``, questions that ask the same worked out once."""
+    return once(questions, lambda q: workflow_of_each(q, aliases, relations, corpus))
+
+
+def workflow_of_each(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame) -> DataFrame:
     """``questions`` with each one's filter, plan, mention, route and branch. An explicit drug that can't be resolved ends as insufficient, whatever the branch."""
     filters = filter_resolution(questions, aliases, relations, corpus)
-    found = mentions(questions.filter(F.trim(F.coalesce("drug", F.lit(""))) == ""), aliases, relations, corpus)
+    found = mentions_of_each(questions.filter(F.trim(F.coalesce("drug", F.lit(""))) == ""), aliases, relations, corpus)
     q = family_plan(questions).join(filters, "query_id").join(found, "query_id", "left")
     q = q.withColumn("mention_status", F.coalesce("mention_status", F.lit("not_attempted_explicit_filter_present"))).withColumn("drug_found", F.coalesce("filter_drug", "retrieval_drug"))
     routed = source_route(q.withColumn("has_drug", F.col("drug_found").isNotNull()))
@@ -457,8 +475,13 @@ def label_answers(questions: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def answers(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame, sections: DataFrame) -> DataFrame:
+    """``answers_of_each``, questions that ask the same worked out once."""
+    return once(questions, lambda q: answers_of_each(q, aliases, relations, corpus, sections))
+
+
+def answers_of_each(questions: DataFrame, aliases: DataFrame, relations: DataFrame, corpus: DataFrame, sections: DataFrame) -> DataFrame:
     """Every question through its branch: query_id, branch, composition_status, final_status, answer, citations (R* of identities, then E* of labels)."""
-    flow = materialised(workflow(questions, aliases, relations, corpus))
+    flow = materialised(workflow_of_each(questions, aliases, relations, corpus))
     mixed = materialised(decomposed(flow.filter("branch = 'mixed'").withColumnRenamed("drug_found", "retrieval_drug")))
     asked = flow.filter("branch = 'identity'").select("query_id", "query", "identity_intent").unionByName(mixed.select("query_id", F.col("identity_query").alias("query"), "identity_intent"))
     identity = identity_answers(identity_terms(asked), aliases, relations).select("query_id", F.col("answered").alias("i_ok"), F.col("answer").alias("i_answer"), F.col("citations").alias("i_cites"))

@@ -9,7 +9,7 @@ from ..operators import planning as P
 from ..functions.english import STOP
 from ..schemas import ALIASES, CONCEPT_RELATIONS, QUESTIONS
 from ..sources.sinks import materialised
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 STATED = [
     ("q01", "What is omeprazole used for?", None, None), ("q02", "Can apixaban be taken with aspirin?", None, None), ("q03", "What are the side effects of sertraline?", None, None),
@@ -48,7 +48,7 @@ def asked(s: SparkSession, d: str) -> DataFrame:
     """query_id, query, drug, family: the stated questions, one for each customer, and every user turn."""
     k, none = F.col("c_custkey"), F.lit(None).cast("string")
     query = F.replace(F.replace(pick(FORMS, k), F.lit("{x}"), pick(NAMES, k)), F.lit("{y}"), pick(NAMES, F.floor(k / 9)))
-    formed = table(s, d, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("query_id"), query.alias("query"), F.when(k % 7 == 0, pick(DRUGS, F.floor(k / 7))).alias("drug"), none.alias("family"))
+    formed = spread(table(s, d, "customer")).select(F.concat(F.lit("c"), k.cast("string")).alias("query_id"), query.alias("query"), F.when(k % 7 == 0, pick(DRUGS, F.floor(k / 7))).alias("drug"), none.alias("family"))
     turns = table(s, d, "conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"), none.alias("drug"), none.alias("family"))
     return questions(s).select("query_id", "query", "drug", "family").unionByName(formed).unionByName(turns)
 
@@ -61,7 +61,7 @@ def sections(s: SparkSession, d: str) -> DataFrame:
     """A section of a drug's label for each part."""
     k = F.col("p_partkey")
     text = F.concat(F.replace(pick(SENTENCES, F.floor(k / 20)), F.lit("{x}"), pick(CORPUS, k)), F.lit(". "), F.col("p_name"))
-    return table(s, d, "part").select(k.alias("section_id"), pick(CORPUS, k).alias("concept_name"), pick(FAMILY_NAMES, F.floor(k / 4)).alias("family"), text.alias("text"))
+    return spread(table(s, d, "part")).select(k.alias("section_id"), pick(CORPUS, k).alias("concept_name"), pick(FAMILY_NAMES, F.floor(k / 4)).alias("family"), text.alias("text"))
 
 
 def routed(q: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Plans, routes, mentions and answers of stated questions."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,23 @@ def test_every_branch_answers(spark):
     assert got["q01"].branch == "label" and got["q01"].citations == "E1"
 
 
+def test_the_same_question_is_worked_out_once(spark, monkeypatch):
+    """Each different query, drug and family; nulls are as good as any, and a query_id may repeat."""
+    asks = [("What is metformin?", None, None), ("What is metformin?", "apixaban", None), ("What is metformin?", None, "overdosage"), (None, None, None), ("Can eliquiss prevent stroke?", None, None)]
+    ids = [(f"q{n // 2}", *ask) for n, ask in enumerate(asks * 40)]
+    asked = spark.createDataFrame(ids, "query_id string, query string, drug string, family string")
+    seen = []
+    spans = P.candidate_spans
+    monkeypatch.setattr(P, "candidate_spans", lambda q: seen.append(q.select("query_id").count()) or spans(q))
+    got = P.workflow(asked, *planning.concepts(spark)).collect()
+    assert seen == [2]  # without a drug and a direct mention: null and the misspelt one
+    assert sorted(r.query_id for r in got) == sorted(x[0] for x in ids)
+    what = "What is metformin?"
+    assert Counter((r.query, r.drug_found, r.effective_family) for r in got) == dict.fromkeys([(what, "metformin", None), (what, "apixaban", None), (what, "metformin", "overdosage"), (None, None, None), ("Can eliquiss prevent stroke?", "apixaban", "indications_and_usage")], 40)
+    seen.clear()
+    assert P.mentions(asked, *planning.concepts(spark)).count() == 200 and seen == [2]
+
+
 def test_citation_prefixes(spark):
     rows = spark.createDataFrame([(["R1", "E1"], ["R", "E"]), (["R1", "E1"], ["E"]), (["X"], []), ([], ["E"])], "c array<string>, p array<string>")
     assert [r[0] for r in rows.select(P.prefixes_pass(rows.c, rows.p)).collect()] == [True, False, True, True]
