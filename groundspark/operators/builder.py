@@ -12,12 +12,14 @@ import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType
 
 from ..sources.versions import Change, Versions
 
 RECORD = "_steps"
+FLAT = (BinaryType, BooleanType, DateType, NumericType, StringType, TimestampType)
 LOG = "step string, place int, status string, rows long"
 
 
@@ -31,9 +33,18 @@ class Step:
 
 
 def digest(df: DataFrame) -> tuple[str, int]:
-    """Of the rows, in any order, and their number."""
-    row = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns))), {"ignoreNullFields": "false"}))
-    total, n = df.agg(F.sum(row.cast("decimal(38,0)")), F.count(F.lit(1))).first()
+    """Of the rows, in any order, and their number. Values are hashed as they are, with what a hash passes over (nulls, where arrays end); only nested ones and arrays with nulls are turned to JSON."""
+    parts: list[Column] = []
+    for f in sorted(df.schema, key=lambda f: f.name):
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        whole = F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+        if isinstance(kind, FLAT):
+            parts += [c, c.isNull()]
+        elif isinstance(kind, ArrayType) and isinstance(kind.elementType, FLAT):
+            parts += [c, c.isNull(), F.size(c), F.when(F.exists(c, lambda x: x.isNull()), whole)]
+        else:
+            parts.append(whole)
+    total, n = df.agg(F.sum(F.xxhash64(*parts).cast("decimal(38,0)")), F.count(F.lit(1))).first()
     return hashlib.sha256(f"{sorted(df.dtypes)}:{total}:{n}".encode()).hexdigest(), n
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,13 +75,17 @@ def embedded(rows: DataFrame, text: str = "text", embedder: Callable[[list[str]]
     kept = [f for f in rows.schema if f.name not in (text, "embedding")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"embedding array<{element}>"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.float32() if element == "float" else pa.float64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), EMBED_ROWS):
-                part = batch.iloc[at : at + EMBED_ROWS]
-                yield part[[f.name for f in kept]].assign(embedding=list(embedder(part[text].tolist()).astype(np.float32 if element == "float" else np.float64)))
+            texts = batch.column(len(kept)).to_pylist()
+            made = [embedder(texts[at : at + EMBED_ROWS]) for at in range(0, len(texts), EMBED_ROWS)]
+            flat = np.concatenate(made).astype(kind.to_pandas_dtype()) if made else np.empty((0, 0), kind.to_pandas_dtype())
+            starts = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * (flat.shape[1] if len(flat) else 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.ListArray.from_arrays(starts, pa.array(flat.ravel(), kind))], [*(f.name for f in kept), "embedding"])
 
-    return spread(rows).mapInPandas(run, schema)
+    return spread(rows.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text))).mapInArrow(run, schema)
 
 
 def chunk_metadata(chunks: DataFrame, fields: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from groundspark import cli
 from groundspark.operators import retrieval as R
-from groundspark.operators.builder import Builder, Step
+from groundspark.operators.builder import Builder, Step, digest
 from groundspark.plans import builds
 from groundspark.sources import sinks
 from groundspark.sources import tables as T
@@ -124,3 +124,13 @@ def test_suite_files_are_bounded(spark, monkeypatch):
     got = builds.suite(spark, DATA)
     assert got.count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
     assert spark.read.text(read[0], wholetext=True).selectExpr("max(size(split(value, '\n'))) - 1").first()[0] <= 10
+
+
+def test_digests_tell_contents_apart(spark):
+    """Also where a hash passes over nulls and ends of arrays."""
+    kind = "a string, b string, f array<float>, t array<string>, s struct<x:int,y:int>"
+    rows = [(None, "x", [1.0, None], ["ab"], None), ("x", None, [1.0, None], ["ab"], None), ("x", None, [None, 1.0], ["ab"], None), ("x", None, [1.0], ["ab"], None), ("x", None, [], ["ab"], None), ("x", None, None, ["ab"], None), ("x", None, None, ["a", "b"], None), ("x", None, None, ["ab", ""], None), ("x", None, None, [None, "ab"], None), ("x", None, None, None, (1, None)), ("x", None, None, None, (None, 1)), ("x", None, None, None, (None, None))]
+    found = [digest(spark.createDataFrame([r], kind))[0] for r in rows]
+    assert len(set(found)) == len(rows)
+    both = spark.createDataFrame(rows, kind)
+    assert digest(both) == digest(both.orderBy("b", "a").repartition(3)) and digest(both)[1] == len(rows)

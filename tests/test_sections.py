@@ -104,3 +104,33 @@ def test_labels_heads_as_their_fields(spark):
     assert got == {k: (*v, *parts.get(k, (0, 0))) for k, v in fields.items()}
     odd = S.label_heads(spark.createDataFrame([("a", "<document><title>  x  y </title><title>z</title></document>"), ("b", "<document"), ("c", None)], "label_id string, xml string"))
     assert {r[0]: tuple(r)[1:] for r in odd.collect()} == {"a": (None, None, "x  y", 0, 0, 0), "b": (None,) * 6, "c": (None,) * 6}
+
+
+def test_document_fields_are_read_once(spark):
+    """As the paths find them; a label that doesn't parse has nulls and stops nothing."""
+    odd = [
+        ("a", "<document><id root=''/><id root='b'/><title> </title><title>z</title><code displayName='d'/><code code='c'/></document>"),
+        ("b", "<document xmlns='urn:h'><title>a<b> c</b><![CDATA[ <x>]]> &amp; e</title><setId/><setId root=' s '/><x><title>no</title><routeCode displayName=''/><activeMoiety><activeMoiety><name>one<!--k-->two<i>in</i>three</name><name> </name><name/></activeMoiety><name>not</name></activeMoiety><representedOrganization><name>F &lt; G</name></representedOrganization></x></document>"),
+        ("c", "<v:document xmlns:v='u'><v:id v:root='1'/><v:routeCode v:displayName='R'/></v:document>"),
+        ("d", "<other><document><id root='1'/></document><routeCode displayName='A'/><a><routeCode/><routeCode displayName='B'/></a></other>"),
+        ("e", "<?xml version='1.0' encoding='ISO-8859-1'?><document><title>é x</title><versionNumber value='&#233;'/></document>"),
+    ]
+    good = spark.createDataFrame(odd, "label_id string, xml string")
+    path = lambda p: F.nullif(F.trim(F.xpath_string("xml", F.lit(p))), F.lit(""))
+    lists = {"routes": "//routeCode/@displayName", "active_moieties": "//activeMoiety/activeMoiety/name/text()", "labeler_names": "//representedOrganization/name/text()"}
+    wanted = good.select("label_id", *(path(f"/document/{element}" + f"/@{attribute}" * bool(attribute)).alias(field) for field, (element, attribute) in S.HEAD.items()), *(F.xpath("xml", F.lit(p)).alias(c) for c, p in lists.items()))
+    rows = good.unionByName(spark.createDataFrame([("bad", "<document>"), ("none", None), ("empty", "")], "label_id string, xml string"))
+    made = S.document_fields(rows)
+    assert "xpath" not in made._jdf.queryExecution().toString()
+    got = {r.label_id: tuple(r)[1:] for r in made.collect()}
+    assert [got.pop(k) for k in ("bad", "none", "empty")] == [(None,) * 10] * 3
+    assert got == {r.label_id: tuple(r)[1:] for r in wanted.collect()}
+
+
+def test_sections_in_odd_places(spark):
+    """Only those whose component lies in a body or in a section of the tree."""
+    xml = "<structuredBody><component><section><title>a<b>c</b> d</title><text>x<t>y</t></text><text/><component><section><section/><component><x/><section><id root=' r ' extension='e'/></section></component></section></component><q><component><section><component><section/></component></section></component></q></section></component></structuredBody>"
+    got = S.section_nodes(spark.createDataFrame([("k", xml)], "label_id string, xml string")).orderBy("order_index").collect()
+    assert [(r.section_uid, r.parent_index, r.last_index, r.depth, r.raw_title, r.direct_text, r.child_count, len(r.chain)) for r in got] == [
+        ("synthetic_section_1", None, 3, 0, "ac d", "x y", 1, 1), ("synthetic_section_2", 1, 3, 1, None, None, 1, 2), ("r:e", 2, 3, 2, None, None, 0, 3),
+    ]
