@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from ._common import discard, in_slices, mix64, small_batches, table, utf8, writ
 BITS = 18
 #: The fit sample's bound: documents, and cells of all of them (a document has at most 2^BITS).
 FIT_ROWS, FIT_CELLS = 10_000, 10_000_000
+#: Cells sent to the driver at once (or one document's): the sample reaches it in parts, by ranges of doc_id.
+SENT_CELLS = 1 << 20
 FOLDS = 5
 KEPT_FROM = 0.3
 COST, ROUNDS, SMOOTHING, BLEND, SEED = 1.0, 12, 1.0, 0.25, 7
@@ -211,7 +214,20 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.model.slope * m + self.model.shift, -60, 60)))
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+@dataclass
+class UnitRows:
+    """Each row's values at unit length, made when asked for: kept, they would be twice as large as all cells."""
+
+    rows: list[np.ndarray]
+    ratio: np.ndarray
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        x = self.ratio[self.rows[i]]
+        size = np.sqrt(x @ x)
+        return x / size if size else x
+
+
+def descend(rows: list[np.ndarray], values: list[np.ndarray] | UnitRows, y: np.ndarray, cost: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and bias of least hinge loss, by dual coordinate descent. Each row has unit length, and a constant of 1 for the bias."""
     w, bias = np.zeros(1 << BITS), 0.0
     alpha = np.zeros(len(y))
@@ -239,29 +255,22 @@ def train(row: np.ndarray, cell: np.ndarray, good: np.ndarray) -> Classifier:
     fitted = ~held
     if len(set(good[fitted])) < 2:
         return Classifier(Model(None), None)
-    use = fitted[row]
-    p = np.bincount(cell[use & good[row]], minlength=1 << BITS) + SMOOTHING
-    q = np.bincount(cell[use & ~good[row]], minlength=1 << BITS) + SMOOTHING
+    # Row by row: whole columns beside the cells would be several times as large as these.
+    own = [cell[a:b] for a, b in pairwise(np.searchsorted(row, np.arange(n + 1, dtype=row.dtype)))]
+    p, q = np.full(1 << BITS, SMOOTHING), np.full(1 << BITS, SMOOTHING)
+    for i in np.flatnonzero(fitted):
+        (p if good[i] else q)[own[i]] += 1
     ratio = np.log((p / (fitted & good).sum()) / (q / (fitted & ~good).sum()))
     ratio[p + q <= 2 * SMOOTHING] = 0  # in no row that is fitted
-    ends = np.searchsorted(row, np.arange(n + 1))
-    rows, values = [], []
-    for i in np.flatnonzero(fitted):
-        own = cell[ends[i] : ends[i + 1]]
-        x = ratio[own]
-        size = np.sqrt(x @ x)
-        rows.append(own)
-        values.append(x / size if size else x)
+    rows = [own[i] for i in np.flatnonzero(fitted)]
     y = np.where(good[fitted], 1.0, -1.0)
     cost = np.where(y > 0, COST, COST * min(20.0, (y > 0).sum() / (y < 0).sum()))
-    w, bias = descend(rows, values, y, cost)
+    w, bias = descend(rows, UnitRows(rows, ratio), y, cost)
     used = w != 0
     mean = np.abs(w[used]).mean() if used.any() else 0.0
     w = np.where(used, (1 - BLEND) * mean * np.sign(w) + BLEND * w, 0) if mean else w
     model, scale = Model(w * ratio, bias), ratio**2
-    unseen = held[row]
-    order = np.cumsum(held) - 1
-    margin = model.margins(order[row[unseen]], cell[unseen], scale, int(held.sum()))
+    margin = np.array([model.margins(np.zeros(len(own[i]), np.int64), own[i], scale, 1)[0] for i in np.flatnonzero(held)])
     model.slope, model.shift = logistic(margin, good[held])
     return Classifier(model, scale)
 
@@ -310,17 +319,29 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     # One row of each doc_id: FIT_ROWS rows, to a sampling error.
     one = rows.groupBy("doc_id").agg(F.min(F.struct(F.size("cells").alias("n"), "cells", "quality")).alias("r"))
     one = written(one.select("doc_id", F.xxhash64("doc_id").alias("h"), "r.n", "r.quality", "r.cells"), "quality-sample")
-    sizes = sorted(one.select("h", "n").toPandas().itertuples(index=False))
-    within = np.cumsum([n for _, n in sizes]) <= FIT_CELLS
-    last = sizes[int(within.sum()) - 1][0] if within.any() else None
-    got = one.filter(F.col("h") <= F.lit(last)).select("doc_id", "quality", "cells").toArrow().combine_chunks()
-    discard(one)
-    if not got.num_rows:
+    sizes = one.select("doc_id", "h", "n", "quality").toArrow().sort_by("doc_id")
+    doc_id, h, n, marks = (sizes[c].to_numpy() for c in sizes.column_names)
+    order = np.lexsort((n, h))
+    within = int((np.cumsum(n[order]) <= FIT_CELLS).sum())
+    if not within:
+        discard(one)
         return Classifier(Model(None), None)
-    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy())))
-    cells = got["cells"].combine_chunks()
-    sizes = np.diff(cells.offsets.to_numpy())
-    return train(np.repeat(np.arange(got.num_rows), sizes), cells.flatten().to_numpy().astype(np.int64), got["quality"].to_numpy() == 1)
+    last = h[order[within - 1]]
+    doc_id, n, marks = (x[h <= last] for x in (doc_id, n, marks))
+    at = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+    cell = np.empty(at[-1], np.int32)
+    begin = 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + SENT_CELLS, "right")) - 1)
+        part = one.filter(F.col("doc_id").between(int(doc_id[begin]), int(doc_id[end - 1])) & (F.col("h") <= int(last)))
+        for batch in part.select("doc_id", "cells").toArrow().to_batches():
+            place, cells = np.searchsorted(doc_id, batch.column("doc_id").to_numpy()), batch.column("cells")
+            found, cuts = cells.values.to_numpy(), cells.offsets.to_numpy()
+            for k, a, b in zip(place, cuts, cuts[1:], strict=False):
+                cell[at[k] : at[k + 1]] = found[a:b]
+        begin = end
+    discard(one)
+    return train(np.repeat(np.arange(len(n), dtype=np.int32), n), cell, marks == 1)
 
 
 def score(df: DataFrame, classifier: Classifier, text: str = "text", into: str = "score") -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,37 @@ def test_long_documents_are_fitted_on_within_the_bound(spark, monkeypatch):
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()} == {0.5}
 
 
+def test_the_fit_holds_little_beside_its_cells():
+    """Two million cells take 8 MB; what is held for each cell beside them would take two or three times that."""
+    rng = np.random.default_rng(1)
+    good = rng.random(2000) < 0.5
+    cell = np.concatenate([np.sort(rng.choice(1 << 17, 1000, replace=False)) + (1 << 16) * g for g in good]).astype(np.int32)
+    row = np.repeat(np.arange(2000, dtype=np.int32), 1000)
+    tracemalloc.start()
+    model = quality.train(row, cell, good).model
+    most = tracemalloc.get_traced_memory()[1] - 6 * 8 * (1 << quality.BITS)  # vectors of all possible cells
+    tracemalloc.stop()
+    assert model.weights is not None and most < cell.nbytes
+
+
+def test_the_sample_reaches_the_driver_in_parts(spark, monkeypatch):
+    rows = [(d * 7 - 300, f"good words number {d} here" if d % 2 else f"BAD!!! $$$ {d} ###", d % 2) for d in range(200)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5), spark.createDataFrame([(d, q) for d, _, q in rows], "doc_id long, quality int")
+    whole, sent, send = quality.fit(docs, labels), [], type(docs).toArrow
+
+    def seen(df):
+        out = send(df)
+        if "cells" in out.column_names:
+            sent.append(sum(map(len, out["cells"].to_pylist())))
+        return out
+
+    monkeypatch.setattr(type(docs), "toArrow", seen)
+    monkeypatch.setattr(quality, "SENT_CELLS", 500)
+    parts = quality.fit(docs, labels)
+    assert len(sent) > 2 and max(sent) <= 500
+    assert (whole.model.weights == parts.model.weights).all() and (whole.model.bias, whole.model.slope, whole.model.shift) == (parts.model.bias, parts.model.slope, parts.model.shift)
+
+
 # --- 2
 
 
